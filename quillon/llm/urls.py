@@ -29,9 +29,11 @@ ALLOWED_NAMES = (
     "engineer", "shirt", "thunder", "station", "nation", "theatre", "kitchen",
 )
 ENDINGS = ("", "-zone", "-24", "land")
-HOSTS = ("{}.example.com", "www.{}.example.net", "blog.{}.example.org", "m.{}.example.net")
-BLOCKED_PATHS = ("/en/1.html", "/casino/slots/", "/adult/video/7", "/xxx/free")
-ALLOWED_PATHS = ("/en/12.html", "/de/340", "/fr/99/", "/es/7081/")
+#: Forms of the table's urls; {} is the name. Both labels share them, so that only names tell the labels apart.
+FORMS = (
+    "https://{}.example.com/", "https://www.{}.example.net/en/12.html", "http://blog.{}.example.org/de/340",
+    "https://m.{}.example.net/fr/99/", "http://my-{}.com/es/7081/", "https://{}.org/{}", "https://www.example.org/{}/1.html",
+)
 BUCKETS = 1 << 14
 
 
@@ -65,11 +67,10 @@ def grams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Col
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, label): every name under every host form and path; label 1 is block."""
+    """The small labelled table (url, label): every name and ending in every form; label 1 is block."""
     made = [
-        (f"https://{h.format(name + ending)}{p}", label)
-        for names, paths, label in ((BLOCKED_NAMES, BLOCKED_PATHS, 1.0), (ALLOWED_NAMES, ALLOWED_PATHS, 0.0))
-        for name in names for ending in ENDINGS for h in HOSTS for p in paths
+        (form.replace("{}", name + ending), label)
+        for names, label in ((BLOCKED_NAMES, 1.0), (ALLOWED_NAMES, 0.0)) for name in names for ending in ENDINGS for form in FORMS
     ]
     return spark.createDataFrame(made, "url string, label double")
 
