@@ -38,7 +38,8 @@ class Model:
             return self.known[k]
         padded = f"^{w}$"
         for n in range(min(LONGEST, len(padded)), 0, -1):
-            at = [k for i in range(len(padded) - n + 1) if (k := self.gram_at.get(padded[i : i + n])) is not None]
+            text = padded if n > 1 else w
+            at = [k for i in range(len(text) - n + 1) if (k := self.gram_at.get(text[i : i + n])) is not None]
             if at:
                 return self.grams[at].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,22 +79,27 @@ def stream(page: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
 
 def collapsed(labels: list) -> list[tuple[object, int]]:
     """(item, tokens covered): runs of a repeated group of up to ``LONGEST_GROUP`` items become ``["+", group]``, shorter groups first, nested."""
-    items = [(x, 1) for x in labels]
-    for size in range(1, LONGEST_GROUP + 1):
-        keys = [json.dumps(x) for x, _ in items]
-        out, k = [], 0
+    items, size = [(x, 1) for x in labels], 1
+    keys = [json.dumps(x) for x, _ in items]
+    while size <= LONGEST_GROUP:
+        out, out_keys, k = [], [], 0
         while k < len(items):
-            group = keys[k : k + size]
             end = k + size
-            while len(group) == size and keys[end : end + size] == group:
-                end += size
+            if end < len(items) and keys[k] == keys[end]:
+                group = keys[k:end]
+                while keys[end : end + size] == group:
+                    end += size
             if end > k + size:
-                out.append((["+", [x for x, _ in items[k : k + size]]], sum(n for _, n in items[k:end])))
+                item = ["+", [x for x, _ in items[k : k + size]]]
+                out.append((item, sum(n for _, n in items[k:end])))
+                out_keys.append(json.dumps(item))
                 k = end
             else:
                 out.append(items[k])
+                out_keys.append(keys[k])
                 k += 1
-        items = out
+        size = size + 1 if len(out) == len(items) else 1
+        items, keys = out, out_keys
     return items
 
 
@@ -166,39 +172,58 @@ def pattern(wrapper: list[tuple[object, bool]]) -> str:
     return "".join(f"({one(x)})?" if o else one(x) for x, o in wrapper)
 
 
-def _region(stack: list[str]) -> str:
-    """``out`` inside chrome, ``article`` inside an article element, else ``body``."""
-    kind = "body"
-    for label in stack:
-        name, *words = label.split(".")
-        chrome = CHROME_WORDS.intersection(words)
-        if name in DROPPED or chrome and not (kind != "article" and ARTICLE_WORDS.intersection(words) and name in ARTICLE):
-            return "out"
-        if name in ARTICLE or ARTICLE_WORDS.intersection(words):
-            kind = "article"
-    return kind
+def _inside(label: str, outer: tuple[str, int], at: int) -> tuple[str, int]:
+    """(region, opener) inside an element that stands in ``outer``: ``out`` and the number of the chrome element that holds the place, else ``article`` or ``body``."""
+    if outer[0] == "out":
+        return outer
+    name, *words = label.split(".")
+    chrome = CHROME_WORDS.intersection(words)
+    if name in DROPPED or chrome and not (outer[0] == "body" and ARTICLE_WORDS.intersection(words) and name in ARTICLE):
+        return "out", at
+    return ("article", -1) if name in ARTICLE or ARTICLE_WORDS.intersection(words) else outer
 
 
 def regions(items: list) -> list:
-    """The region of each item (for a group: the regions of its body) by a walk with the open elements; unmatched ends are passed over, unclosed elements end with what holds them."""
-    stack: list[str] = []
+    """The region of each item (for a group: the regions of its body) by a walk with the open elements: ``article``, ``body``,
+    ``out``, or ``?`` inside a chrome element that is never closed. Unmatched ends are passed over, unclosed elements end
+    with what holds them."""
+    stack: list[tuple[str, tuple[str, int], int]] = [("", ("body", -1), -1)]
+    names: Counter = Counter()
 
     def walk(item: object) -> object:
         if isinstance(item, list):
             return [walk(x) for x in item[1]]
-        if item == SLOT:
-            return _region(stack)
-        if item.startswith("/"):
-            name = item[1:]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].split(".")[0] == name:
-                    del stack[k:]
-                    break
-        elif item.split(".")[0] not in VOID:
-            stack.append(item)
-        return _region(stack)
-
-    return [walk(x) for x in items]
+        if item.startswith("/") and names[item[1:]]:
+            name = ""
+            while name != item[1:]:
+                name = stack.pop()[0]
+                names[name] -= 1
+        elif item != SLOT and not item.startswith("/") and (name := item.split(".")[0]) not in VOID:
+            at = len(openers)
+            openers.append(item)
+            stack.append((name, _inside(item, stack[-1][1], at), at))
+            names[name] += 1
+        return stack[-1][1]
+
+    def settle(region: object) -> object:
+        if isinstance(region, list):
+            return [settle(x) for x in region]
+        return "?" if region[1] in unclosed else region[0]
+
+    openers: list[str] = []
+    found = [walk(x) for x in items]
+    unclosed = {at for _, _, at in stack[1:]}
+    return [settle(r) for r in found]
+
+
+def _settled(own: str, known: str) -> str:
+    """A token's region from the page's own tags and from the wrapper: the page's, unless a chrome element is left open there
+    or the page lacks the tags of the article, where the wrapper knows better."""
+    if own in ("article", "out"):
+        return own
+    if own == "?":
+        return known if known in ("article", "body") else "out"
+    return "article" if known == "article" else "body"
 
 
 def _spread(item: object, region: object, count: int) -> list[str]:
@@ -218,7 +243,6 @@ def _labels(wrapper_json: str | None, labels: tuple[str, ...]) -> tuple[bool, tu
     wrapper = [x for x, _ in json.loads(wrapper_json)] if wrapper_json else []
     cover = collapsed(list(labels))
     items = [x for x, _ in cover]
-    own = regions(items)
     groups = _groups([*wrapper, *items])
     flat: list[str] = []
     if wrapper:
@@ -240,18 +264,12 @@ def _labels(wrapper_json: str | None, labels: tuple[str, ...]) -> tuple[bool, tu
                 at[j] = known[i]
         for j, (a, b) in enumerate(spans):
             count = sum(n for _, n in cover[a:b])
-            if j in at:
-                got = _spread(unified[j], at[j], count)
-            else:
-                got = [r for k in range(a, b) for r in _spread(items[k], own[k], cover[k][1])]
-            flat += got
+            flat += _spread(unified[j], at[j], count) if j in at else [""] * count
         has = any("article" in json.dumps(r) for r in known)
     else:
-        for k, (x, n) in enumerate(cover):
-            flat += _spread(x, own[k], n)
-        has = False
-    plain = regions(list(labels))
-    return has or "article" in plain, tuple(r or p for r, p in zip(flat, plain, strict=True))
+        flat, has = [""] * len(labels), False
+    own = regions(list(labels))
+    return has or "article" in own, tuple(map(_settled, own, flat))
 
 
 def main_text(page: str | None, wrapper_json: str | None) -> str:
