@@ -85,7 +85,8 @@ def fingerprint_edits(
 
     The next document is the next row by (doc_id, text), a null doc_id first; after the last comes the first. Rows are
     dealt over ranges of doc_id with bounds from its approximate quantiles, sorted there and read in order; each range
-    also gets the first row of the next one, so texts are shuffled once and no task holds more than a row at a time.
+    also gets the first row of the next one (found by a broadcast of one id a range), so texts are shuffled once and no task
+    holds more than a row at a time.
     A null text is empty; a table of one row follows itself; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -104,7 +105,7 @@ def fingerprint_edits(
     first = sorted((r["range"], r["first"]) for r in d.groupBy("range").agg(F.min("at").alias("first")).collect())
     follows = [(k, first[(i + 1) % len(first)][1]) for i, (k, _) in enumerate(first)]
     edge = spark.createDataFrame(follows, "to_range int, first long")
-    after = d.join(edge, d["at"] == edge["first"]).select("doc_id", "text", "at", F.col("to_range").alias("range"), F.lit(1).alias("after"))
+    after = d.join(F.broadcast(edge), d["at"] == edge["first"]).select("doc_id", "text", "at", F.col("to_range").alias("range"), F.lit(1).alias("after"))
     dealt = d.select("doc_id", "text", "at", "range", F.lit(0).alias("after")).unionByName(after)
     dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "after", "at", "text")
 
