@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +35,93 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if step.where("component <> old").isEmpty():
             return labels
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
+
+
+def reach(edges: DataFrame, starts: DataFrame, depth: int = -1, max_rounds: int = 100_000) -> DataFrame:
+    """(node, depth): every node reached from ``starts`` (column node) along src -> dst, with its least number of steps, up
+    to ``depth`` (-1: any). Breadth first: each round joins the frontier only, minus what is already seen."""
+    spark = edges.sparkSession
+    e = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "reach-edges")
+    frontier = materialize(starts.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "reach")
+    levels = [frontier]
+    for k in range(1, max_rounds + 1):
+        if 0 <= depth < k:
+            break
+        seen = reduce(DataFrame.unionByName, levels)
+        step = e.join(frontier, e["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
+        frontier = materialize(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(k)), "reach")
+        if frontier.isEmpty():
+            break
+        levels.append(frontier)
+        if len(levels) > 20:
+            levels = [materialize(reduce(DataFrame.unionByName, levels), "reach-seen")]
+    return spark.createDataFrame([], frontier.schema).unionByName(reduce(DataFrame.unionByName, levels))
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges both of whose ends are in ``nodes`` (column node)."""
+    kept = nodes.select("node").distinct()
+    return edges.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node, scc) for every endpoint; scc is the smallest node of the strongly connected component.
+
+    Nodes without an edge into or out of them are taken off first, a few times over; they are components of their own.
+    Then colouring: the smallest node that reaches a node, over edges left, is its colour; a colour's nodes that reach its
+    smallest node within the colour form a component, which is removed; until nothing is left.
+    """
+    left = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "scc-edges")
+    nodes = materialize(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "scc-nodes")
+    out = None
+    for _ in range(4):
+        both_ways = left.where("src <> dst").select(F.col("src").alias("node")).intersect(left.where("src <> dst").select(F.col("dst").alias("node")))
+        inner = materialize(both_ways, "scc-nodes")
+        alone = nodes.join(inner, "node", "left_anti")
+        if alone.isEmpty():
+            break
+        done = materialize(alone.select("node", F.col("node").alias("scc")), "scc-done")
+        out = done if out is None else out.unionByName(done)
+        nodes, left = inner, materialize(induced(left, inner), "scc-edges")
+    for _ in range(max_rounds):
+        if nodes.isEmpty():
+            break
+        colour = _spread_min(left, nodes.select("node", F.col("node").alias("colour")), max_rounds)
+        a, b = colour.select(F.col("node").alias("src"), F.col("colour").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("cb"))
+        inside = left.join(a, "src").join(b, "dst").where("ca = cb").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        back = reach(inside, colour.select(F.col("colour").alias("node")).distinct())
+        done = materialize(back.select("node").join(colour, "node").select("node", F.col("colour").alias("scc")), "scc-done")
+        out = done if out is None else materialize(out.unionByName(done), "scc-out")
+        nodes = materialize(nodes.join(done, "node", "left_anti"), "scc-nodes")
+        left = materialize(induced(left, nodes), "scc-edges")
+    return out if out is not None else nodes.select("node", F.col("node").alias("scc"))
+
+
+def _spread_min(edges: DataFrame, colours: DataFrame, max_rounds: int) -> DataFrame:
+    """Colours after each node took the least colour of what reaches it, to the fixpoint."""
+    now = materialize(colours, "spread")
+    for _ in range(max_rounds):
+        heard = edges.join(now, edges["src"] == now["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("heard"))
+        step = materialize(now.join(heard, "node", "left").select("node", F.least("colour", F.coalesce("heard", "colour")).alias("colour"), F.col("colour").alias("old")), "spread")
+        now = step.select("node", "colour")
+        if step.where("colour <> old").isEmpty():
+            return now
+    raise RuntimeError(f"colours still change after {max_rounds} rounds")
+
+
+def nearest_ancestor(tree: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(node, ancestor): the nearest proper ancestor that is live, null if none, by pointer jumping over dead ones.
+
+    ``tree`` has node, parent (null at a root) and live; a node occurs once and the tree has no cycle.
+    """
+    t = materialize(tree.select("node", "parent", "live"), "tree")
+    jump = t.select(F.col("node").alias("at"), F.col("parent").alias("up"), F.col("live").alias("at_live"))
+    now = t.select("node", F.col("parent").alias("at"))
+    for _ in range(max_rounds):
+        step = now.join(jump, "at", "left")
+        dead = F.col("at").isNotNull() & ~F.coalesce("at_live", F.lit(False))
+        now = materialize(step.select("node", F.when(dead, F.col("up")).otherwise(F.col("at")).alias("at"), dead.alias("moved")), "ancestors")
+        if now.where("moved").isEmpty():
+            return now.select("node", F.col("at").alias("ancestor"))
+        now = now.select("node", "at")
+    raise RuntimeError(f"ancestors still change after {max_rounds} rounds")

@@ -1,4 +1,6 @@
 """The registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quillon.plans import cluster_queries, graph_queries, item_queries, match_queries, model_queries, source_queries  # noqa: F401
+from quillon.plans.registered import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
