@@ -10,7 +10,7 @@ ITEM = "struct<gps_info:map<string,string>,exif_info:map<string,string>,label:ar
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """(item_id, gps, exif, event_id, scene_id) of a dataset file: JSON encoded twice, its first element a map of items."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     once = text.select(F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "v string")["v"].alias("inner"))
     first = once.select(F.get_json_object("inner", "$[0]").alias("info"))
     items = first.select(F.explode(F.from_json("info", f"map<string,{ITEM}>")).alias("item_id", "x"))

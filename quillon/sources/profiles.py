@@ -43,7 +43,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_hprof(spark: SparkSession, path: str) -> DataFrame:
     """(stack, cost) of a text dump: TRACE blocks joined with the CPU SAMPLES table by trace number."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     trace = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^TRACE \d+:.*(?:\n\t.*)*"), F.lit(0))).alias("t"))
     stacks = trace.select(F.regexp_extract("t", r"^TRACE (\d+):", 1).cast("long").alias("trace"), F.regexp_extract_all("t", F.lit(r"\n\t(\S+?)\("), F.lit(1)).alias("stack"))
     row = r"(?m)^\s*\d+\s+[\d.]+%\s+[\d.]+%\s+\d+\s+\d+\s+\S+\s*$"
