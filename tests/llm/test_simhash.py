@@ -54,7 +54,7 @@ def test_equals_brute_force(spark):
 def test_links_of_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 100)
     fps = clustered(900, 4, 1)
-    nodes = spark.createDataFrame([(k, f - (f >> 63 << 64)) for k, f in enumerate(fps)], "node long, fp long")
+    nodes = spark.createDataFrame([(k, f - (f >> 63 << 64)) for k, f in enumerate(fps)], "node long, f0 long")
     label = list(range(len(fps)))
     label = np.array(label)
     edges = simhash.links(nodes).collect()
@@ -67,12 +67,12 @@ def test_local_classes():
     for seed in range(8):
         f = np.array(clustered(250, 9, seed), np.uint64)
         zero = np.zeros(len(f), np.int64)
-        assert simhash._classes(zero, zero, f, simhash.pivots(), 4).tolist() == classes(f)
+        assert simhash._classes(zero, zero, [f], simhash.pivots(), 4).tolist() == classes(f)
 
 
 def test_edges(spark):
     rows = [(4, None), (3, ""), (9, "one two"), (9, "one two"), (8, "ONE\ttwo"), (None, "one two"), (7, "w " * 60000), (6, "Ä b c d e")]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int")
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, f0 int")
     got = simhash.near_copies(docs).collect()
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(3, 3), (4, 3), (6, 6), (7, 7), (8, 8), (9, 8), (9, 8)]
     assert [r.component_id for r in got if r.doc_id is None] == [None]
@@ -81,3 +81,32 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 6, 7, 8]
     assert simhash.near_copies(docs.limit(0)).count() == 0 and simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def test_stage_finds_similar_documents(spark):
+    random.seed(9)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    rows, near, far = [], [], []
+    for g in range(60):
+        base = random.choices(vocabulary, k=random.choice([60, 300, 900]))
+        copy, other = list(base), list(base)
+        for k in random.sample(range(len(base)), max(1, len(base) // 80)):
+            copy[k] = "edited"
+        for k in random.sample(range(len(base)), len(base) // 8):
+            other[k] = "changed"
+        near.append((3 * g, 3 * g + 1))
+        far.append(3 * g + 2)
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, " ".join(copy)), (3 * g + 2, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+
+    def shingles(i):
+        w = text[i].split()
+        return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    like = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    similar = [(a, b) for a, b in near if like(a, b) >= 0.85]
+    assert len(similar) > 40 and all(like(k - 2, k) < 0.6 for k in far)
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    assert all(a in kept for a, _ in near) and sum(k in kept for k in far) >= 58
+    assert sum(b not in kept for _, b in similar) >= 0.97 * len(similar)
