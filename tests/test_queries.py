@@ -55,3 +55,15 @@ def test_classifier_scores_every_pair(spark, sf):
     for name in ("train_predict_linear", "train_predict_mlp"):
         rows = registry.QUERIES[name](spark, sf)
         assert rows.count() == 8_291 and rows.where("probability < 0.5 or predicted_label not in (0, 1)").count() == 0
+
+
+def test_event_pipeline(spark, sf):
+    from quillon.plans import event_pipeline, item_queries
+
+    items = item_queries.events(spark, sf)
+    assigned, metrics = event_pipeline.run(items)
+    rows = assigned.collect()
+    assert sorted(r.event_id for r in rows) == sorted(r.event_id for r in items.select("event_id").collect())
+    assert {r.status for r in rows} <= {"chosen", "unchosen", "noise"}
+    m = metrics.first()
+    assert m.accuracy > 0.9 and m.recall > 0.5
