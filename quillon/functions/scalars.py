@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -127,3 +128,29 @@ def joined(values: Column) -> Column:
 def hash_split(key: Column, part: float) -> Column:
     """True for about ``part`` of the keys, always the same ones: by the first 16 bits of an MD5."""
     return F.substring(F.md5(key.cast("string").cast("binary")), 1, 4) < F.lit(f"{min(0xFFFF, int(part * 0x10000)):04x}")
+
+
+def glob(name: Column, pattern: str) -> Column:
+    """Does the whole name match a shell pattern of ``*``, ``?`` and literal text?"""
+    regex = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
+    return name.rlike(f"(?s)\\A{regex}\\z")
+
+
+def under_any(path: Column, prefixes: list[str]) -> Column:
+    """Does the path start with one of the prefixes? False for none and for a null path."""
+    return reduce(lambda a, b: a | b, [F.coalesce(path.startswith(p), F.lit(False)) for p in prefixes], F.lit(False))
+
+
+def stem(name: Column) -> Column:
+    """A file name without folder, ending and the suffixes ``-gps`` and ``-exif``."""
+    return F.regexp_replace(F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", ""), r"-(gps|exif)$", "")
+
+
+def wrapped(name: Column, width: int = 30) -> Column:
+    """A name broken into lines of at most ``width`` characters."""
+    return F.regexp_replace(name, f"(.{{{width}}})(?=.)", "$1\n")
+
+
+def complete_sum(x: Column) -> Column:
+    """The sum of a measure; null if any row lacks it."""
+    return F.when(F.count("*") == F.count(x), F.sum(x))

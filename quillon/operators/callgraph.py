@@ -108,3 +108,9 @@ def font_size(weight: Column, least: float = 8.0, most: float = 10.0) -> Column:
 
 def pen_width(weight: Column, least: float = 0.5, most: float = 4.0) -> Column:
     return F.greatest(weight * most, F.lit(least))
+
+
+def self_time_weights(nodes: DataFrame) -> DataFrame:
+    """(name, weight): self over the greatest self, for colouring; 0 where all are 0."""
+    most = nodes.agg(F.max("self").alias("most"))
+    return nodes.crossJoin(F.broadcast(most)).select("name", F.when(F.col("most") > 0, F.col("self") / F.col("most")).otherwise(0.0).alias("weight"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import MICROS
+from quillon.operators.items import ordinal
 
 
 def islands(items: DataFrame, group: str, time_us: str, item: str, gap: float, name: str = "cluster_id") -> DataFrame:
@@ -43,6 +44,15 @@ def sized(clusters: DataFrame, key: str, least: int, most: int) -> DataFrame:
     return clusters.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size").between(least, most))
 
 
+def numbered(items: DataFrame, cluster: str, item: str, name: str = "label") -> DataFrame:
+    """``items`` with a number for each: its cluster's 0-based place among the clusters, or, for noise (null), a negative
+    number of its own, -1, -2, … in the order of the items."""
+    places = ordinal(items.select(cluster).where(F.col(cluster).isNotNull()).distinct(), [F.asc(cluster)], name)
+    noise = ordinal(items.where(F.col(cluster).isNull()), [F.asc(item)], "_n")
+    own = noise.withColumn(name, -F.col("_n") - 1).drop("_n")
+    return items.join(places, cluster).select(*items.columns, name).unionByName(own.select(*items.columns, name))
+
+
 def optics_order(points: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, reachability, core distance): from the first point on, always the unplaced point of the least reachability,
     ties by index. The core distance is that to the ``least``-th nearest point, the point itself counted."""

@@ -40,7 +40,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 def reach(edges: DataFrame, starts: DataFrame, depth: int = -1, max_rounds: int = 100_000) -> DataFrame:
     """(node, depth): every node reached from ``starts`` (column node) along src -> dst, with its least number of steps, up
     to ``depth`` (-1: any). Breadth first: each round joins the frontier only, minus what is already seen."""
-    spark = edges.sparkSession
     e = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "reach-edges")
     frontier = materialize(starts.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "reach")
     levels = [frontier]
@@ -55,7 +54,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = -1, max_rounds: int
         levels.append(frontier)
         if len(levels) > 20:
             levels = [materialize(reduce(DataFrame.unionByName, levels), "reach-seen")]
-    return spark.createDataFrame([], frontier.schema).unionByName(reduce(DataFrame.unionByName, levels))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -32,6 +32,25 @@ def fit(pairs: DataFrame, numeric: list[str], categorical: list[str], label: str
     return Pipeline(stages=[front, back.fit(ready)]).fit(pairs)
 
 
+class Blend:
+    """Linear and deep pipelines whose two probabilities a logistic regression combines."""
+
+    def __init__(self, pairs: DataFrame, numeric: list[str], categorical: list[str], label: str, hidden: tuple[int, ...] = (16, 8), seed: int = 7) -> None:
+        self.parts = {k: fit(pairs, numeric, categorical, label, k, hidden, seed) for k in ("wide", "deep")}
+        self.assembler = VectorAssembler(inputCols=["p_wide", "p_deep"], outputCol="features")
+        self.top = LogisticRegression(labelCol=label, maxIter=50, regParam=1e-4).fit(self.assembler.transform(self._both(pairs)))
+
+    def _both(self, pairs: DataFrame) -> DataFrame:
+        out = pairs
+        for k, model in self.parts.items():
+            scored = model.transform(out).withColumn(f"p_{k}", vector_to_array("probability")[1])
+            out = scored.select(*out.columns, f"p_{k}")
+        return out
+
+    def transform(self, pairs: DataFrame) -> DataFrame:
+        return self.top.transform(self.assembler.transform(self._both(pairs)))
+
+
 def predict(model, pairs: DataFrame) -> DataFrame:
     """``pairs`` with predicted_label, the class of the greatest probability (ties: the first), and its probability."""
     p = vector_to_array("probability")

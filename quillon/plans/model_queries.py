@@ -19,7 +19,7 @@ def _scored(spark, sf, kind):
     n = pairs.count()
     key = F.concat_ws(":", F.col("first_id").cast("string"), F.col("second_id").cast("string"))
     fit_on = pairs.where(S.hash_split(key, min(1.0, FIT_PAIRS / max(1, n))))
-    model = M.fit(fit_on, NUMERIC, ["delta_day"], "label", kind)
+    model = M.Blend(fit_on, NUMERIC, ["delta_day"], "label") if kind == "wide_deep" else M.fit(fit_on, NUMERIC, ["delta_day"], "label", kind)
     return M.predict(model, pairs).select("first_id", "second_id", "predicted_label", F.round("probability", 6).alias("probability"))
 
 
@@ -31,3 +31,8 @@ def train_predict_linear(spark, sf):
 @query()
 def train_predict_mlp(spark, sf):
     return _scored(spark, sf, "deep")
+
+
+@query()
+def train_predict_blend(spark, sf):
+    return _scored(spark, sf, "wide_deep")
