@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
                 scores.append(float(share.max() / share.sum()))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return column(F.col(text_col))
+    return column.asNondeterministic()(F.col(text_col))  # so that no plan evaluates it twice
 
 
 def held_out(id_col: str = "doc_id") -> Column:

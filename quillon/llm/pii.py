@@ -103,7 +103,7 @@ def find_base(docs: DataFrame, text_col: str = "text"):
             })
         return pa.array(out, kind)
 
-    return column(F.coalesce(F.col(text_col), F.lit("")))
+    return column.asNondeterministic()(F.coalesce(F.col(text_col), F.lit("")))  # so that no plan evaluates it twice
 
 
 def term_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
