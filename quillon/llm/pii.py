@@ -25,7 +25,10 @@ WORD = re.compile(r"[^\W\d_]{3,}")
 #: Words on either side of a protected entity that count as its context, and the characters looked at for them.
 CONTEXT_WORDS = 5
 CONTEXT_CHARS = 400
-FOUND = "key string, n_email long, n_ip long, n_card long, n_phone long, spans array<struct<start:long,end:long,kind:string>>, context array<struct<entity:string,term:string,start:long,end:long>>"
+FOUND = (
+    "struct<key:string,n_email:long,n_ip:long,n_card:long,n_phone:long,spans:array<struct<start:long,end:long,kind:string>>,"
+    "context:array<struct<entity:string,term:string,start:long,end:long>>>"
+)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -89,7 +92,7 @@ def find_base(docs: DataFrame, text_col: str = "text"):
         ("context", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
     ])
 
-    @F.arrow_udf(f"struct<{FOUND.replace(' string', ':string').replace(' long', ':long').replace(' array', ':array')}>")
+    @F.arrow_udf(FOUND)
     def column(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts.to_pylist():
