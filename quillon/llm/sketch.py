@@ -15,6 +15,8 @@ from quillon.llm._batches import batch, columns, rows, small_batches
 
 #: Hex digits kept of each hash, its high bits.
 DIGITS = 12
+#: Ranges of ids at most, whatever the table's size; larger ones are read in order all the same.
+MOST_RANGES = 16_000
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
@@ -79,12 +81,13 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprint_edits(
-    docs: DataFrame, fraction: float = 1 / 16, words: int = 5, rows_per_range: int = 4000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, fraction: float = 1 / 16, words: int = 5, rows_per_task: int = 4000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the next row by (doc_id, text), a null doc_id first; after the last comes the first. Rows are
-    dealt over ranges of doc_id with bounds from its approximate quantiles, sorted there and read in order; each range
+    dealt over ranges of doc_id with bounds from its approximate quantiles (several a task, to even out what they hold; at
+    most ``MOST_RANGES``, whose bounds the driver holds), sorted there and read in order; each range
     also gets the first row of the next one (found by a broadcast of one id a range), so texts are shuffled once and no task
     holds more than a row at a time.
     A null text is empty; a table of one row follows itself; an empty table gives no rows.
@@ -93,9 +96,10 @@ def fingerprint_edits(
     small_batches(spark)
     d = columns(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("at"))
     n = d.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per_range))
-    steps = [k / parts for k in range(1, parts)] or [0.5]
-    bounds = np.unique(np.array(d.agg(F.percentile_approx("at", steps, 20 * parts)).first()[0] or [], np.int64))
+    parts = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per_task)))
+    ranges = min(MOST_RANGES, 8 * parts)
+    steps = [k / ranges for k in range(1, ranges)] or [0.5]
+    bounds = np.unique(np.array(d.agg(F.percentile_approx("at", steps, 20 * ranges)).first()[0] or [], np.int64))
 
     @F.arrow_udf("int")
     def place(at: pa.Array) -> pa.Array:

@@ -6,7 +6,7 @@ from quillon.llm import sketch
 def test_edits_follow_the_next_row(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(3)
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    got = {r.doc_id: r for r in sketch.fingerprint_edits(docs, rows_per_range=17).collect()}
+    got = {r.doc_id: r for r in sketch.fingerprint_edits(docs, rows_per_task=17).collect()}
     assert len(got) == len(rows)
     s = sketch.Sketcher(1 / 16, 5)
     for k, (i, text) in enumerate(rows):
