@@ -45,14 +45,15 @@ class Model:
         return np.zeros(len(self.langs), np.float32)
 
 
-def _log_frequencies(table: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+def _log_frequencies(table: pa.Table, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """(key -> row, smoothed log frequency per language) of a table (key, langs, counts)."""
     at = {lang: k for k, lang in enumerate(langs)}
-    counts = np.zeros((len(table), len(langs)))
-    for k, (_, by_lang) in enumerate(table):
-        for x in by_lang:
-            counts[k, at[x["lang"]]] = x["n"]
+    keys, lists, n = (table.column(c).combine_chunks() for c in ("key", "langs", "counts"))
+    counts = np.zeros((len(keys), len(langs)))
+    row = np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy(zero_copy_only=False)) if len(keys) else np.zeros(0, int)
+    counts[row, [at[x] for x in lists.flatten().to_pylist()]] = n.flatten().to_numpy(zero_copy_only=False)
     smoothed = counts + SMOOTHING
-    return {key: k for k, (key, _) in enumerate(table)}, np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32)
+    return {key: k for k, key in enumerate(keys.to_pylist())}, np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32)
 
 
 def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -77,13 +78,24 @@ def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return pairs.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _largest(counts: DataFrame, key: str, most: int) -> list:
-    totals = counts.groupBy(key).agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-    return [(r[key], r["by_lang"]) for r in totals.orderBy(F.desc("total"), key).limit(most).collect()]
+def _largest(counts: DataFrame, key: str, most: int) -> pa.Table:
+    """(key, langs, counts), ascending by key, of the most frequent keys, ``most`` at most: those above the level of total
+    count (64 levels to a doubling) at which there would be more."""
+    level = F.floor(F.log2(F.sum("n")) * 64)
+    sizes = counts.groupBy(key).agg(level.alias("level")).groupBy("level").agg(F.count("*").alias("n")).collect()
+    above, held = -1, 0
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        held += r["n"]
+        if held > most:
+            above = r["level"]
+            break
+    pair = F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
+    kept = counts.groupBy(F.col(key).alias("key")).agg(level.alias("level"), pair).where(F.col("level") > above)
+    return kept.select("key", F.col("by_lang.lang").alias("langs"), F.col("by_lang.n").alias("counts")).orderBy("key").toArrow()
 
 
 def train(docs: DataFrame, max_words: int = 60_000, max_grams: int = 60_000, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Counts words over all given rows with a language; the model keeps the ``max_words`` most frequent words and the
+    """Counts words over all given rows with a language; the model keeps at most the ``max_words`` most frequent words and the
     ``max_grams`` most frequent character n-grams (lengths 1 to 5, weighted by the words' counts), its stated size bound.
     Rows with a null language or text teach nothing; no such rows give a model of no language.
     """
@@ -98,6 +110,7 @@ def train(docs: DataFrame, max_words: int = 60_000, max_grams: int = 60_000, lan
         lambda k: F.transform(F.sequence(F.lit(1), F.length("padded") - k + 1), lambda i: F.substring("padded", i, k)),
     )))
     grams = counts.select("lang", "n", padded.alias("padded")).select("lang", "n", gram.alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = materialize(grams, "lang-grams")
     words, known = _log_frequencies(_largest(counts, "word", max_words), langs)
     gram_at, gram_rows = _log_frequencies(_largest(grams, "gram", max_grams), langs)
     return Model(langs, words, known, gram_at, gram_rows)

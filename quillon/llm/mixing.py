@@ -19,6 +19,12 @@ TOPICS = (("table", r" \| "), ("license", r"(?i)licensed under|all rights reserv
 TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
 
+#: Cells (distinct combinations of source, language and topic) that one task handles while raking.
+CELLS_PER_TASK = 100_000
+#: Raking ends once no share changes in a round by more than this part of itself.
+SETTLED = 1e-12
+
+
 def topic(text: Column, topics: tuple = TOPICS) -> Column:
     """The name of the first of ``topics`` (name, pattern) that the text matches; ``prose`` if none or null."""
     return reduce(lambda rest, t: F.when(text.rlike(t[1]), t[0]).otherwise(rest), reversed(topics), F.lit("prose"))
@@ -53,18 +59,25 @@ def _targets(cells: DataFrame, dimension: str, wanted: float | dict[str, float])
 def rake(cells: DataFrame, targets: dict = TARGETS, rounds: int = 12) -> DataFrame:
     """Iterative proportional fitting: the cells (source, lang, topic, tokens) with ``share``, their calibrated part of the mix.
 
-    Each round scales the shares to each dimension's targets in turn, by a pre-aggregated sum per value and a join; so
-    the cells, which are distinct combinations, never meet in one task. A value whose target is 0 or is absent gets 0.
+    Each of at most ``rounds`` rounds scales the shares to each dimension's targets in turn, by a pre-aggregated sum per
+    value and a join; so the cells, which are distinct combinations, never meet in one task. The table is kept in a file
+    for each ``CELLS_PER_TASK`` cells, so that a small one costs few tasks, and written after each scaling, so that plans
+    stay small. A value whose target is 0 or is absent gets 0.
     """
+    files = max(1, -(-cells.count() // CELLS_PER_TASK))
     total = cells.agg(F.sum("tokens").alias("total"))
     now = cells.crossJoin(F.broadcast(total)).select(*DIMENSIONS, "tokens", (F.col("tokens") / F.col("total")).alias("share"))
-    wanted = {d: materialize(_targets(cells, d, targets[d]), f"mix-{d}") for d in DIMENSIONS}
+    now = materialize(now.coalesce(files), "mix-cells")
+    wanted = {d: materialize(_targets(cells, d, targets[d]).coalesce(files), f"mix-{d}") for d in DIMENSIONS}
     for _ in range(rounds):
+        before = now.select(*DIMENSIONS, F.col("share").alias("before"))
         for d in DIMENSIONS:
             sums = now.groupBy(d).agg(F.sum("share").alias("has")).join(wanted[d], d, "left")
             factor = F.when(F.col("has") > 0, F.coalesce("target", F.lit(0.0)) / F.col("has")).otherwise(0.0)
             now = now.join(sums.select(d, factor.alias("factor")), d).select(*DIMENSIONS, "tokens", (F.col("share") * F.col("factor")).alias("share"))
-        now = materialize(now, "mix-cells")
+            now = materialize(now.coalesce(files), "mix-cells")
+        if now.join(before, list(DIMENSIONS)).where(F.abs(F.col("share") - F.col("before")) > SETTLED * F.col("before")).isEmpty():
+            break
     return now
 
 

@@ -23,8 +23,9 @@ def test_backoff_uses_the_longest_known_grams(spark):
     assert (m.word("abbx") == at["^abb"]).all()
     assert (m.word("qqd") == at["d$"]).all()
     assert (m.word("???") == 0).all() or len(m.word("???")) == 2
-    small = langid.train(docs, max_words=1, max_grams=2)
-    assert len(small.words) == 1 and len(small.gram_at) == 2
+    more = docs.unionByName(spark.createDataFrame([(4, "xx", "ab ab ab ab ab ab ab ab ab")], docs.schema))
+    small = langid.train(more, max_words=1, max_grams=9)
+    assert list(small.words) == ["ab"] and 0 < len(small.gram_at) <= 9
 
 
 def test_edges(spark):
