@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._batches import batch, columns, rows, small_batches
@@ -185,20 +185,21 @@ def wide_links(nodes: DataFrame, most: int = 46) -> DataFrame:
 def compared(nodes: DataFrame, words: list[str], keys: Column, most: int) -> DataFrame:
     """Edges that connect the nodes under a common key whose fingerprints, over ``words``, differ in at most ``most`` bits.
 
-    Within a group, pairs are discarded by their distances to the pivots and survivors verified. A group over ``CELL``
-    members is dealt over square cells of a salt, so no task holds more than two cells' worth of a group; each task
-    returns a forest of its links, not the pairs.
+    Within a group, pairs are discarded by their distances to the pivots and survivors verified, where the rows have been
+    dealt by key. A group over ``CELL`` members is dealt again, over square cells of a salt, so no task compares more than
+    two cells' worth of a group; each task returns a forest of its links, rooted at the smallest node, not the pairs.
     """
     small_batches(nodes.sparkSession)
     keyed = nodes.select("node", *words, F.explode(keys).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / CELL).cast("int")
+    met = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    zero = [F.lit(0).alias(c) for c in ("row", "col", "side")]
+    few = met.where(F.col("n") <= CELL).select("node", *words, "key", *zero).sortWithinPartitions("key", "node")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = keyed.join(sizes, "key").withColumn("parts", parts).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(
+    many = met.where(F.col("n") > CELL).withColumn("parts", F.ceil(F.col("n") / CELL).cast("int")).withColumn("own", own)
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = many.select(
         "node", *words, "key", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"), (F.col("own") > F.col("other")).cast("int").alias("side")
-    )
+    ).repartition("key", "row", "col").sortWithinPartitions("key", "row", "col", "node")
     refs = pivots()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +235,8 @@ def compared(nodes: DataFrame, words: list[str], keys: Column, most: int) -> Dat
             if edges is not None:
                 yield edges
 
-    return dealt.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col").mapInArrow(run, "src long, dst long")
+    edges = [part.mapInArrow(run, "src long, dst long") for part in (few, cells)]
+    return edges[0].unionByName(edges[1])
 
 
 def components(docs: DataFrame, words: int = 4, most: int = 4, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
