@@ -28,6 +28,28 @@ def test_backoff_uses_the_longest_known_grams(spark):
     assert list(small.words) == ["ab"] and 0 < len(small.gram_at) <= 9
 
 
+def test_no_word_is_left_out(spark, monkeypatch):
+    """A frequent language of more words than the old bound of 60000, and a rare one over the same letters."""
+    import random
+
+    random.seed(4)
+    vocabulary = sorted({"".join(random.choices("abcdefgh", k=7)) for _ in range(72_000)})
+    assert len(vocabulary) > 66_000
+    rare, hot = vocabulary[::900], [w for k, w in enumerate(vocabulary) if k % 900]
+    taught = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    tested = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 4 == 2]
+    rows = [(taught[k], " ".join(hot[k::50] * 2), "hot") for k in range(50)] + [(taught[50], " ".join(rare), "rr")]
+    rows += [(tested[0], " ".join(rare[::2]), "rr"), (tested[1], " ".join(hot[::700]), "hot"), (tested[2], "abcdefx " + rare[3] + " qq", "rr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs.where("not " + f"doc_id in ({tested[0]}, {tested[1]}, {tested[2]})"))
+    want = {r.doc_id: r.p for r in docs.select("doc_id", langid.predict(docs, model).alias("p")).collect()}
+    for head in (langid.HEAD, 100):
+        monkeypatch.setattr(langid, "HEAD", head)
+        got = {r.doc_id: r for r in langid.identify(docs).collect()}
+        assert [got[k].lang_pred for k in tested[:2]] == ["rr", "hot"]
+        assert all(got[k].lang_pred == want[k].lang and abs(got[k].score - want[k].score) < 1e-3 for k in want)
+
+
 def test_edges(spark):
     rows = [(1, "one two three", "en"), (2, None, "en"), (3, "12 ½ _ ...", "en"), (4, "", None), (5, "eins zwei drei", "de"), (None, "two one", None), (5, "漢字", None), (6, "two " * 80000, None)]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, score double")
