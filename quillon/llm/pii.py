@@ -22,12 +22,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
-#: Words on either side of a protected entity that count as its context, and the characters looked at for them.
-CONTEXT_WORDS = 5
-CONTEXT_CHARS = 400
 FOUND = (
     "struct<key:string,n_email:long,n_ip:long,n_card:long,n_phone:long,spans:array<struct<start:long,end:long,kind:string>>,"
-    "context:array<struct<entity:string,term:string,start:long,end:long>>>"
+    "entities:array<string>,terms:array<struct<term:string,places:array<struct<start:long,end:long>>>>>"
 )
 
 
@@ -71,25 +68,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def context(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end): words of three or more letters within ``CONTEXT_WORDS`` words of a span and outside all spans."""
-    out = []
-    for a, b, kind in spans:
-        left = text[max(0, a - CONTEXT_CHARS) : a]
-        near = [(a - len(left) + m.start(), m[0]) for m in list(WORD.finditer(left))[-CONTEXT_WORDS:]]
-        near += [(b + m.start(), m[0]) for _, m in zip(range(CONTEXT_WORDS), WORD.finditer(text[b : b + CONTEXT_CHARS]), strict=False)]
-        entity = kind + ":" + text[a:b].lower()
-        out += [(entity, w.lower(), s, s + len(w)) for s, w in near if not any(x < s + len(w) and s < y for x, y, _ in spans)]
+def entities(text: str, spans: list[tuple[int, int, str]]) -> list[str]:
+    """The distinct protected entities of a text, in order."""
+    return sorted({kind + ":" + text[a:b].lower() for a, b, kind in spans})
+
+
+def terms(text: str, spans: list[tuple[int, int, str]]) -> dict[str, list[tuple[int, int]]]:
+    """Each word of three or more letters of the whole text with its places (start, end) outside all spans (sorted by start)."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    at = last = 0
+    for m in WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            last = max(last, spans[at][1])
+            at += 1
+        if last <= m.start():
+            out.setdefault(m[0].lower(), []).append(m.span())
     return out
 
 
 def find_base(docs: DataFrame, text_col: str = "text"):
-    """A struct column (``FOUND``) from ``text_col``: a key of the text, counts, base spans and their context."""
+    """A struct column (``FOUND``) from ``text_col``: a key of the text, counts, base spans, and where there are some its entities and terms."""
     small_batches(docs.sparkSession)
     kind = pa.struct([
         ("key", pa.string()), *[(f"n_{k}", pa.int64()) for k in KINDS],
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))),
-        ("context", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
+        ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.struct([("term", pa.string()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))),
     ])
 
     @F.arrow_udf(FOUND)
@@ -102,7 +105,8 @@ def find_base(docs: DataFrame, text_col: str = "text"):
             out.append({
                 "key": hashlib.md5(text.encode()).hexdigest(), **{f"n_{k}": n[k] for k in KINDS},
                 "spans": [{"start": a, "end": b, "kind": k} for a, b, k in spans],
-                "context": [{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in context(text, spans)],
+                "entities": entities(text, spans),
+                "terms": [{"term": t, "places": [{"start": a, "end": b} for a, b in at]} for t, at in terms(text, spans).items()] if spans else [],
             })
         return pa.array(out, kind)
 
@@ -118,7 +122,7 @@ def term_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
         held: Counter = Counter()
         for b in batches:
             for (text,) in rows([b]):
-                held.update(set(WORD.findall((text or "").lower())))
+                held.update({w.lower() for w in WORD.findall(text or "")})
             if len(held) > 400_000:
                 yield batch(schema, list(held.items()))
                 held = Counter()
@@ -130,15 +134,18 @@ def term_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def disclosing_terms(found: DataFrame, docs: DataFrame, least: float = 0.9, least_documents: int = 2, text_col: str = "text") -> DataFrame:
     """(entity, term, disclosure) of terms whose co-occurrence gives away an entity.
 
-    Over N rows, with n(e) rows that hold entity e, n(t) that hold term t and n(e, t) that hold t in e's context,
+    Over N rows, with n(e) rows that hold entity e, n(t) that hold term t and n(e, t) that hold e and, anywhere outside base spans, t,
     disclosure = PMI(e; t) / IC(e) = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)): 1 if t occurs with e alone, 0 or less if
     they are independent. Pairs seen in fewer than ``least_documents`` rows estimate nothing and are left out.
     """
     n = docs.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p"))
-    together = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= least_documents)
-    entity = F.explode(F.array_distinct(F.transform("context", lambda c: c["entity"]))).alias("entity")
-    alone = found.select(entity).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n)
+    words = F.first(F.transform("terms", lambda t: t["term"])).alias("words")
+    texts = materialize(found.where("size(entities) > 0").groupBy("key").agg(F.count("*").alias("m"), F.first("entities").alias("entities"), words), "pii-texts")
+    held = texts.select("m", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("m").alias("n_e"))
+    alone = materialize(held.where((F.col("n_e") >= least_documents) & (F.col("n_e") < n)), "pii-entities")  # fewer rows hold too few pairs
+    often = texts.select("m", "words", F.explode("entities").alias("entity")).join(alone.select("entity"), "entity")
+    pairs = often.select("m", "entity", F.explode("words").alias("term"))
+    together = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_et")).where(F.col("n_et") >= least_documents)
     together = materialize(together, "pii-pairs")
     known = term_documents(docs, text_col).join(together.select("term").distinct(), "term", "left_semi")
     both = together.join(alone, "entity").join(known, "term")
@@ -147,10 +154,12 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, least: float = 0.9, leas
 
 
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, terms): by text, the places (start, end, disclosure) of disclosing terms next to their entity."""
-    places = found.select("key", F.explode("context").alias("c")).select("key", "c.*").distinct()
-    hits = places.join(terms, ["entity", "term"])
-    return hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
+    """(key, terms): by text, all places (start, end, disclosure) of terms that disclose an entity the text holds."""
+    texts = found.where("size(entities) > 0").groupBy("key").agg(F.first("entities").alias("entities"), F.first("terms").alias("words"))
+    wanted = texts.select("key", F.explode("entities").alias("entity")).join(terms, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    places = texts.select("key", F.explode("words").alias("w")).select("key", "w.term", "w.places")
+    hits = places.join(wanted, ["key", "term"]).select("key", "disclosure", F.explode("places").alias("p"))
+    return hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("p.start", "p.end", "disclosure"))).alias("terms"))
 
 
 def _listed(spans) -> object:
@@ -169,7 +178,7 @@ def find(docs: DataFrame, least: float = 0.9, least_documents: int = 2) -> DataF
     extra = term_spans(found, disclosing_terms(found, d, least, least_documents))
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     more = F.transform(F.coalesce("terms", F.expr("array()")), lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS) + 1).cast("long").alias("rank"), s["end"].alias("end"), F.lit(TERM).alias("kind")))
-    both = found.join(extra, "key", "left")
+    both = found.drop("terms").join(extra, "key", "left")
     return both.select(
         "doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_listed(F.col("spans")).cast("binary"), 256).alias("base_sha256"),
         _listed(F.array_sort(F.array_distinct(F.concat(base, more)))).alias("spans"),
@@ -199,7 +208,7 @@ def sanitize(docs: DataFrame, least: float = 0.9, least_documents: int = 2, remo
     extra = term_spans(found, disclosing_terms(found, d, least, least_documents))
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("by")))
     terms = F.transform(F.coalesce("terms", F.expr("array()")), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), F.when(s["disclosure"] >= remove_from, "").otherwise(f"[{TERM}]").alias("by")))
-    marks = found.dropDuplicates(["key"]).join(extra, "key", "left").select(F.col("key").alias("_pii_key"), F.concat(spans, terms).alias("_pii_marks"))
+    marks = found.drop("terms").dropDuplicates(["key"]).join(extra, "key", "left").select(F.col("key").alias("_pii_key"), F.concat(spans, terms).alias("_pii_marks"))
 
     @F.arrow_udf("string")
     def replace(texts: pa.Array, marks: pa.Array) -> pa.Array:

@@ -67,6 +67,20 @@ def test_disclosing_terms_equal_brute_force(spark):
     assert spans[0] == "term:4:9,email:13:19" and spans[3] == ""
 
 
+def test_terms_disclose_from_the_whole_document(spark):
+    far = "filler words stand here " * 60
+    rows = [f"Zorro {far} a@b.co {far} and zorro again"] * 2 + [f"a@b.co {far} Zorro"] + [far] * 9
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = docs.select(pii.find_base(docs).alias("f")).select("f.*")
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosing_terms(found, docs).collect()}
+    assert abs(got["email:a@b.co", "zorro"] - 1) < 1e-9 and ("email:a@b.co", "filler") not in got
+    spans = {r.doc_id: r.spans.split(",") for r in pii.find(docs).collect()}
+    for k in range(3):
+        assert {f"term:{m.start()}:{m.end()}" for m in re.finditer("zorro", rows[k].lower())} <= set(spans[k])
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
+    assert all("zorro" not in clean[k].lower() and "[email]" in clean[k] for k in range(3)) and clean[5] == far
+
+
 def test_edges(spark):
     rows = [(None, None), (1, ""), (1, "x@y.zz"), (2, "9" * 20000), (3, "a" * 200000), (4, "1." * 50000), (5, "+1" + " " * 50000), (6, "é x@y.zz")]
     docs = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], "doc_id long, text string, n_chars int, key string")
