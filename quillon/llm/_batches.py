@@ -22,6 +22,14 @@ def columns(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[df[c].alias(k) for k, c in names.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with underscores ahead until no column of ``df`` has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples."""
     for b in batches:
