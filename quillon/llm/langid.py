@@ -21,7 +21,7 @@ LONGEST = 5
 SMOOTHING = 0.1
 UNDETERMINED = "und"
 #: The most frequent words are scored where the texts are read, all others by a join; only the way, not the result, depends on it.
-HEAD = 60_000
+HEAD = 200_000
 COUNTS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
 
