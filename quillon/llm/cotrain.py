@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._batches import columns, small_batches
+from quillon.llm._batches import batch, columns, rows, small_batches
 from quillon.llm.mixing import draw
+from quillon.session import materialize
 
 WORD_BUCKETS = 256
 SOURCE_BUCKETS, LANG_BUCKETS, LENGTH_STEPS = 64, 32, 24
+META_SIZE = SOURCE_BUCKETS + LANG_BUCKETS + LENGTH_STEPS
+#: Partial sums that one task adds up, or the driver at the end.
+SUMS_AT_ONCE = 32
 PUNCTUATION = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
 
 
@@ -50,51 +56,54 @@ class TextView:
         return np.concatenate([share, np.sqrt(marks[PUNCTUATION]), shape]).astype(np.float32)
 
 
-class MetadataView:
-    """Features of a page's metadata: hashed source and language, and the length in powers of two."""
+def metadata(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
+    """A page's metadata as three places of a one-hot vector: hashed source and language, and the length in powers of two."""
+    return [
+        zlib.crc32((source or "").encode()) % SOURCE_BUCKETS, SOURCE_BUCKETS + zlib.crc32((lang or "").encode()) % LANG_BUCKETS,
+        SOURCE_BUCKETS + LANG_BUCKETS + min(LENGTH_STEPS - 1, max(0, n_chars or 0).bit_length()),
+    ]
 
-    size = SOURCE_BUCKETS + LANG_BUCKETS + LENGTH_STEPS
 
-    def __call__(self, _: object, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-        x = np.zeros(self.size, np.float32)
-        x[zlib.crc32((source or "").encode()) % SOURCE_BUCKETS] = 1
-        x[SOURCE_BUCKETS + zlib.crc32((lang or "").encode()) % LANG_BUCKETS] = 1
-        x[SOURCE_BUCKETS + LANG_BUCKETS + min(LENGTH_STEPS - 1, max(0, n_chars or 0).bit_length())] = 1
-        return x
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 @dataclass
 class Linear:
-    """A logistic regression on standardised features."""
+    """A linear function of features."""
 
-    mean: np.ndarray
-    scale: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights + self.bias
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.weights + self.bias
 
 
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 250, rate: float = 0.05) -> Linear:
-    """Full-batch Adam on the mean log loss; deterministic."""
-    x = x.astype(np.float64)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = (x - mean) / scale
-    prior = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-    w, b = np.zeros(x.shape[1] + 1), math.log(prior / (1 - prior))
-    w[-1] = b
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for k in range(1, steps + 1):
-        error = sigmoid(z @ w[:-1] + w[-1]) - y
-        g = np.r_[z.T @ error / len(y) + l2 * w[:-1], error.mean()]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return Linear(mean, scale, w[:-1], float(w[-1]))
+def moments(x: np.ndarray) -> np.ndarray:
+    """The sums of products of the features and a constant, all that ``ridge`` needs of a class; they add up over rows."""
+    one = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
+    return one.T @ one
 
 
-def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+def ridge(good: np.ndarray, bad: np.ndarray, l2: float = 0.01) -> Linear:
+    """Least squares of the label (1 or 0) from the moments of both classes."""
+    every = good + bad
+    n = every[-1, -1]
+    mean, share = every[:-1, -1] / n, good[-1, -1] / n
+    spread = every[:-1, :-1] / n - np.outer(mean, mean)
+    weights = np.linalg.solve(spread + np.diag(l2 * np.diag(spread) + 1e-6), good[:-1, -1] / n - mean * share)
+    return Linear(weights, float(share - mean @ weights))
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 30) -> Linear:
+    """A logistic regression on a few scores (columns of ``x``) by Newton's method, scores standardised."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
+    w, penalty = np.zeros(z.shape[1]), np.diag([l2] * x.shape[1] + [1e-6])
+    for _ in range(steps):
+        p = sigmoid(z @ w)
+        w = w - np.linalg.solve((z.T * (p * (1 - p))) @ z / len(y) + penalty, z.T @ (p - y) / len(y) + penalty @ w)
+    return Linear(w[:-1] / scale, float(w[-1] - (w[:-1] / scale) @ mean))
 
 
 @dataclass
@@ -107,79 +116,123 @@ class Model:
     meta_scale: Linear
     both: Linear
 
+    def logits(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        """The calibrated logits of both views, a row per document."""
+        return np.stack([self.text_scale(self.text(text)[:, None]), self.meta_scale(self.meta(meta)[:, None])], axis=1)
+
     def scores(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """(text, metadata, combined) calibrated probabilities, a row per document."""
-        a = self.text_scale.logit(self.text.logit(text)[:, None])
-        b = self.meta_scale.logit(self.meta.logit(meta)[:, None])
-        return np.stack([sigmoid(a), sigmoid(b), sigmoid(self.both.logit(np.stack([a, b], axis=1)))], axis=1)
-
-
-def cotrain(
-    text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray,
-    rounds: int = 4, per_round: int = 800, confident: float = 0.9,
-) -> Model:
-    """Every fifth labelled row calibrates, the others teach. In each round each view labels the pool rows it is surest of
-    (at least ``confident``, at most ``per_round``, in the labels' proportions) for the other view, which learns them as
-    well; such rows leave the pool. Then each view is calibrated, and a regression on both calibrated logits combines them.
+        two = self.logits(text, meta)
+        return np.concatenate([sigmoid(two), sigmoid(self.both(two))[:, None]], axis=1)
+
+
+def fitted(text: list[np.ndarray], meta: list[np.ndarray], hold: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Model:
+    """The model of both views' moments (of good, of bad rows), calibrated on the rows held out (text, meta, label)."""
+    a, b = ridge(*text), ridge(*meta)
+    xa, xb, y = a(hold[0])[:, None], b(hold[1])[:, None], hold[2]
+    scale_a, scale_b = calibrated(xa, y), calibrated(xb, y)
+    return Model(a, b, scale_a, scale_b, calibrated(np.stack([scale_a(xa), scale_b(xb)], axis=1), y))
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, m) per row of ``docs`` (doc_id, text, source, lang, n_chars): the text features in half precision and
+    the metadata's places; made once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.binary()), ("m", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        view = TextView()
+        for b in batches:
+            yield batch(schema, [(i, view(t).astype(np.float16).tobytes(), metadata(*rest)) for i, t, *rest in rows([b])])
+
+    return docs.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(run, "doc_id long, t binary, m array<int>")
+
+
+def unpacked(t: list[bytes], m: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The feature matrices of both views."""
+    text = np.frombuffer(b"".join(t), np.float16).reshape(len(t), TextView.size).astype(np.float32)
+    meta = np.zeros((len(m), META_SIZE), np.float32)
+    if m:
+        meta[np.arange(len(m))[:, None], np.array(m)] = 1
+    return text, meta
+
+
+def pseudo_moments(pool: DataFrame, model: Model, confident: float) -> list[np.ndarray]:
+    """The moments of good and bad rows for the text view, then for the metadata view, over all rows of ``pool``: each view's
+    rows are those of which the other view is at least ``confident``. Sums are made where the rows are, then added up in
+    a tree of tasks, so the driver gets at most ``SUMS_AT_ONCE`` of them.
+    """
+    spark = pool.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    sizes = [TextView.size + 1] * 2 + [META_SIZE + 1] * 2
+    schema = pa.schema([("part", pa.int64()), ("sums", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((k, k)) for k in sizes]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            text, meta = unpacked(b.column("t").to_pylist(), b.column("m").to_pylist())
+            p = sigmoid(shared.value.logits(text, meta))
+            for k, (x, other) in enumerate(((text, p[:, 1]), (text, 1 - p[:, 1]), (meta, p[:, 0]), (meta, 1 - p[:, 0]))):
+                sums[k] += moments(x[other >= confident])
+        yield batch(schema, [(TaskContext.get().partitionId(), np.concatenate([x.ravel() for x in sums]).tobytes())])
+
+    def add(t: pa.Table) -> pa.Table:
+        raw = t.column("sums").to_pylist()
+        total = np.frombuffer(raw[0]).copy()
+        for x in raw[1:]:
+            total += np.frombuffer(x)
+        return pa.Table.from_batches([batch(schema, [(t.column("part")[0].as_py() // SUMS_AT_ONCE, total.tobytes())])])
+
+    now = materialize(pool.select("t", "m").mapInArrow(run, "part long, sums binary"), "cotrain-sums")
+    while now.count() > SUMS_AT_ONCE:
+        now = materialize(now.groupBy(F.floor(F.col("part") / SUMS_AT_ONCE)).applyInArrow(add, "part long, sums binary"), "cotrain-sums")
+    got = [np.frombuffer(x) for x in now.toArrow().column("sums").to_pylist()]
+    total = np.sum(got, axis=0) if got else np.zeros(sum(k * k for k in sizes))
+    ends = np.cumsum([k * k for k in sizes])
+    return [total[e - k * k : e].reshape(k, k) for e, k in zip(ends, sizes, strict=True)]
+
+
+def joined(labelled: list[np.ndarray], pseudo: list[np.ndarray]) -> list[np.ndarray]:
+    """Moments of a view's labelled rows and its pseudo-labelled ones; these weigh as much as the labelled rows in all and
+    have the same share of good ones, however many there are."""
+    return [x + y * (x[-1, -1] / y[-1, -1]) if y[-1, -1] else x for x, y in zip(labelled, pseudo, strict=True)]
+
+
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: DataFrame, rounds: int = 3, confident: float = 0.9) -> Model:
+    """Every fifth labelled row calibrates, the others teach. In each round each view labels all rows of ``pool`` of which it
+    is sure (a calibrated probability of at least ``confident`` either way) for the other view, which is fitted to these
+    and the labelled rows; labels are given anew each round. A regression on both calibrated logits combines the views.
     """
     hold = np.arange(len(y)) % 5 == 4
-    sets = {"text": (text[~hold], y[~hold]), "meta": (meta[~hold], y[~hold])}
-    left = np.ones(len(pool_text), bool)
-    good = min(max(float(y.mean()), 0.02), 0.98)
+    taught = [[moments(x[~hold & (y == c)]) for c in (1, 0)] for x in (text, meta)]
+    held = text[hold], meta[hold], y[hold]
+    model = fitted(*taught, held)
     for _ in range(rounds):
-        views = {k: fit(*v, steps=120) for k, v in sets.items()}
-        at = np.flatnonzero(left)
-        if not len(at):
-            break
-        for own, other, xs, ys in (("text", "meta", pool_text, pool_meta), ("meta", "text", pool_meta, pool_text)):
-            p = sigmoid(views[own].logit(xs[at]))
-            order = np.argsort(-p, kind="stable")
-            up = [k for k in order[: round(per_round * good)] if p[k] >= confident]
-            down = [k for k in order[::-1][: round(per_round * (1 - good))] if p[k] <= 1 - confident]
-            x, labels = sets[other]
-            sets[other] = (np.concatenate([x, ys[at[up + down]]]), np.concatenate([labels, np.ones(len(up)), np.zeros(len(down))]))
-            left[at[up + down]] = False
-    views = {k: fit(*v) for k, v in sets.items()}
-    a, b = views["text"].logit(text[hold])[:, None], views["meta"].logit(meta[hold])[:, None]
-    scale_a, scale_b = fit(a, y[hold]), fit(b, y[hold])
-    both = fit(np.stack([scale_a.logit(a), scale_b.logit(b)], axis=1), y[hold])
-    return Model(views["text"], views["meta"], scale_a, scale_b, both)
-
-
-def _features(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text features, metadata features, labels) of a bounded sample, in the order of the ids."""
-    @F.arrow_udf("struct<t:array<float>,m:array<float>>")
-    def both(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> pa.Array:
-        a, b = TextView(), MetadataView()
-        made = [(a(*x), b(*x)) for x in zip(*(c.to_pylist() for c in (text, source, lang, n_chars)), strict=True)]
-        lists = [pa.array([x[k] for x in made], pa.list_(pa.float32())) for k in (0, 1)]
-        return pa.StructArray.from_arrays(lists, ["t", "m"])
-
-    got = docs.select("doc_id", "label", both("text", "source", "lang", "n_chars").alias("x")).orderBy("doc_id").toArrow()
-    x = got.column("x").combine_chunks()
-    def stacked(c: pa.Array, size: int) -> np.ndarray:
-        return c.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-    return stacked(x.field("t"), TextView.size), stacked(x.field("m"), MetadataView.size), got.column("label").to_numpy().astype(float)
-
-
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_pool: int = 12_000, label_col: str = "quality") -> Model | None:
-    """Fits on a sample by id hash of at most about ``max_labelled`` labelled rows (0 or 1) and ``max_pool`` unlabelled ones,
-    the stated bounds of what the driver holds (about 1.5 kB a row); None without both labels."""
+        pseudo = pseudo_moments(pool, model, confident)
+        model = fitted(joined(taught[0], pseudo[:2]), joined(taught[1], pseudo[2:]), held)
+    return model
+
+
+def train(made: DataFrame, labels: DataFrame, max_labelled: int = 12_000, label_col: str = "quality", rounds: int = 3, confident: float = 0.9) -> Model | None:
+    """Learns from rows of ``features``: from a sample by id hash of at most about ``max_labelled`` labelled ids (0 or 1; an id
+    labelled both ways counts as 1), the stated bound of what the driver holds (about 1.7 kB each), and from all other
+    rows as unlabelled ones. Of an id's rows the one of the least features teaches. None without both labels.
+    """
     given = labels.select(labels["doc_id"].alias("doc_id"), labels[label_col].cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     given = given.groupBy("doc_id").agg(F.max("label").alias("label"))
-    n, m = given.count(), docs.count()
-    part = given.where(draw(F.col("doc_id"), 1) < min(1.0, max_labelled / max(1, n)))
-    seen = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if m < 1000 else docs.where("doc_id is not null")
-    taught = seen.join(F.broadcast(part), "doc_id")
-    rest = seen.where(draw(F.col("doc_id"), 2) < min(1.0, max_pool / max(1, m))).join(given, "doc_id", "left_anti").withColumn("label", F.lit(0))
-    text, meta, y = _features(taught)
-    if len(np.unique(y)) < 2 or len(np.unique(y[4::5])) < 2:
+    part = materialize(given.where(draw(F.col("doc_id"), 1) < min(1.0, max_labelled / max(1, given.count()))), "cotrain-labels")
+    one = made.join(F.broadcast(part), "doc_id").groupBy("doc_id").agg(F.min(F.struct("t", "m", "label")).alias("x"))
+    got = one.toArrow().sort_by("doc_id")
+    x = got.column("x").to_pylist()
+    y = np.array([r["label"] for r in x], float)
+    if any(len(np.unique(some)) < 2 for some in (y[4::5], y[np.arange(len(y)) % 5 != 4])):
         return None
-    pool_text, pool_meta, _ = _features(rest)
-    return cotrain(text, meta, y, pool_text, pool_meta)
+    text, meta = unpacked([r["t"] for r in x], [r["m"] for r in x])
+    return cotrain(text, meta, y, made.join(F.broadcast(part.select("doc_id")), "doc_id", "left_anti"), rounds, confident)
 
 
-def score(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, max_labelled: int = 12_000, max_pool: int = 12_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, max_labelled: int = 12_000, rounds: int = 3, confident: float = 0.9) -> DataFrame:
     """Per row: doc_id, text_score, meta_score, quality_score (0 to 1) and keep, whether quality_score is at least ``keep_from``.
 
     A null text is empty and null metadata a value of its own. Without labels of both kinds nothing is known: scores are
@@ -187,18 +240,18 @@ def score(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, max_labell
     """
     small_batches(docs.sparkSession)
     d = columns(docs, doc_id="doc_id", text="text", source="source", lang="lang", n_chars="n_chars")
-    model = train(d, labels, max_labelled, max_pool)
+    made = materialize(features(d), "cotrain-features")
+    model = train(made, labels, max_labelled, rounds=rounds, confident=confident)
+    names = ("text_score", "meta_score", "quality_score")
     if model is None:
-        none = [F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "quality_score")]
-        return d.select("doc_id", *none, F.lit(True).alias("keep"))
+        return made.select("doc_id", *[F.lit(None).cast("double").alias(c) for c in names], F.lit(True).alias("keep"))
     shared = d.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.float64()) for c in names]])
 
-    @F.arrow_udf("struct<text_score:double,meta_score:double,quality_score:double>")
-    def scored(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> pa.Array:
-        a, b = TextView(), MetadataView()
-        made = list(zip(*(c.to_pylist() for c in (text, source, lang, n_chars)), strict=True))
-        got = shared.value.scores(np.stack([a(*x) for x in made]), np.stack([b(*x) for x in made])) if made else np.zeros((0, 3))
-        return pa.StructArray.from_arrays([pa.array(got[:, k]) for k in range(3)], ["text_score", "meta_score", "quality_score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = shared.value.scores(*unpacked(b.column("t").to_pylist(), b.column("m").to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(got[:, k]) for k in range(3)]], schema=schema)
 
-    out = d.select("doc_id", scored("text", "source", "lang", "n_chars").alias("s")).select("doc_id", "s.*")
+    out = made.mapInArrow(run, ", ".join(["doc_id long", *[f"{c} double" for c in names]]))
     return out.withColumn("keep", F.col("quality_score") >= keep_from)

@@ -11,7 +11,7 @@ def test_held_out_quality(spark):
     known = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     tested = {r.doc_id: r.quality for r in labels.join(known, "doc_id", "left_anti").collect()}
     part = docs.where("doc_id < 5000")
-    got = {r.doc_id: r for r in cotrain.score(part, known, max_labelled=1500, max_pool=1500).collect()}
+    got = {r.doc_id: r for r in cotrain.score(part, known, max_labelled=1500).collect()}
     assert len(got) == part.count()
     both = [(got[i].quality_score, q, got[i].keep) for i, q in tested.items() if i in got]
     good, bad = np.array([s for s, q, _ in both if q]), np.array([s for s, q, _ in both if not q])
@@ -19,16 +19,79 @@ def test_held_out_quality(spark):
     assert np.mean([k for _, q, k in both if q]) > 0.97
 
 
-def test_views_teach_each_other():
+def least_squares(x, y, weight, l2=0.01):
+    """Weighted least squares by solving for centred columns, row by row sums."""
+    w = weight / weight.sum()
+    mean, share = w @ x, w @ y
+    c = x - mean
+    spread = (c * w[:, None]).T @ c
+    beta = np.linalg.solve(spread + np.diag(l2 * np.diag(spread) + 1e-6), (c * w[:, None]).T @ (y - share))
+    return lambda z: (z - mean) @ beta + share
+
+
+def test_equals_brute_force(spark):
+    """All rounds over all rows in one process, from row weights instead of sums of products."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7, "doc_id")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    view = cotrain.TextView()
+    text = np.array([view(r.text) for r in rows]).astype(np.float16).astype(np.float64)
+    meta = np.zeros((len(rows), cotrain.META_SIZE))
+    for k, r in enumerate(rows):
+        meta[k, cotrain.metadata(r.source, r.lang, r.n_chars)] = 1
+    known = np.array([k for k, r in enumerate(rows) if r.doc_id in label])
+    y = np.array([label[rows[k].doc_id] for k in known], float)
+    hold, pool = known[4::5], np.array([k for k, r in enumerate(rows) if r.doc_id not in label])
+    taught, taught_y = np.delete(known, np.s_[4::5]), np.delete(y, np.s_[4::5])
+    pseudo = {"text": (pool[:0], np.zeros(0)), "meta": (pool[:0], np.zeros(0))}
+    for _ in range(4):
+        logit = {}
+        for name, x in (("text", text), ("meta", meta)):
+            at, ys = pseudo[name]
+            weight = np.concatenate([np.ones(len(taught)), *[np.zeros(0)]])
+            extra = np.zeros(len(at))
+            for c in (0, 1):
+                if (ys == c).any():
+                    extra[ys == c] = (taught_y == c).sum() / (ys == c).sum()
+            f = least_squares(x[np.r_[taught, at]], np.r_[taught_y, ys], np.r_[weight, extra])
+            scale = cotrain.calibrated(f(x[hold])[:, None], y[4::5])
+            logit[name] = scale(f(x)[:, None])
+        p = {k: 1 / (1 + np.exp(-v)) for k, v in logit.items()}
+        for name, other in (("text", "meta"), ("meta", "text")):
+            up, down = pool[p[other][pool] >= 0.9], pool[1 - p[other][pool] >= 0.9]
+            pseudo[name] = np.r_[up, down], np.r_[np.ones(len(up)), np.zeros(len(down))]
+    two = np.stack([logit["text"], logit["meta"]], axis=1)
+    want = 1 / (1 + np.exp(-cotrain.calibrated(two[hold], y[4::5])(two)))
+    got = {r.doc_id: r.quality_score for r in cotrain.score(docs, labels).collect()}
+    assert np.abs(np.array([got[r.doc_id] for r in rows]) - want).max() < 1e-3
+    assert len(pseudo["text"][0]) + len(pseudo["meta"][0]) > 50
+
+
+def test_pseudo_labels_help_and_every_row_counts(spark):
     rng = np.random.default_rng(1)
-    y = rng.integers(0, 2, 2000).astype(float)
-    a = np.c_[y + rng.normal(0, 0.5, 2000), rng.normal(size=2000)]
-    b = np.c_[y + rng.normal(0, 0.5, 2000), rng.normal(size=2000)]
-    m = cotrain.cotrain(a[:60], b[:60], y[:60], a[100:1500], b[100:1500])
-    s = m.scores(a[1500:], b[1500:])
-    right = ((s >= 0.5) == (y[1500:, None] == 1)).mean(axis=0)
-    assert right[2] > 0.9 and right[2] >= max(right[0], right[1]) - 0.01
-    assert abs(s[:, 2].mean() - y[1500:].mean()) < 0.1
+    y = rng.integers(0, 2, 1500)
+    words = [" ".join(rng.choice(["fine", "calm", "prose"] if v else ["win", "cash", "now"], 12)) + " " + " ".join(rng.choice(["a", "b", "c", "d"], 30)) for v in y]
+    source = [("good" if (v == 1) == (rng.random() < 0.95) else "bad") for v in y]
+    docs = spark.createDataFrame([(k, words[k], source[k], "en", 99) for k in range(1500)], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(k, int(y[k]), 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.quality_score >= 0.5 for r in cotrain.score(docs, labels).collect()}
+    assert np.mean([got[k] == bool(y[k]) for k in range(60, 1500)]) > 0.97
+
+
+def test_repeated_labelled_ids_teach_once_at_any_size(spark):
+    base = [(k, "good calm words here" if k % 2 else "$$$ ### !!", "s", "en", 5) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    for copies in (100, 1200):
+        docs = spark.createDataFrame(base + [(7, "good calm words here", "s", "en", 5)] * copies, "doc_id long, text string, source string, lang string, n_chars long")
+        made = cotrain.materialize(cotrain.features(docs), "test-features")
+        seen = []
+        plain, cotrain.cotrain = cotrain.cotrain, lambda text, meta, y, *rest: seen.append(len(y))
+        try:
+            cotrain.train(made, labels)
+        finally:
+            cotrain.cotrain = plain
+        assert seen == [40]
 
 
 def test_edges(spark):
