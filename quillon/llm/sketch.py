@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from quillon.llm._batches import batch, columns, rows, small_batches
 
 #: Hex digits kept of each hash, its high bits.
 DIGITS = 12
+#: Shingles of a text at most whose hashes are all retained: a short text's sketch would else be empty or say little.
+WHOLE = 64
 #: Ranges of ids at most, whatever the table's size; larger ones are read in order all the same.
 MOST_RANGES = 16_000
 SCHEMA = pa.schema([
@@ -24,24 +27,35 @@ SCHEMA = pa.schema([
 DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+class Sketch(NamedTuple):
+    """The hashes, cut to their high bits, distinct and ascending, of all shingles whose hash is below the threshold of ``level``."""
+
+    level: int
+    hashes: np.ndarray
+
+
+def threshold(level: int, fraction: float) -> int:
+    """What hashes, cut to their high bits, lie below at a level: the whole range at level 0, ``fraction`` of it at level 1."""
+    return int((fraction if level else 1) * 16**DIGITS)
+
+
 class Sketcher:
-    """Sketches of texts: every hash of a ``words``-word shingle that lies below ``fraction`` of the hash range.
+    """Sketches of texts: every hash of a ``words``-word shingle that lies below ``fraction`` of the hash range (level 1), or,
+    of a text of at most ``WHOLE`` shingles, every hash (level 0).
 
-    Words are lower-cased and split at white space. A text of fewer words is one shingle; one without words has an
-    empty sketch. Where no hash lies below the threshold (short texts) the smallest is kept, so that a text with words
-    always has a sketch; the union of sketches is the sketch of the union otherwise.
+    Words are lower-cased and split at white space. A text of fewer words is one shingle; one without words has an empty
+    sketch. Two sketches compare and merge at the lower of their thresholds, where each holds all hashes below it, so the
+    union of sketches is the sketch of the union.
     """
 
     def __init__(self, fraction: float, words: int) -> None:
-        self.below = np.uint64(int(fraction * 2**64))
-        self.words = words
+        self.fraction, self.words = fraction, words
         self.seen: dict[str, int] = {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        """The retained hashes' high bits, distinct and ascending."""
+    def __call__(self, text: str) -> Sketch:
         found = text.lower().split()
         if not found:
-            return np.zeros(0, np.uint64)
+            return Sketch(0, np.zeros(0, np.uint64))
         seen = self.seen
         if len(seen) > 500_000:
             seen.clear()
@@ -58,20 +72,31 @@ class Sketcher:
             mixed ^= mixed >> np.uint64(29)
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-        kept = mixed[mixed < self.below]
-        return np.unique((kept if len(kept) else mixed.min(keepdims=True)) >> np.uint64(64 - 4 * DIGITS))
+        mixed >>= np.uint64(64 - 4 * DIGITS)
+        level = int(n > WHOLE)
+        return Sketch(level, np.unique(mixed[mixed < np.uint64(threshold(level, self.fraction))] if level else mixed))
+
+    def at(self, sketch: Sketch, level: int) -> np.ndarray:
+        """The hashes of a sketch below the threshold of ``level``, at least its own."""
+        return sketch.hashes if level == sketch.level else sketch.hashes[sketch.hashes < np.uint64(threshold(level, self.fraction))]
 
+    def merged(self, a: Sketch, b: Sketch) -> Sketch:
+        """The sketch of both texts' shingles."""
+        level = max(a.level, b.level)
+        return Sketch(level, np.union1d(self.at(a, level), self.at(b, level)))
 
-def written(sketch: np.ndarray) -> str:
-    """A sketch as text: its hashes ascending, ``DIGITS`` hex digits each."""
-    raw = sketch.astype(">u8").tobytes().hex()
-    return "".join(raw[k + 16 - DIGITS : k + 16] for k in range(0, len(raw), 16))
+    def containment(self, a: Sketch, b: Sketch) -> float:
+        """Estimated share of the smaller text's shingles that the other holds, by the hashes below the lower threshold of the
+        two; 1 where neither has any hash there, 0 where one has none."""
+        level = max(a.level, b.level)
+        x, y = self.at(a, level), self.at(b, level)
+        least = min(len(x), len(y))
+        return len(np.intersect1d(x, y, assume_unique=True)) / least if least else float(len(x) == len(y))
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller document's shingles that the larger holds; 1 for two empty sketches, 0 for one."""
-    least = min(len(a), len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / least if least else float(len(a) == len(b))
+def written(sketch: Sketch) -> str:
+    """A sketch as text: its level, then its hashes ascending, ``DIGITS`` hex digits each."""
+    return str(sketch.level) + sketch.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - DIGITS // 2 :].tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -81,7 +106,7 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprint_edits(
-    docs: DataFrame, fraction: float = 1 / 16, words: int = 5, rows_per_task: int = 4000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, fraction: float = 1 / 4, words: int = 5, rows_per_task: int = 4000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -90,6 +115,7 @@ def fingerprint_edits(
     most ``MOST_RANGES``, whose bounds the driver holds), sorted there and read in order; each range
     also gets the first row of the next one (found by a broadcast of one id a range), so texts are shuffled once and no task
     holds more than a row at a time.
+    A fingerprint is the level of the sketch and its hashes (see ``Sketcher``); likeness is the estimated containment.
     A null text is empty; a table of one row follows itself; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -125,7 +151,7 @@ def fingerprint_edits(
                     s = sketch(changed)
                     out.append((
                         last[0], len(last[1]), hashlib.sha256(changed.encode()).hexdigest(), written(last[3]), written(s),
-                        containment(last[3], s), containment(last[3], own),
+                        sketch.containment(last[3], s), sketch.containment(last[3], own),
                     ))
                 last = (doc_id, text, place, own, is_after)
             yield batch(SCHEMA, out)
