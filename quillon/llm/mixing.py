@@ -5,80 +5,102 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm._batches import fresh
 from quillon.session import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Topics by the first pattern that matches anywhere in the text; else ``prose``. A parameter of the functions below.
-TOPICS = (("table", r" \| "), ("license", r"(?i)licensed under|all rights reserved"), ("symbols", r"(?:\*\*\*|###|%%%|&&&|\$\$\$)"), ("shouting", r"!!"))
-#: Shares of tokens per value of a dimension, or the power of the present shares (1 keeps them, 0 makes all values equal).
-TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-
-
+#: Topics by the first that has a mark anywhere in the lower-cased text; else ``prose``. A parameter of the functions below,
+#: used where no column gives the topic.
+TOPICS = (("table", (" | ",)), ("license", ("licensed under", "all rights reserved")), ("symbols", ("***", "###", "%%%", "&&&", "$$$")), ("shouting", ("!!",)))
+#: The mix: for each dimension the weight of each value, ``*`` for each value not named; or the power of the present shares
+#: (1 keeps them, 0 makes all values equal). Weights are scaled to the values that are present.
+TARGETS = {
+    "source": 0.5,
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15, "*": 0.02},
+    "topic": {"prose": 0.9, "table": 0.04, "license": 0.03, "symbols": 0.02, "shouting": 0.01, "*": 0.01},
+}
 #: Cells (distinct combinations of source, language and topic) that one task handles while raking.
 CELLS_PER_TASK = 100_000
 #: Raking ends once no share changes in a round by more than this part of itself.
-SETTLED = 1e-12
+SETTLED = 1e-10
+#: Rounds of one plan.
+ROUNDS_AT_ONCE = 5
 
 
 def topic(text: Column, topics: tuple = TOPICS) -> Column:
-    """The name of the first of ``topics`` (name, pattern) that the text matches; ``prose`` if none or null."""
-    return reduce(lambda rest, t: F.when(text.rlike(t[1]), t[0]).otherwise(rest), reversed(topics), F.lit("prose"))
+    """The name of the first of ``topics`` (name, marks) that the text has a mark of; ``prose`` if none or null."""
+    low = F.lower(text)
+    return reduce(lambda rest, t: F.when(reduce(lambda a, b: a | b, [low.contains(m) for m in t[1]]), t[0]).otherwise(rest), reversed(topics), F.lit("prose"))
 
 
 def tokens(text: Column) -> Column:
     """The number of words between white space; 0 for null."""
-    trimmed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def described(docs: DataFrame, topics: tuple = TOPICS) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens of each row; a null source or language is the value ``unknown``."""
-    return docs.select(
-        docs["doc_id"].alias("doc_id"), F.coalesce(docs["source"], F.lit("unknown")).alias("source"), F.coalesce(docs["lang"], F.lit("unknown")).alias("lang"),
-        topic(docs["text"], topics).alias("topic"), tokens(docs["text"]).alias("n_tokens"),
-    )
+def _cell(docs: DataFrame, topics: tuple, topic_col: str | None) -> dict[str, Column]:
+    cell = {c: F.coalesce(docs[c], F.lit("unknown")) for c in ("source", "lang")}
+    cell["topic"] = F.coalesce(docs[topic_col], F.lit("unknown")) if topic_col else topic(docs["text"], topics)
+    return cell
+
+
+def described(docs: DataFrame, topics: tuple = TOPICS, topic_col: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens of each row; a null source, language or given topic is the value ``unknown``."""
+    cell = _cell(docs, topics, topic_col)
+    return docs.select(docs["doc_id"].alias("doc_id"), *[cell[c].alias(c) for c in DIMENSIONS], tokens(docs["text"]).alias("n_tokens"))
 
 
 def _targets(cells: DataFrame, dimension: str, wanted: float | dict[str, float]) -> DataFrame:
-    """(dimension, target): a share for each value that has tokens; shares sum to 1."""
+    """(dimension, target): a share for each value that has tokens; shares sum to 1, or are 0 where no value has a weight."""
     present = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("present"))
     if isinstance(wanted, dict):
         named = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
-        raw = present.withColumn("raw", F.coalesce(F.try_element_at(named, dimension), F.lit(0.0)))
+        raw = present.withColumn("raw", F.coalesce(F.try_element_at(named, dimension), F.lit(wanted.get("*", 0.0)).cast("double")))
     else:
         raw = present.withColumn("raw", F.pow("present", F.lit(float(wanted))))
     total = raw.agg(F.sum("raw").alias("total"))
-    return raw.crossJoin(F.broadcast(total)).select(dimension, (F.col("raw") / F.col("total")).alias("target"))
+    share = F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(0.0)
+    return raw.crossJoin(F.broadcast(total)).select(dimension, share.alias(f"target_{dimension}"))
 
 
-def rake(cells: DataFrame, targets: dict = TARGETS, rounds: int = 12) -> DataFrame:
+def rake(cells: DataFrame, targets: dict = TARGETS, max_rounds: int = 200, strict: bool = False) -> DataFrame:
     """Iterative proportional fitting: the cells (source, lang, topic, tokens) with ``share``, their calibrated part of the mix.
 
-    Each of at most ``rounds`` rounds scales the shares to each dimension's targets in turn, by a pre-aggregated sum per
-    value and a join; so the cells, which are distinct combinations, never meet in one task. The table is kept in a file
-    for each ``CELLS_PER_TASK`` cells, so that a small one costs few tasks, and written after each scaling, so that plans
-    stay small. A value whose target is 0 or is absent gets 0.
+    Each round scales the shares to each dimension's targets in turn, by the sum of each value's cells, until no share
+    changes any more. Targets that no shares can meet together (a source in one language alone, say) never settle:
+    after ``max_rounds`` this is said by a warning, or an error where ``strict``; then the topic's targets hold exactly and
+    the others as nearly as the last round left them. A few rounds make a plan and a table, in one task for each
+    ``CELLS_PER_TASK`` cells at most. A value whose target is 0 or is absent gets 0.
     """
     files = max(1, -(-cells.count() // CELLS_PER_TASK))
     total = cells.agg(F.sum("tokens").alias("total"))
     now = cells.crossJoin(F.broadcast(total)).select(*DIMENSIONS, "tokens", (F.col("tokens") / F.col("total")).alias("share"))
-    now = materialize(now.coalesce(files), "mix-cells")
-    wanted = {d: materialize(_targets(cells, d, targets[d]).coalesce(files), f"mix-{d}") for d in DIMENSIONS}
-    for _ in range(rounds):
-        before = now.select(*DIMENSIONS, F.col("share").alias("before"))
-        for d in DIMENSIONS:
-            sums = now.groupBy(d).agg(F.sum("share").alias("has")).join(wanted[d], d, "left")
-            factor = F.when(F.col("has") > 0, F.coalesce("target", F.lit(0.0)) / F.col("has")).otherwise(0.0)
-            now = now.join(sums.select(d, factor.alias("factor")), d).select(*DIMENSIONS, "tokens", (F.col("share") * F.col("factor")).alias("share"))
-            now = materialize(now.coalesce(files), "mix-cells")
-        if now.join(before, list(DIMENSIONS)).where(F.abs(F.col("share") - F.col("before")) > SETTLED * F.col("before")).isEmpty():
+    for d in DIMENSIONS:
+        now = now.join(_targets(cells, d, targets[d]), d)
+    now = materialize(now.coalesce(files), "mix-cells").coalesce(files)
+    for at in range(0, max_rounds, ROUNDS_AT_ONCE):
+        for k in range(at, min(max_rounds, at + ROUNDS_AT_ONCE)):
+            now = now.withColumn("before", F.col("share"))
+            for d in DIMENSIONS:
+                has = F.sum("share").over(Window.partitionBy(d))
+                now = now.withColumn("share", F.when(has > 0, F.col("share") * F.col(f"target_{d}") / has).otherwise(0.0))
+        now = materialize(now, "mix-cells").coalesce(files)
+        if now.where(F.abs(F.col("share") - F.col("before")) > SETTLED * F.col("before")).isEmpty():
             break
-    return now
+    else:
+        if max_rounds and not cells.isEmpty():
+            worst = now.agg(F.max(F.abs(F.col("share") - F.col("before")) / F.when(F.col("before") > 0, F.col("before")))).first()[0]
+            said = f"raking has not settled after {max_rounds} rounds: shares still change by up to {worst or 0:.2g} of themselves"
+            if strict:
+                raise ValueError(said)
+            warnings.warn(said, stacklevel=2)
+    return now.select(*DIMENSIONS, "tokens", "share")
 
 
 def rates(cells: DataFrame, part: float) -> DataFrame:
@@ -106,27 +128,33 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mix(docs: DataFrame, part: float = 0.7, targets: dict = TARGETS, topics: tuple = TOPICS, rounds: int = 12, seed: int = 7) -> DataFrame:
+def mix(
+    docs: DataFrame, part: float = 0.7, targets: dict = TARGETS, topics: tuple = TOPICS, topic_col: str | None = None, max_rounds: int = 200, seed: int = 7
+) -> DataFrame:
     """Per row: doc_id, source, lang, topic, n_tokens, rate and sampled, whether the document is in the mix.
 
-    Documents without words have rate 0 and are not sampled. Rows repeated under one doc_id fall alike. An empty table
-    gives no rows.
+    The topic is that of ``topic_col`` where one is named, else it is told by marks in the text. Documents without words have
+    rate 0 and are not sampled. Rows repeated under one doc_id fall alike. An empty table gives no rows.
     """
-    d = materialize(described(docs, topics), "mix-docs")
+    d = materialize(described(docs, topics, topic_col), "mix-docs")
     cells = materialize(d.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    rated = materialize(rates(rake(cells, targets, rounds), part).select(*DIMENSIONS, F.col("rate").alias("cell_rate")), "mix-rates")
+    rated = materialize(rates(rake(cells, targets, max_rounds), part).select(*DIMENSIONS, F.col("rate").alias("cell_rate")), "mix-rates")
     rate = F.when(F.col("n_tokens") > 0, F.coalesce("cell_rate", F.lit(0.0))).otherwise(0.0)
     return d.join(rated, list(DIMENSIONS), "left").select(
         "doc_id", *DIMENSIONS, "n_tokens", F.round(rate, 6).alias("rate"), (draw(F.col("doc_id"), seed) < F.round(rate, 6)).alias("sampled")
     )
 
 
-def sampled(docs: DataFrame, part: float = 0.7, targets: dict = TARGETS, topics: tuple = TOPICS, rounds: int = 12, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, all columns, that are in the mix: the decision is remade from each row's cell, so no id is joined."""
-    d = described(docs, topics)
-    cells = materialize(d.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    rated = rates(rake(cells, targets, rounds), part).select(*[F.col(c).alias(f"_mix_{c}") for c in DIMENSIONS], F.round("rate", 6).alias("_mix_rate"))
-    own = {"source": F.coalesce(docs["source"], F.lit("unknown")), "lang": F.coalesce(docs["lang"], F.lit("unknown")), "topic": topic(docs["text"], topics)}
-    on = reduce(lambda a, b: a & b, [own[c] == F.col(f"_mix_{c}") for c in DIMENSIONS])
-    kept = docs.join(materialize(rated, "mix-rates"), on).where(draw(docs["doc_id"], seed) < F.col("_mix_rate"))
-    return kept.where(tokens(docs["text"]) > 0).select(*[docs[c] for c in docs.columns])
+def sampled(
+    docs: DataFrame, part: float = 0.7, targets: dict = TARGETS, topics: tuple = TOPICS, topic_col: str | None = None, max_rounds: int = 200, seed: int = 7
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that are in the mix (see ``mix``): the decision is remade from each row's cell, so no id is
+    joined. Other columns, whatever their names, stay as they are.
+    """
+    inner = {c: fresh(docs, f"mix_{c}") for c in (*DIMENSIONS, "rate")}
+    own, cell = described(docs, topics, topic_col), _cell(docs, topics, topic_col)
+    cells = materialize(own.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+    rated = rates(rake(cells, targets, max_rounds), part).select(*[F.col(c).alias(inner[c]) for c in DIMENSIONS], F.round("rate", 6).alias(inner["rate"]))
+    on = reduce(lambda a, b: a & b, [cell[c] == F.col(inner[c]) for c in DIMENSIONS])
+    kept = docs.join(materialize(rated, "mix-rates"), on).where(draw(docs["doc_id"], seed) < F.col(inner["rate"]))
+    return kept.where(F.coalesce(docs["text"].rlike(r"\S"), F.lit(False))).select(*[docs[c] for c in docs.columns])

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-#: Raking as a recursion of 36 scalings, three a round; the rate's scale from the cells in descending order of share per token.
+#: Raking as a recursion of 600 scalings, three a round, which settles long before; the rate's scale from the cells in
+#: descending order of share per token.
 MIXING = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
-    CASE WHEN coalesce(text, '') LIKE '% | %' THEN 'table'
-         WHEN regexp_matches(coalesce(text, ''), '(?i)licensed under|all rights reserved') THEN 'license'
-         WHEN regexp_matches(coalesce(text, ''), '(?:\*\*\*|###|%%%|&&&|\$\$\$)') THEN 'symbols'
+    CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
+         WHEN contains(lower(coalesce(text, '')), 'licensed under') OR contains(lower(coalesce(text, '')), 'all rights reserved') THEN 'license'
+         WHEN regexp_matches(coalesce(text, ''), '\*\*\*|###|%%%|&&&|\$\$\$') THEN 'symbols'
          WHEN contains(coalesce(text, ''), '!!') THEN 'shouting' ELSE 'prose' END AS topic,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))::BIGINT AS n_tokens
   FROM documents),
 cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d WHERE n_tokens > 0 GROUP BY ALL),
+wl AS (SELECT lang, CASE lang WHEN 'en' THEN 0.5 WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.15 WHEN 'es' THEN 0.15 ELSE 0.02 END::DOUBLE AS w FROM cells GROUP BY lang),
+wt AS (SELECT topic, CASE topic WHEN 'prose' THEN 0.9 WHEN 'table' THEN 0.04 WHEN 'license' THEN 0.03 WHEN 'symbols' THEN 0.02 ELSE 0.01 END::DOUBLE AS w
+  FROM cells GROUP BY topic),
 ts AS (SELECT source, pow(sum(tokens), 0.5) / sum(pow(sum(tokens), 0.5)) OVER () AS t FROM cells GROUP BY source),
-tl AS (SELECT lang, pow(sum(tokens), 0.7) / sum(pow(sum(tokens), 0.7)) OVER () AS t FROM cells GROUP BY lang),
-tt AS (SELECT topic, pow(sum(tokens), 0.8) / sum(pow(sum(tokens), 0.8)) OVER () AS t FROM cells GROUP BY topic),
+tl AS (SELECT lang, w / sum(w) OVER () AS t FROM wl),
+tt AS (SELECT topic, w / sum(w) OVER () AS t FROM wt),
 steps AS (
   SELECT 0 AS step, c.source, c.lang, c.topic, c.tokens, c.tokens / sum(c.tokens) OVER () AS share, ts.t AS s, tl.t AS l, tt.t AS o
   FROM cells c JOIN ts USING (source) JOIN tl USING (lang) JOIN tt USING (topic)
@@ -24,11 +28,11 @@ steps AS (
     share * CASE step % 3 WHEN 0 THEN s / sum(share) OVER (PARTITION BY source)
                           WHEN 1 THEN l / sum(share) OVER (PARTITION BY lang)
                           ELSE o / sum(share) OVER (PARTITION BY topic) END, s, l, o
-  FROM steps WHERE step < 36),
+  FROM steps WHERE step < 600),
 raked AS (
   SELECT source, lang, topic, tokens, share, share / tokens AS per, sum(tokens) OVER () * 0.7 AS budget, sum(share) OVER () AS shares,
     row_number() OVER (ORDER BY share / tokens DESC, source, lang, topic) AS k
-  FROM steps WHERE step = 36),
+  FROM steps WHERE step = 600),
 sums AS (
   SELECT k, per, budget, shares, coalesce(sum(tokens) OVER w, 0) AS capped, coalesce(sum(share) OVER w, 0) AS closed
   FROM raked WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
