@@ -29,6 +29,8 @@ TARGETS = {
 CELLS_PER_TASK = 100_000
 #: Raking ends once no share changes in a round by more than this part of itself.
 SETTLED = 1e-10
+#: A share that is off its target by more has missed it.
+MISSED = 1e-6
 #: Rounds of one plan.
 ROUNDS_AT_ONCE = 5
 
@@ -73,9 +75,9 @@ def rake(cells: DataFrame, targets: dict = TARGETS, max_rounds: int = 200, stric
     """Iterative proportional fitting: the cells (source, lang, topic, tokens) with ``share``, their calibrated part of the mix.
 
     Each round scales the shares to each dimension's targets in turn, by the sum of each value's cells, until no share
-    changes any more. Targets that no shares can meet together (a source in one language alone, say) never settle:
-    after ``max_rounds`` this is said by a warning, or an error where ``strict``; then the topic's targets hold exactly and
-    the others as nearly as the last round left them. A few rounds make a plan and a table, in one task for each
+    changes any more or ``max_rounds`` are over. Targets that no shares can meet together (a source in one language alone,
+    say) are missed: this is said by a warning, or an error where ``strict``; the topic's targets then hold, the others as
+    nearly as the last round left them. A few rounds make a plan and a table, in one task for each
     ``CELLS_PER_TASK`` cells at most. A value whose target is 0 or is absent gets 0.
     """
     files = max(1, -(-cells.count() // CELLS_PER_TASK))
@@ -93,13 +95,16 @@ def rake(cells: DataFrame, targets: dict = TARGETS, max_rounds: int = 200, stric
         now = materialize(now, "mix-cells").coalesce(files)
         if now.where(F.abs(F.col("share") - F.col("before")) > SETTLED * F.col("before")).isEmpty():
             break
-    else:
-        if max_rounds and not cells.isEmpty():
-            worst = now.agg(F.max(F.abs(F.col("share") - F.col("before")) / F.when(F.col("before") > 0, F.col("before")))).first()[0]
-            said = f"raking has not settled after {max_rounds} rounds: shares still change by up to {worst or 0:.2g} of themselves"
-            if strict:
-                raise ValueError(said)
-            warnings.warn(said, stacklevel=2)
+    off = [
+        now.groupBy(d).agg(F.sum("share").alias("has"), F.first(f"target_{d}").alias("target")).select(F.abs(F.col("has") - F.col("target")).alias("off"))
+        for d in DIMENSIONS
+    ]
+    worst = reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] or 0.0
+    if worst > MISSED:
+        said = f"raking cannot meet, or has not met, all targets: a share is off by {worst:.2g}"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
     return now.select(*DIMENSIONS, "tokens", "share")
 
 
