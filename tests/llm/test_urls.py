@@ -35,6 +35,39 @@ def test_rules_and_parts(spark, sf, model):
         assert r.verdict == (own[1] if own else "block" if r.block_score >= 0.5 else "allow")
 
 
+def judged(spark, model, hosts):
+    df = spark.createDataFrame([(k, f"https://{h}/a/17") for k, h in enumerate(hosts)], "page_id long, url string")
+    return {hosts[r.page_id]: r.block_score for r in urls.judge(df, model, rules=()).collect()}
+
+
+def test_names_that_were_not_taught(spark, model):
+    """Hosts none of which stands in the labelled table, joined from its words and from others in ways it does not use."""
+    taught = {r.host for r in urls.features(urls.labelled(spark)).select("host").distinct().collect()}
+    block = ["roulette-win.org", "cheap-rolex.org", "onlinecasinoroyal.info", "pokernight.co", "free-porn-videos.biz", "buyviagraonline.ru", "thepaydayloansguy.us", "torrentswarez.to", "jackpotslots.io", "megalottery-prize.net"]
+    allow = ["cityhospital.org", "publiclibrary-oslo.no", "old-museumsquare.de", "universityofnorthland.edu", "weathertoday.fm", "village-bakery.co.uk", "mountainhotel.ch", "schoolforum.nl", "gardenrecipes.fr", "the-doctor-clinic.ie"]
+    assert not taught & {*block, *allow}
+    got = judged(spark, model, block + allow)
+    assert sum(got[h] >= 0.5 for h in block) >= 7, got
+    assert sum(got[h] < 0.5 for h in allow) >= 9, got
+    assert sum(got[a] > got[b] for a in block for b in allow) >= 0.9 * len(block) * len(allow), got
+
+
+def test_words_that_were_not_taught_are_allowed(spark):
+    """A third of the allowed words is held out of the table, with all their forms; what the rest teaches leaves other words alone."""
+    table = urls.labelled(spark)
+    held = urls.ALLOWED_NAMES[::3]
+    plain = "|".join(held)
+    model = urls.train(table.where(f"not url rlike '{plain}'"))
+    got = judged(spark, model, [f"{w}.example.org" for w in held])
+    assert sum(s < 0.5 for s in got.values()) >= 0.8 * len(held)
+
+
+def test_any_labelled_table(spark):
+    table = spark.createDataFrame([(f"http://{w}{k}.org/", float(w == "blue")) for w in ("blue", "green") for k in range(30)], "url string, label double")
+    pages = spark.createDataFrame([(1, "http://bluehouse.org/"), (2, "http://greenhouse.org/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge(pages, table=table, rules=()).collect()} == {1: "block", 2: "allow"}
+
+
 def test_edges(spark, model):
     made = [
         (1, None), (2, "no scheme"), (3, "://"), (4, "HTTP://WWW.Example.COM/en/x?q#f"), (5, "http://example.com"), (6, "http://a.net/fr/"),
