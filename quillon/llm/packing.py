@@ -139,12 +139,12 @@ def encoder(tokenizer_json: str, ranks: str | None, pattern: str | None):
 
 def pack(
     docs: DataFrame, tokenizer_json: str, ranks: str | None = None, pattern: str | None = None, window: int = 2048,
-    end_id: int = 1, shard_tokens: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text",
+    end_id: int = 1, shard_tokens: int = 8_000_000, shard_docs: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document (a null text is empty) becomes its token ids and ``end_id``. Documents are packed where they are
-    read, without a shuffle, in runs of at most about ``shard_tokens`` tokens, so a task's memory is bounded whatever
+    read, without a shuffle, in runs of at most about ``shard_tokens`` tokens and ``shard_docs`` documents, so a task's memory is bounded whatever
     the partition size; a run leaves no padding (see ``plan``). sequence_id is unique over the table: the partition's
     number in the high half. Repeated rows are packed as often as they occur, a null doc_id stays null, an empty
     table gives no rows; other columns are not read.
@@ -179,7 +179,7 @@ def pack(
             ids.append(doc_id)
             tokens.append(np.array([*encode(text or ""), end_id], "<u4"))
             held += len(tokens[-1])
-            if held >= shard_tokens:
+            if held >= shard_tokens or len(ids) >= shard_docs:
                 yield from flush()
         if ids:
             yield from flush()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._batches import batch, columns, rows, small_batches
+from quillon.llm._batches import batch, columns, fresh, rows, small_batches
 from quillon.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -178,7 +178,8 @@ def find(docs: DataFrame, least: float = 0.9, least_documents: int = 2) -> DataF
     extra = term_spans(found, disclosing_terms(found, d, least, least_documents))
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     more = F.transform(F.coalesce("terms", F.expr("array()")), lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS) + 1).cast("long").alias("rank"), s["end"].alias("end"), F.lit(TERM).alias("kind")))
-    both = found.drop("terms").join(extra, "key", "left")
+    plain = found.drop("terms").where("size(spans) = 0").withColumn("terms", F.lit(None).cast(extra.schema["terms"].dataType))
+    both = found.drop("terms").where("size(spans) > 0").join(extra, "key", "left").unionByName(plain)  # texts without spans meet in no join
     return both.select(
         "doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_listed(F.col("spans")).cast("binary"), 256).alias("base_sha256"),
         _listed(F.array_sort(F.array_distinct(F.concat(base, more)))).alias("spans"),
@@ -197,26 +198,33 @@ def sanitized(text: str | None, spans: list[tuple[int, int, str]]) -> str | None
     return "".join([*out, text[last:]])
 
 
+def broader(term: str) -> str:
+    """What a disclosing term is generalised to: a name, an abbreviation or a word."""
+    return "[abbreviation]" if term.isupper() else "[name]" if term[:1].isupper() else "[word]"
+
+
 def sanitize(docs: DataFrame, least: float = 0.9, least_documents: int = 2, remove_from: float = 0.999) -> DataFrame:
     """The rows and columns of ``docs`` with personal data replaced in ``text``; ``n_chars``, where there is one, follows.
 
-    Base data are generalised to their kind (``[email]``). A disclosing term is generalised to ``[term]``; one that
-    discloses its entity wholly (at least ``remove_from``) is removed. A null text stays null.
+    Base data are generalised to their kind (``[email]``), a disclosing term to its broader class (``[name]``,
+    ``[abbreviation]`` or ``[word]``); one that discloses its entity wholly (at least ``remove_from``) is removed. A null
+    text stays null, other columns stay whatever their names. Only texts with personal data meet in a join, by a hash.
     """
     d = columns(docs, text="text")
     found = materialize(d.select(find_base(d).alias("f")).select("f.*").where("size(spans) > 0"), "pii-base")
     extra = term_spans(found, disclosing_terms(found, d, least, least_documents))
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("by")))
-    terms = F.transform(F.coalesce("terms", F.expr("array()")), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), F.when(s["disclosure"] >= remove_from, "").otherwise(f"[{TERM}]").alias("by")))
-    marks = found.drop("terms").dropDuplicates(["key"]).join(extra, "key", "left").select(F.col("key").alias("_pii_key"), F.concat(spans, terms).alias("_pii_marks"))
+    terms = F.transform(F.coalesce("terms", F.expr("array()")), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), F.when(s["disclosure"] >= remove_from, "").alias("by")))
+    key, marks, own = (fresh(docs, c) for c in ("pii_key", "pii_marks", "pii_own"))
+    marked = found.drop("terms").dropDuplicates(["key"]).join(extra, "key", "left").select(F.col("key").alias(key), F.concat(spans, terms).alias(marks))
 
     @F.arrow_udf("string")
     def replace(texts: pa.Array, marks: pa.Array) -> pa.Array:
         both = zip(texts.to_pylist(), marks.to_pylist(), strict=True)
-        return pa.array([sanitized(t, [(m["a"], m["b"], m["by"]) for m in ms or []]) for t, ms in both], pa.string())
+        return pa.array([sanitized(t, [(m["a"], m["b"], broader(t[m["a"] : m["b"]]) if m["by"] is None else m["by"]) for m in ms or []]) for t, ms in both], pa.string())
 
-    keyed = docs.join(marks, F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == F.col("_pii_key"), "left")
-    out = keyed.withColumn("text", replace("text", "_pii_marks"))
+    keyed = docs.withColumn(own, F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    out = keyed.join(marked, keyed[own] == marked[key], "left").withColumn("text", replace("text", marks))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_pii_key").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(key).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

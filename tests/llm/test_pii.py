@@ -83,12 +83,13 @@ def test_terms_disclose_from_the_whole_document(spark):
 
 def test_edges(spark):
     rows = [(None, None), (1, ""), (1, "x@y.zz"), (2, "9" * 20000), (3, "a" * 200000), (4, "1." * 50000), (5, "+1" + " " * 50000), (6, "é x@y.zz")]
-    docs = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], "doc_id long, text string, n_chars int, key string")
+    docs = spark.createDataFrame([(i, t, 0, "k", 1, 2) for i, t in rows], "doc_id long, text string, n_chars int, key string, pii_key int, PII_marks int")
     got = pii.find(docs).collect()
     assert len(got) == len(rows)
     assert sorted(r.spans for r in got if "email" in r.spans) == ["email:0:6", "email:2:8"]
     assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got if not r.spans)
     out = pii.sanitize(docs)
+    assert {(r.pii_key, r.PII_marks, r.key) for r in out.collect()} == {(1, 2, "k")}
     assert out.columns == docs.columns and sorted((r.text or "")[:9] for r in out.where("doc_id in (1, 6)").collect()) == ["", "[email]", "é [email]"]
     assert out.where("text = 'é [email]'").first().n_chars == 9
     assert pii.find(docs.limit(0)).count() == 0 and pii.sanitize(docs.limit(0)).count() == 0
