@@ -7,7 +7,9 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import lru_cache
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +29,33 @@ ARTICLE = frozenset("article main".split())
 #: Words of class, id and role that mark what is not the article, and what is.
 CHROME_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget ad ads advert adverts advertisement banner promo sponsor sponsored cookie cookies consent notice notices alert popup modal newsletter subscribe share social related comment comments reply replies disqus respond search login signup pagination toolbar complementary contentinfo".split())
 ARTICLE_WORDS = frozenset("article post entry story main content".split())
+#: First words of a class that say what an element does not have or only frames: ``no-sidebar``, ``with-banner``.
+FRAMES = frozenset("no with without has is not js".split())
+#: Elements whose contents are never text; they stand inside a line of text without ending it.
+PASSED = frozenset("script style noscript template svg textarea title select button".split())
 SLOT = "#"
-LONGEST_GROUP = 12
+#: Distinct pages that have the same text in the same place of a wrapper, at least, for it to be the template's, not the page's.
+TEMPLATE_PAGES = 3
+SKELETONS = pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("texts", pa.string()), ("seen", pa.list_(pa.int64()))])
+SKELETONS_DDL = "host string, skeleton string, texts string, seen array<long>"
+
+
+def hints(raw: str, tag: str) -> list[str]:
+    """The words of a tag's class, id and role that mark chrome or an article; none of those that only frame the page."""
+    if tag in ("html", "body"):
+        return []
+    found = set()
+    for h in HINTS.findall(raw):
+        for name in " ".join(h).lower().split():
+            parts = re.findall(r"[a-z]+", name)
+            if parts and parts[0] not in FRAMES:
+                found.update(parts)
+    return sorted(found & (CHROME_WORDS | ARTICLE_WORDS))
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
-    """(label, text) of a page: text as the label ``#``, a tag as ``name``, ``name.hints`` or ``/name``; comments and declarations are left out."""
+    """(label, text) of a page: text as the label ``#``, a tag as ``name``, ``name.hints`` or ``/name``. Comments, declarations
+    and elements that hold no text (``PASSED``) are left out."""
     out, last = [], 0
     for m in TOKEN.finditer(page):
         if m.start() > last:
@@ -40,25 +63,17 @@ def tokens(page: str) -> list[tuple[str, str]]:
         last = m.end()
         raw = m[0]
         name = NAME.match(raw)
-        if not name:
+        if not name or (tag := name[1].lower()) in PASSED:
             continue
-        tag = name[1].lower()
-        if raw[1] == "/":
-            out.append(("/" + tag, ""))
-        elif m[1]:
-            out.append((tag, ""))
-            out.append(("/" + tag, ""))
-        else:
-            words = sorted({w for h in HINTS.findall(raw) for w in re.findall(r"[a-z]+", " ".join(h).lower())} & (CHROME_WORDS | ARTICLE_WORDS))
-            out.append((".".join([tag, *words]), ""))
+        out.append(("/" + tag, "") if raw[1] == "/" else (".".join([tag, *hints(raw, tag)]), ""))
     if last < len(page):
         out.append((SLOT, page[last:]))
     return out
 
 
 def _structural(label: str) -> bool:
-    """False for inline tags without a hint, which do not shape a page."""
-    return label.lstrip("/") not in INLINE
+    """False for inline tags, which do not shape a page."""
+    return label.lstrip("/").split(".")[0] not in INLINE
 
 
 def stream(page: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
@@ -77,99 +92,124 @@ def stream(page: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
     return out
 
 
-def collapsed(labels: list) -> list[tuple[object, int]]:
-    """(item, tokens covered): runs of a repeated group of up to ``LONGEST_GROUP`` items become ``["+", group]``, shorter groups first, nested."""
-    items, size = [(x, 1) for x in labels], 1
-    keys = [json.dumps(x) for x, _ in items]
-    while size <= LONGEST_GROUP:
-        out, out_keys, k = [], [], 0
-        while k < len(items):
-            end = k + size
-            if end < len(items) and keys[k] == keys[end]:
-                group = keys[k:end]
-                while keys[end : end + size] == group:
-                    end += size
-            if end > k + size:
-                item = ["+", [x for x, _ in items[k : k + size]]]
-                out.append((item, sum(n for _, n in items[k:end])))
-                out_keys.append(json.dumps(item))
-                k = end
-            else:
-                out.append(items[k])
-                out_keys.append(keys[k])
-                k += 1
-        size = size + 1 if len(out) == len(items) else 1
-        items, keys = out, out_keys
-    return items
+def literal(page: list[tuple[str, str]], a: int, b: int) -> int:
+    """What a text token of the stream says, as a number: of its decoded words, whatever the white space and inline tags."""
+    return crc32(" ".join(html_lib.unescape("".join(x for label, x in page[a:b] if label == SLOT)).split()).encode())
+
+
+def literals(page: list[tuple[str, str]], shaped: list[tuple[str, int, int]]) -> list[int | None]:
+    """For each token of the stream its literal text, None for a tag."""
+    return [literal(page, a, b) if label == SLOT else None for label, a, b in shaped]
+
+
+def same(a: object, b: object) -> object:
+    """Literal text where both have the same, else None, a slot; item by item in groups."""
+    return list(map(same, a, b)) if isinstance(a, list) and isinstance(b, list) else a if a == b else None
+
+
+def collapsed(labels: list, texts: list) -> list[tuple[object, int, object]]:
+    """(item, tokens covered, literal text): runs of a repeated group become ``["+", group]``, shorter groups first, nested.
+
+    Text that differs between the runs of a group is a slot in it.
+    """
+    items = [(x, 1, t) for x, t in zip(labels, texts, strict=True)]
+    keys = [json.dumps(x) for x in labels]
+    while True:
+        seen: dict[str, int] = {}
+        sizes = set()
+        for k, key in enumerate(keys):
+            if key in seen:
+                sizes.add(k - seen[key])
+            seen[key] = k
+        for size in sorted(sizes):
+            out, out_keys, k = [], [], 0
+            while k < len(items):
+                end = k + size
+                if end < len(items) and keys[k] == keys[end]:
+                    group = keys[k:end]
+                    while keys[end : end + size] == group:
+                        end += size
+                if end > k + size:
+                    item = ["+", [x for x, _, _ in items[k : k + size]]]
+                    texts_of = [t for _, _, t in items[k : k + size]]
+                    for at in range(k + size, end, size):
+                        texts_of = same(texts_of, [t for _, _, t in items[at : at + size]])
+                    out.append((item, sum(n for _, n, _ in items[k:end]), texts_of))
+                    out_keys.append(json.dumps(item))
+                    k = end
+                else:
+                    out.append(items[k])
+                    out_keys.append(keys[k])
+                    k += 1
+            if len(out) < len(items):
+                items, keys = out, out_keys
+                break
+        else:
+            return items
 
 
 def aligned(a: list, b: list) -> list[tuple[int | None, int | None]]:
-    """Index pairs of a longest common subsequence of the items; what has no partner stands alone, in order."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(head)]
+    """Index pairs of equal items in order, by longest matching blocks; what has no partner stands alone, in order. Memory
+    follows the lengths, not their product."""
+    out: list[tuple[int | None, int | None]] = []
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append((head + i, head + j))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append((head + i, None))
-            i += 1
-        else:
-            out.append((None, head + j))
-            j += 1
-    return out + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+    for x, y, n in SequenceMatcher(None, list(map(json.dumps, a)), list(map(json.dumps, b)), autojunk=False).get_matching_blocks():
+        out += [(k, None) for k in range(i, x)] + [(None, k) for k in range(j, y)] + [(x + k, y + k) for k in range(n)]
+        i, j = x + n, y + n
+    return out
 
 
 def _groups(items: list) -> list:
     return sorted((x for x in items if isinstance(x, list)), key=lambda g: -len(g[1]))
 
 
-def merged(wrapper: list[tuple[object, bool]], other: list[tuple[object, bool]]) -> list[tuple[object, bool]]:
-    """One wrapper (item, optional) for the pages of both: a mismatch becomes an optional item, one occurrence of a group that repeats elsewhere becomes that group."""
-    def unified(own: list[tuple[object, bool]], groups: list) -> list[tuple[object, bool]]:
-        out, k = [], 0
-        while k < len(own):
-            for g in groups:
-                part = own[k : k + len(g[1])]
-                if [x for x, _ in part] == g[1]:
-                    out.append((g, all(o for _, o in part)))
-                    k += len(g[1])
-                    break
-            else:
-                out.append(own[k])
-                k += 1
+def _unified(own: list, groups: list) -> list[tuple[int, int, list | None]]:
+    """(from, to, group or None) over the items ``own``: one occurrence of a group that repeats elsewhere becomes that group."""
+    out, k = [], 0
+    while k < len(own):
+        g = next((g for g in groups if own[k : k + len(g[1])] == g[1]), None)
+        out.append((k, k + len(g[1]) if g else k + 1, g))
+        k = out[-1][1]
+    return out
+
+
+def entries(skeleton: list, texts: list, seen: list[int]) -> list[list]:
+    """A page, or pages of one skeleton, as a wrapper: (item, optional, literal text, some of the pages that have it)."""
+    return [[x, False, t, seen] for x, t in zip(skeleton, texts, strict=True)]
+
+
+def merged(wrapper: list[list], other: list[list]) -> list[list]:
+    """One wrapper for the pages of both: tags without a partner become optional items, one occurrence of a group that repeats
+    elsewhere becomes that group, and text that differs becomes a slot. Of the pages that have an item the least
+    ``TEMPLATE_PAGES`` numbers are kept, enough to tell whether as many have it."""
+    groups = _groups([e[0] for e in [*wrapper, *other]])
+
+    def unified(own: list[list]) -> list[list]:
+        out = []
+        for a, b, g in _unified([e[0] for e in own], groups):
+            some = own[a:b]
+            out.append([g, all(e[1] for e in some), [e[2] for e in some], some[0][3]] if g else some[0])
         return out
 
-    groups = _groups([x for x, _ in [*wrapper, *other]])
-    a, b = unified(wrapper, groups), unified(other, groups)
+    a, b = unified(wrapper), unified(other)
     out = []
-    for i, j in aligned([x for x, _ in a], [x for x, _ in b]):
+    for i, j in aligned([e[0] for e in a], [e[0] for e in b]):
         if i is None or j is None:
-            out.append(((a[i] if j is None else b[j])[0], True))
+            item, _, text, seen = a[i] if j is None else b[j]
+            out.append([item, True, text, seen])
         else:
-            out.append((a[i][0], a[i][1] or b[j][1]))
+            out.append([a[i][0], a[i][1] or b[j][1], same(a[i][2], b[j][2]), sorted({*a[i][3], *b[j][3]})[:TEMPLATE_PAGES]])
     return out
 
 
-def pattern(wrapper: list[tuple[object, bool]]) -> str:
-    """The wrapper as a regular expression over tags and slots."""
-    def one(item: object) -> str:
+def pattern(wrapper: list[list]) -> str:
+    """The wrapper as a regular expression over tags, slots (``#``) and literal text (``=``)."""
+    def one(item: object, text: object) -> str:
         if isinstance(item, list):
-            return "(" + "".join(map(one, item[1])) + ")+"
-        return item if item == SLOT else f"<{item}>"
+            return "(" + "".join(map(one, item[1], text)) + ")+"
+        return f"<{item}>" if item != SLOT else SLOT if text is None else "="
 
-    return "".join(f"({one(x)})?" if o else one(x) for x, o in wrapper)
+    return "".join(f"({one(x, t)})?" if o else one(x, t) for x, o, t, _ in wrapper)
 
 
 def _inside(label: str, outer: tuple[str, int], at: int) -> tuple[str, int]:
@@ -226,91 +266,100 @@ def _settled(own: str, known: str) -> str:
     return "article" if known == "article" else "body"
 
 
-def _spread(item: object, region: object, count: int) -> list[str]:
-    """One region for each of the ``count`` tokens that a (repeated) item covers."""
+def _spread(item: object, value: object, count: int, unknown: object) -> list:
+    """One value for each of the ``count`` tokens that a (repeated) item covers; ``unknown`` where groups nest and differ."""
     if not isinstance(item, list):
-        return [region] * count
+        return [value] * count
+    if not isinstance(value, list):
+        return [unknown] * count
     if any(isinstance(x, list) for x in item[1]):
-        flat = [r for x in region for r in (x if isinstance(x, list) else [x])]
-        kinds = {y for r in flat for y in (r if isinstance(r, list) else [r])}
-        return [kinds.pop() if len(kinds) == 1 else ""] * count
-    return [region[k % len(region)] for k in range(count)]
+        flat = [value]
+        while any(isinstance(x, list) for x in flat):
+            flat = [y for x in flat for y in (x if isinstance(x, list) else [x])]
+        return [flat[0] if len(set(flat)) == 1 else unknown] * count
+    return [value[k % len(value)] for k in range(count)]
 
 
 @lru_cache(2000)
-def _labels(wrapper_json: str | None, labels: tuple[str, ...]) -> tuple[bool, tuple[str, ...]]:
-    """(does the wrapper have an article, region of each token of the stream) by aligning the stream with the wrapper."""
-    wrapper = [x for x, _ in json.loads(wrapper_json)] if wrapper_json else []
-    cover = collapsed(list(labels))
-    items = [x for x, _ in cover]
-    groups = _groups([*wrapper, *items])
-    flat: list[str] = []
-    if wrapper:
-        known = regions(wrapper)
-        at, pos, unified, spans = {}, 0, [], []
-        while pos < len(items):
-            for g in groups:
-                if items[pos : pos + len(g[1])] == g[1] and g[1]:
-                    unified.append(g)
-                    spans.append((pos, pos + len(g[1])))
-                    pos += len(g[1])
-                    break
-            else:
-                unified.append(items[pos])
-                spans.append((pos, pos + 1))
-                pos += 1
-        for i, j in aligned(wrapper, unified):
-            if j is not None and i is not None:
-                at[j] = known[i]
-        for j, (a, b) in enumerate(spans):
-            count = sum(n for _, n in cover[a:b])
-            flat += _spread(unified[j], at[j], count) if j in at else [""] * count
-        has = any("article" in json.dumps(r) for r in known)
-    else:
-        flat, has = [""] * len(labels), False
+def _labels(wrapper_json: str | None, labels: tuple[str, ...]) -> tuple[bool, tuple[str, ...], tuple]:
+    """(is there an article, region of each token of the stream, template text in its place) by aligning the stream with the
+    wrapper. Template text is known where enough distinct pages have the same, and only if the wrapper's article has a slot:
+    else all its pages say the same, and nothing tells what is theirs."""
     own = regions(list(labels))
-    return has or "article" in own, tuple(map(_settled, own, flat))
+    wrapper = json.loads(wrapper_json) if wrapper_json else []
+    if not wrapper:
+        return "article" in own, tuple(_settled(r, "") for r in own), (None,) * len(labels)
+    cover = collapsed(list(labels), [None] * len(labels))
+    items = [x for x, _, _ in cover]
+    known, has = regions([e[0] for e in wrapper]), False
+    has = "article" in json.dumps(known) or "article" in own
+    template = [e[2] if len(e[3]) >= TEMPLATE_PAGES else None for e in wrapper]
+
+    def varies(item: object, region: object, text: object) -> bool:
+        if isinstance(item, list):
+            return any(map(varies, item[1], region, text if isinstance(text, list) else [None] * len(item[1])))
+        return item == SLOT and text is None and region == ("article" if has else "body")
+
+    if not any(varies(e[0], r, e[2]) for e, r in zip(wrapper, known, strict=True)):
+        template = [None] * len(wrapper)
+    spans = _unified(items, _groups([*(e[0] for e in wrapper), *items]))
+    whole = [g or items[a] for a, _, g in spans]
+    at = {j: i for i, j in aligned([e[0] for e in wrapper], whole) if i is not None and j is not None}
+    flat: list[str] = []
+    texts: list = []
+    for j, (a, b, _) in enumerate(spans):
+        count = sum(n for _, n, _ in cover[a:b])
+        flat += _spread(whole[j], known[at[j]], count, "") if j in at else [""] * count
+        texts += _spread(whole[j], template[at[j]], count, None) if j in at else [None] * count
+    return has, tuple(map(_settled, own, flat)), tuple(texts)
 
 
 def main_text(page: str | None, wrapper_json: str | None) -> str:
     """The article's blocks, joined by a newline, as the host's wrapper places them on this page.
 
-    Slots in the wrapper's article region count; where the host has no article element, those outside all chrome whose
-    text is not mostly links. Block tags and line breaks end a block; references are decoded, white space becomes one space.
+    Slots in the wrapper's article region count, text of the template does not, wherever it stands. Where the host has no
+    article element, all outside of chrome is the region, less the blocks that are mostly links. Block tags and line breaks end a block; inline tags, scripts and the like do not. A block of
+    nothing but an inline advert or the like is left out. References are decoded, white space becomes one space.
     """
     if not page:
         return ""
     toks = tokens(page)
     shaped = stream(toks)
-    has_article, labels = _labels(wrapper_json, tuple(x for x, _, _ in shaped))
+    has_article, labels, template = _labels(wrapper_json, tuple(x for x, _, _ in shaped))
     wanted = "article" if has_article else "body"
     blocks: list[str] = []
     text: list[str] = []
-    linked = total = 0
+    linked = aside = total = 0
 
     def close() -> None:
-        nonlocal linked, total
+        nonlocal linked, aside, total
         block = " ".join("".join(text).split())
-        if block and (has_article or 2 * linked <= total):
+        if block and aside < total and (has_article or 2 * linked <= total):
             blocks.append(block)
         text.clear()
-        linked = total = 0
+        linked = aside = total = 0
 
-    in_link, k = 0, 0
-    for (label, a, b), region in zip(shaped, labels, strict=True):
+    marked: list[tuple[str, bool]] = []  # open inline elements, and whether they are marked as chrome
+    k = 0
+    for (label, a, b), region, fixed in zip(shaped, labels, template, strict=True):
+        kept = label == SLOT and region == wanted and (fixed is None or literal(toks, a, b) != fixed)
         for at in range(k, b):
             own, raw = toks[at]
-            if own == "a":
-                in_link += 1
-            elif own == "/a":
-                in_link = max(0, in_link - 1)
-            if own == SLOT and label == SLOT and at >= a and region == wanted:
+            name = own.lstrip("/").split(".")[0]
+            if own == SLOT and kept and at >= a:
                 decoded = html_lib.unescape(raw)
+                size = len("".join(decoded.split()))
                 text.append(decoded)
-                total += len(decoded)
-                linked += len(decoded) if in_link else 0
-            elif own == SLOT and not raw.strip():
+                total += size
+                linked += size if any(n == "a" for n, _ in marked) else 0
+                aside += size if any(m for _, m in marked) else 0
+            elif own == SLOT:
                 text.append(" ")
+            elif name in INLINE and name not in VOID:
+                if own[0] != "/":
+                    marked.append((name, bool(CHROME_WORDS.intersection(own.split(".")[1:]))))
+                elif any(n == name for n, _ in marked):
+                    del marked[max(i for i, (n, _) in enumerate(marked) if n == name)]
         k = b
         if label != SLOT:
             close()
@@ -324,45 +373,72 @@ def host(url) -> object:
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, pages): the distinct collapsed token streams of each host, as JSON, counted."""
-    schema = pa.schema([("host", pa.string()), ("skeleton", pa.string())])
+    """(host, skeleton, texts, seen): the distinct collapsed token streams of each host as JSON, with the literal text that all
+    their pages share and the least numbers of some of these; summed up where the pages are read, then by host and skeleton."""
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[list, list[int]]] = {}
         for b in batches:
-            out = []
             for h, page in rows([b]):
-                out.append((h, json.dumps([[x, False] for x, _ in collapsed([x for x, _, _ in stream(tokens(page))])])))
-            yield batch(schema, out)
+                toks = tokens(page)
+                shaped = stream(toks)
+                items = collapsed([x for x, _, _ in shaped], literals(toks, shaped))
+                texts = [t for _, _, t in items]
+                add(held, (h, json.dumps([x for x, _, _ in items])), texts, [crc32(json.dumps(texts).encode())])
+            if len(held) > 20_000:
+                yield out(held)
+                held = {}
+        yield out(held)
+
+    def merge(t: pa.Table) -> pa.Table:
+        held: dict = {}
+        for h, s, texts, seen in zip(*(t.column(c).to_pylist() for c in SKELETONS.names), strict=True):
+            add(held, (h, s), json.loads(texts), seen)
+        return pa.Table.from_batches([out(held)], SKELETONS)
+
+    def add(held: dict, key: tuple[str, str], texts: list, seen: list[int]) -> None:
+        before = held.get(key)
+        held[key] = (texts, seen) if before is None else (same(before[0], texts), sorted({*before[1], *seen})[:TEMPLATE_PAGES])
 
-    return pages.where("html is not null").select("host", "html").mapInArrow(run, "host string, skeleton string").groupBy("host", "skeleton").agg(F.count("*").alias("pages"))
+    def out(held: dict) -> pa.RecordBatch:
+        return batch(SKELETONS, [(h, s, json.dumps(texts), seen) for (h, s), (texts, seen) in held.items()])
+
+    made = pages.where("html is not null").select("host", "html").mapInArrow(run, SKELETONS_DDL)
+    return made.groupBy("host", "skeleton").applyInArrow(merge, SKELETONS_DDL)
 
 
 def infer(pages: DataFrame, at_once: int = 64) -> DataFrame:
     """(host, wrapper): every page's token stream took part in its host's wrapper.
 
-    Distinct streams are aligned one after another, the most frequent first, in groups of about ``at_once``; the groups'
-    wrappers are aligned in turn, level by level, so no task holds more than a group of a host, however many pages it has.
+    Streams of one skeleton first become one, then those of a host are aligned one after another, in the order of the
+    skeletons, in groups of about ``at_once``; the groups' wrappers are aligned in turn, level by level, so no task holds
+    more than a group of a host, however many pages it has.
     """
-    small_batches(pages.sparkSession)
-    schema = pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("pages", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+
+    def begin(t: pa.Table) -> pa.Table:
+        every = zip(*(t.column(c).to_pylist() for c in SKELETONS.names[1:]), strict=True)
+        return joined(t, [entries(json.loads(s), json.loads(texts), seen) for s, texts, seen in sorted(every)])
 
     def merge(t: pa.Table) -> pa.Table:
-        order = sorted(zip(t.column("pages").to_pylist(), t.column("skeleton").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-        wrapper = None
-        for _, s in order:
-            one = [(x, o) for x, o in json.loads(s)]
-            wrapper = one if wrapper is None else merged(wrapper, one)
-        return pa.Table.from_pylist([{"host": t.column("host")[0].as_py(), "skeleton": json.dumps(wrapper), "pages": sum(n for n, _ in order)}], schema)
-
-    now = materialize(skeletons(pages), "skeletons")
-    while True:
-        sizes = now.groupBy("host").agg(F.count("*").alias("n"))
-        most = sizes.agg(F.max("n")).first()[0] or 0
-        if most <= 1:
-            return now.select("host", F.col("skeleton").alias("wrapper"))
-        parts = F.ceil(F.col("n") / at_once)
-        dealt = now.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("skeleton"), parts))
-        now = materialize(dealt.select("host", "part", "skeleton", "pages").groupBy("host", "part").applyInArrow(merge, "host string, skeleton string, pages long"), "wrappers")
+        return joined(t, [json.loads(w) for w in sorted(t.column("wrapper").to_pylist())])
+
+    def joined(t: pa.Table, every: list) -> pa.Table:
+        wrapper = every[0]
+        for one in every[1:]:
+            wrapper = merged(wrapper, one)
+        return pa.Table.from_batches([batch(schema, [(t.column("host")[0].as_py(), json.dumps(wrapper))])], schema)
+
+    def level(now: DataFrame, by: str, f) -> DataFrame:
+        sizes = now.groupBy("host").agg(F.ceil(F.count("*") / at_once).alias("parts"))
+        dealt = now.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")))
+        return materialize(dealt.drop("parts").groupBy("host", "part").applyInArrow(f, "host string, wrapper string"), "wrappers")
+
+    now = level(materialize(skeletons(pages), "skeletons"), "skeleton", begin)
+    while not now.groupBy("host").count().where("count > 1").isEmpty():
+        now = level(now, "wrapper", merge)
+    return now
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
