@@ -19,7 +19,9 @@ from quillon.session import materialize
 WIDE_WORDS, WIDE_BITS, WIDE_STEPS = 4, 9, (1, 3, 9)
 PIVOTS = 24
 #: Members of a group that one task compares at once.
-CELL = 4096
+CELL = 8192
+#: A root at most so many of 256 bits away is near enough for the one edge to it; else a node's nearest is asked, too.
+SURE = 28
 #: Rows that a task gathers before it compares their groups.
 CHUNK = 60_000
 EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("bits", pa.int32())])
@@ -197,9 +199,10 @@ def _pairs(group: np.ndarray, side: np.ndarray, table: Table, most: int) -> Iter
             yield table.linked(i[other], j[other], most)
 
 
-def _forest(nodes: np.ndarray, group: np.ndarray, side: np.ndarray, table: Table, most: int, nearest: bool) -> pa.RecordBatch:
-    """Edges (smaller node, larger node, bits) over the groups' links: each node to the smallest of its class, and with
-    ``nearest`` to the one that fewest bits tell it from (ties: the smallest)."""
+def _forest(nodes: np.ndarray, group: np.ndarray, side: np.ndarray, table: Table, most: int, nearest: int | None) -> pa.RecordBatch:
+    """Edges (smaller node, larger node, bits) over the groups' links: each node to the smallest of its class; with
+    ``nearest``, where that one is over so many bits away, and each smallest one, also to the one that fewest bits tell it
+    from (ties: the smallest)."""
     names, node = np.unique(nodes, return_inverse=True)
     row_of = np.zeros(len(names), np.int64)
     row_of[node] = np.arange(len(node))
@@ -207,13 +210,14 @@ def _forest(nodes: np.ndarray, group: np.ndarray, side: np.ndarray, table: Table
     for i, j, bits in _pairs(group, side, table, most):
         i, j = node[i], node[j]
         merge(label, i, j)
-        if nearest:
+        if nearest is not None:
             np.minimum.at(best, i, (bits.astype(np.int64) << 40) + j)
             np.minimum.at(best, j, (bits.astype(np.int64) << 40) + i)
     at = np.flatnonzero(label != np.arange(len(names)))
     src, dst = label[at], at
-    if nearest:
-        at = np.flatnonzero(best < np.iinfo(np.int64).max)
+    if nearest is not None:
+        rooted = (label != np.arange(len(names))) & (table.bits(row_of[label], row_of) <= nearest)
+        at = np.flatnonzero((best < np.iinfo(np.int64).max) & ~rooted)
         other = best[at] & ((1 << 40) - 1)
         pairs = np.unique(np.stack([np.r_[src, np.minimum(at, other)], np.r_[dst, np.maximum(at, other)]]), axis=1)
         src, dst = pairs
@@ -234,14 +238,14 @@ def links(nodes: DataFrame, most: int = 4) -> DataFrame:
 
 def wide_links(nodes: DataFrame, most: int = 56) -> DataFrame:
     """(src, dst, bits) edges between ``nodes`` (node, far, f0 to f3) that differ in at most ``most`` of the 256 bits and share
-    one of 84 pairs of 9-bit blocks, and of each such node to its nearest. At a similarity of 0.8, 39 bits differ on
+    one of 84 pairs of 9-bit blocks, and of each such node far from its root to its nearest. At a similarity of 0.8, 39 bits differ on
     average with a deviation of 6; by the binomial 99 in 100 such pairs share a key and more lie within 56 bits.
     """
     words = [f"f{k}" for k in range(WIDE_WORDS)]
-    return compared(nodes, words, _wide_keys(words), most, nearest=True)
+    return compared(nodes, words, _wide_keys(words), most, nearest=SURE)
 
 
-def compared(nodes: DataFrame, words: list[str], keys: Column, most: int, nearest: bool = False) -> DataFrame:
+def compared(nodes: DataFrame, words: list[str], keys: Column, most: int, nearest: int | None = None) -> DataFrame:
     """Edges that connect the nodes under a common key whose fingerprints, over ``words``, differ in at most ``most`` bits.
 
     Within a group, pairs are discarded by their distances to the pivots and survivors verified, where the rows have been

@@ -70,12 +70,12 @@ def test_forest_of_a_group():
         zero, refs = np.zeros(len(f), np.int64), simhash.pivots()
         far = np.array([list(simhash.distances([int(x)], refs)) for x in f], np.uint8).T
         assert all(far[0][k] == (int(x) ^ int(refs[0][0])).bit_count() for k, x in enumerate(f))
-        for nearest in (False, True):
+        for nearest in (None, -1):
             edges = simhash._forest(np.arange(len(f)), zero, zero, simhash.Table([f], far), 4, nearest)
             src, dst, bits = (c.to_numpy() for c in edges.columns)
             assert (src < dst).all() and bits.tolist() == [(int(f[a]) ^ int(f[b])).bit_count() for a, b in zip(src, dst, strict=True)]
             near = bits <= 4
-            if not nearest:  # roots may be farther away, by links through others
+            if nearest is None:  # roots may be farther away, by links through others
                 near = np.ones(len(bits), bool)
             label = np.arange(len(f))
             simhash.merge(label, src, dst)
