@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 from functools import reduce
 
@@ -73,15 +74,16 @@ def times(x: Column) -> Column:
     return F.format_string("%d×", x.cast("long"))
 
 
-def strip_name(name: Column, depth: int = 4) -> Column:
-    """A demangled name without parameter lists, a trailing ``const`` and template arguments, nested up to ``depth``."""
-    out = name
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"\([^()]*\)", "")
-    out = F.regexp_replace(out, r"\s*const$", "")
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"<[^<>]*>", "")
-    return out
+def _without(text: Column, opener: str, innermost: str) -> Column:
+    """``text`` less all innermost bracketed parts, again and again: once for each opening bracket, so that none is left."""
+    turns = F.array_repeat(F.lit(0), F.length(text) - F.length(F.replace(text, F.lit(opener), F.lit(""))))
+    return F.aggregate(turns, text, lambda t, _: F.regexp_replace(t, innermost, ""))
+
+
+def strip_name(name: Column) -> Column:
+    """A demangled name without parameter lists, a trailing ``const`` and template arguments, however deep they nest."""
+    plain = F.regexp_replace(_without(name, "(", r"\([^()]*\)"), r"\s*const$", "")
+    return _without(plain, "<", r"<[^<>]*>")
 
 
 def truncated(name: Column, longest: int = 4096) -> Column:
@@ -99,15 +101,17 @@ def skewed(weight: Column, skew: float = 1.0) -> Column:
     return weight if skew == 1.0 else (F.pow(F.lit(skew), weight) - 1) / (skew - 1)
 
 
-def hue_colour(weight: Column, cold: tuple = (2 / 3, 0.8, 0.25), hot: tuple = (0.0, 1.0, 0.5)) -> Column:
-    """``#rrggbb`` between two (hue, saturation, lightness) points by weight."""
-    h, s, l = (F.lit(a) + weight * F.lit(b - a) for a, b in zip(cold, hot, strict=True))
+def hue_colour(weight: Column, cold: tuple = (2 / 3, 0.8, 0.25), hot: tuple = (0.0, 1.0, 0.5), gamma: float = 1.0) -> Column:
+    """``#rrggbb`` between two (hue, saturation, lightness) points by weight, each channel to the power 1 / gamma."""
+    w = F.greatest(F.lit(0.0), F.least(F.lit(1.0), weight))
+    h, s, l = (F.lit(a) + w * F.lit(b - a) for a, b in zip(cold, hot, strict=True))
     chroma = (1 - F.abs(2 * l - 1)) * s
 
     def channel(shift: float) -> Column:
         k = F.pmod(h * 12 + shift, F.lit(12.0))
-        v = l - chroma / 2 * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))
-        return F.lower(F.lpad(F.hex(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) * 255 + 0.5).cast("int")), 2, "0"))
+        v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), l - chroma / 2 * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))))
+        v = v if gamma == 1.0 else F.pow(v, F.lit(1 / gamma))
+        return F.lower(F.lpad(F.hex(F.floor(v * 255 + 0.5).cast("int")), 2, "0"))
 
     return F.concat(F.lit("#"), channel(0), channel(8), channel(4))
 
@@ -117,6 +121,25 @@ def sniffed(text: Column) -> Column:
     return F.when(text.try_cast("long").isNotNull() & text.rlike(r"^\s*[+-]?\d+\s*$"), "int").when(text.try_cast("double").isNotNull(), "float").otherwise("str")
 
 
+def converted(text: Column) -> Column:
+    """(as_int, as_float, as_text) of a text: the one value of the type it reads as, the others null."""
+    kind = sniffed(text)
+    return F.struct(
+        F.when(kind == "int", text.try_cast("long")).alias("as_int"), F.when(kind == "float", text.try_cast("double")).alias("as_float"),
+        F.when(kind == "str", text).alias("as_text"),
+    )
+
+
+def rounded_key(lat: Column, lon: Column, places: int = 2) -> Column:
+    """Coordinates rounded to a key of a cache of places: ``(lat, lon)``."""
+    return F.format_string(f"(%.{places}f, %.{places}f)", F.round(lat, places), F.round(lon, places))
+
+
+def address(county: Column, city: Column, district: Column, state: Column) -> Column:
+    """``county,city,state``; a missing city is its district, what is missing else is empty."""
+    return F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in (county, F.coalesce(city, district), state)])
+
+
 def joined(values: Column) -> Column:
     """``a, b or c`` of an array of strings."""
     n = F.size(values)
@@ -131,9 +154,8 @@ def hash_split(key: Column, part: float) -> Column:
 
 
 def glob(name: Column, pattern: str) -> Column:
-    """Does the whole name match a shell pattern of ``*``, ``?`` and literal text?"""
-    regex = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
-    return name.rlike(f"(?s)\\A{regex}\\z")
+    """Does the whole name match a shell pattern of ``*``, ``?``, ``[…]``, ``[!…]`` and literal text?"""
+    return name.rlike(f"\\A{fnmatch.translate(pattern)[:-2]}\\z")
 
 
 def under_any(path: Column, prefixes: list[str]) -> Column:
@@ -151,6 +173,16 @@ def wrapped(name: Column, width: int = 30) -> Column:
     return F.regexp_replace(name, f"(.{{{width}}})(?=.)", "$1\n")
 
 
+def wrapped_words(name: Column, width: int = 32) -> Column:
+    """A name broken at spaces into lines of at most ``width`` characters; a longer word has a line of its own."""
+    return F.trim(F.regexp_replace(F.concat(name, F.lit(" ")), f"(?:(.{{1,{width}}})|(\\S{{{width},}})) +", "$1$2\n"), F.lit("\n"))
+
+
+def squeezed(name: Column) -> Column:
+    """A name without the spaces after commas and between closing angle brackets."""
+    return F.replace(F.replace(F.replace(name, F.lit(", "), F.lit(",")), F.lit("> >"), F.lit(">>")), F.lit("> >"), F.lit(">>"))
+
+
 def complete_sum(x: Column) -> Column:
     """The sum of a measure; null if any row lacks it."""
     return F.when(F.count("*") == F.count(x), F.sum(x))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.items import ordinal
+
 TINY = 1e-6
 
 
@@ -46,12 +48,20 @@ def containment(items: DataFrame, a: str, b: str) -> DataFrame:
 
 def greedy_match(cells: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b) for each cluster a: the b of its last cell among the best cells, as many as there are clusters a, by (sim
-    descending, a, b); null if it has none. The cells kept are a top-k, so no global order is built."""
+    descending, a, b); null if it has none.
+
+    Where fewer cells than clusters a are above 0, each further turn takes the first cell of a table of zeros, so the first
+    a ends with the first b. Cells get their global place by ranges, so no task holds the best of all.
+    """
     ids = cells.select(a).distinct()
     n = ids.count()
-    best = cells.orderBy(F.desc("sim"), a, b).limit(max(1, n))
-    last = F.row_number().over(Window.partitionBy(a).orderBy("sim", F.desc(a), F.desc(b)))
+    placed = ordinal(cells.where("sim > 0").select(a, b, "sim"), [F.desc("sim"), F.asc(a), F.asc(b)], "_place")
+    best = placed.where(F.col("_place") < n)
+    last = F.row_number().over(Window.partitionBy(a).orderBy(F.desc("_place")))
     kept = best.withColumn("_last", last).where("_last = 1").select(a, b)
+    if n and best.count() < n:
+        first = cells.agg(F.min(a).alias(a), F.min(b).alias(b))
+        kept = kept.join(first.select(a), a, "left_anti").unionByName(first)
     return ids.join(kept, a, "left")
 
 

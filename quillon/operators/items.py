@@ -100,11 +100,22 @@ def rank_fusion(clusters: DataFrame, criteria: dict[str, tuple[float, bool]], ke
     criteria: column -> (weight, ascending). Ascending ranks give the greatest value the highest rank, descending ones the
     smallest; ties by ``key`` in the same direction.
     """
+    base = materialize(clusters, "rank-base")
+    out = base
     for c, (_, up) in criteria.items():
         order = [F.col(c).asc(), F.col(key).asc()] if up else [F.col(c).desc(), F.col(key).desc()]
-        clusters = ordinal(clusters, order, f"rank_{c}")
+        out = out.join(ordinal(base.select(key, c), order, f"rank_{c}").drop(c), key)  # only key and rank are sorted and shuffled
     total = reduce(lambda a, b: a + b, [F.lit(w) * F.col(f"rank_{c}") for c, (w, _) in criteria.items()])
-    return clusters.withColumn("total_rank", total)
+    return out.withColumn("total_rank", total)
+
+
+#: Weights of the criteria size, time, place, closest holiday and holiday share, in that order (fixed values).
+PRESETS = {"equal": (0.2, 0.2, 0.2, 0.2, 0.2), "time_only": (0.25, 0.25, 0.0, 0.25, 0.25)}
+
+
+def parent_rank(scenes: DataFrame, parent: str, rank: str = "total_rank") -> DataFrame:
+    """(parent, rank): a parent's rank is the mean of its scenes'."""
+    return scenes.groupBy(parent).agg(F.avg(rank).alias(rank))
 
 
 def lookup(items: DataFrame, known: DataFrame, on: list[str], value: str, missing: Column) -> DataFrame:

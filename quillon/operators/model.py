@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.evaluate import confusion_metrics
+
 
 def prepared(numeric: list[str], categorical: list[str]) -> list:
     """Stages that impute and scale numeric columns, one-hot encode integer categories and assemble ``features``."""
@@ -51,6 +53,20 @@ class Blend:
         return self.top.transform(self.assembler.transform(self._both(pairs)))
 
 
+def evaluated(model, pairs: DataFrame, label: str) -> DataFrame:
+    """One row of counts and metrics of a fitted classifier over labelled pairs (see ``confusion_metrics``)."""
+    return confusion_metrics(predict(model, pairs).withColumn(label, F.col(label).cast("int")), label, "predicted_label")
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Writes a fitted pipeline, replacing what was there."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def predict(model, pairs: DataFrame) -> DataFrame:
     """``pairs`` with predicted_label, the class of the greatest probability (ties: the first), and its probability."""
     p = vector_to_array("probability")

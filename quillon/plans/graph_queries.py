@@ -95,17 +95,16 @@ def stack_presence(spark, sf):
 
 
 def transitions(spark, sf):
-    """Edges between (user, event type) nodes for each change of type in a user's time order."""
+    """Edges between (user, event type) nodes for each change of type in a user's time order, from ``start`` on: what a user
+    goes back and forth between is a cycle, called once from its start."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").select("user_id", "event_type", F.lag("event_type").over(w).alias("previous"))
+    e = table(spark, sf, "events").select("user_id", "event_type", F.lag("event_type", 1, "start").over(w).alias("previous"))
     node = lambda c: F.concat(F.col("user_id").cast("string"), F.lit(":"), c)
-    changes = e.where("previous is not null and previous <> event_type and user_id % 2 = ascii(event_type) % 2 or previous < event_type")
-    return changes.groupBy(node("previous").alias("src"), node("event_type").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    return e.where("previous <> event_type").groupBy(node("previous").alias("src"), node("event_type").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
 
 
-T_SQL = """t AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events),
-  e AS (SELECT DISTINCT user_id || ':' || previous AS src, user_id || ':' || event_type AS dst FROM t
-    WHERE previous IS NOT NULL AND previous <> event_type AND user_id % 2 = ascii(event_type) % 2 OR previous < event_type)"""
+T_SQL = """t AS (SELECT user_id, event_type, lag(event_type, 1, 'start') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events),
+  e AS (SELECT user_id || ':' || previous AS src, user_id || ':' || event_type AS dst, count(*) AS weight FROM t WHERE previous <> event_type GROUP BY ALL)"""
 
 
 @query(f"""WITH RECURSIVE {T_SQL}, reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM reach r JOIN e ON e.src = r.b),
@@ -115,7 +114,34 @@ def scc_cycles(spark, sf):
     return G.strong_components(transitions(spark, sf))
 
 
-@query()
+#: All of a user's types that it comes back to are one cycle with one entry, the first type, or have none before them. Ranks
+#: are distances from the entry; along each way that leads away from it shares multiply, and a member's total is what lies at
+#: the ends of all its ways.
+CYCLE_SQL = f"""WITH RECURSIVE {T_SQL},
+  reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM reach r JOIN e ON e.src = r.b),
+  m AS (SELECT DISTINCT p.a AS x, p.b AS y FROM reach p JOIN reach q ON p.a = q.b AND p.b = q.a),
+  n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+  scc AS (SELECT n.node, least(n.node, coalesce(min(m.y), n.node)) AS scc, coalesce(count(DISTINCT m.y), 0) > 1 AS cyclic FROM n LEFT JOIN m ON n.node = m.x GROUP BY n.node),
+  own AS (SELECT n.node, coalesce(w, 0) / sum(coalesce(w, 0)) OVER () AS own FROM n LEFT JOIN (SELECT dst, sum(weight) AS w FROM e GROUP BY dst) ON n.node = dst),
+  c AS (SELECT e.src, e.dst, weight, a.scc AS a, b.scc AS b, weight / sum(weight) OVER (PARTITION BY e.dst) AS within FROM e JOIN scc a ON e.src = a.node JOIN scc b ON e.dst = b.node),
+  x AS (SELECT *, weight / sum(weight) OVER (PARTITION BY b) AS r FROM c WHERE a <> b),
+  part AS (SELECT scc AS part, sum(own) AS own FROM own JOIN scc USING (node) GROUP BY scc),
+  pr AS (SELECT a, b, sum(r) AS r FROM x GROUP BY a, b),
+  down AS (SELECT part AS top, part AS here, 1.0::DOUBLE AS f FROM part UNION ALL SELECT top, b, f * r FROM down JOIN pr ON here = a),
+  total AS (SELECT top AS part, sum(f * own) AS total FROM down JOIN part ON here = part GROUP BY top),
+  val AS (SELECT o.node, o.own + coalesce(q.more, 0) AS v FROM own o LEFT JOIN (SELECT src, sum(r * total) AS more FROM x JOIN total ON b = part GROUP BY src) q ON o.node = q.src),
+  entry AS (SELECT dst AS entry, sum(r) AS r FROM x JOIN scc ON dst = node WHERE cyclic GROUP BY dst),
+  walk AS (SELECT entry, entry AS node, 0 AS rank FROM entry UNION SELECT entry, dst, rank + 1 FROM walk JOIN c ON src = node AND a = b WHERE rank < 6),
+  ranks AS (SELECT entry, node, min(rank) AS rank FROM walk GROUP BY entry, node),
+  away AS (SELECT f.entry, c.src, c.dst, c.within / sum(c.within) OVER (PARTITION BY f.entry, c.dst) AS share FROM c JOIN ranks f ON c.src = f.node
+    JOIN ranks t ON c.dst = t.node AND f.entry = t.entry AND t.rank > f.rank WHERE a = b),
+  ways AS (SELECT entry, node AS top, node AS here, 1.0::DOUBLE AS f FROM ranks UNION ALL SELECT w.entry, top, dst, f * share FROM ways w JOIN away d ON w.entry = d.entry AND here = d.src),
+  inside AS (SELECT top AS node, sum(f * v * r) AS total FROM ways JOIN val ON here = node JOIN entry USING (entry) GROUP BY top)
+  SELECT s.node AS name, round(CASE WHEN cyclic THEN coalesce(i.total, 0) ELSE t.total END, 9) AS total
+  FROM scc s LEFT JOIN inside i ON s.node = i.node LEFT JOIN total t ON s.scc = t.part"""
+
+
+@query(CYCLE_SQL)
 def cycle_propagate(spark, sf):
     edges = transitions(spark, sf)
     nodes = edges.groupBy(F.col("dst").alias("name")).agg(F.sum("weight").alias("self"))
@@ -146,6 +172,17 @@ def color_map(spark, sf):
     return C.propagate(*graph(spark, sf)).select("name", S.hue_colour(F.col("total")).alias("colour"))
 
 
+@query(f"""WITH {P_SQL}, z AS (SELECT name, total, CASE WHEN name IN (SELECT leaf FROM p) THEN total ELSE 0 END AS self FROM totals)
+  SELECT 1 AS block, name, 0 AS kind, '' AS callee, printf('%.2f%%', total * 100) AS shown FROM z
+  UNION ALL SELECT 1, src, 1, dst, printf('%.2f%%', ratio * total * 100) FROM r JOIN z ON dst = name
+  UNION ALL SELECT 0, '', k, '', NULL FROM (SELECT unnest([0, 1, 2, 3]) AS k) UNION ALL SELECT 2, '', 0, '', NULL""")
+def dot_document(spark, sf):
+    nodes, edges = graph(spark, sf)
+    whole = C.propagate(nodes, edges).join(C.self_ratios(nodes).select("name", F.col("ratio").alias("self")), "name")
+    lines = C.dot_document(whole, C.call_ratios(edges))
+    return lines.select("at.*", F.nullif(F.regexp_extract("line", r'label="[^%]*?([0-9]+\.[0-9]+%)', 1), F.lit("")).alias("shown"))
+
+
 @query(f"""WITH {P_SQL} SELECT '"' || src || '" -> "' || dst || '" [label="' || printf('%.2f%%', ratio * 100) || '"];' AS line FROM r
   UNION ALL SELECT '"' || name || '" [label="' || name || chr(92) || 'n' || printf('%.2f%%', total * 100) || '"];' FROM totals""")
 def dot_lines(spark, sf):

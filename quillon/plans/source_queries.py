@@ -40,7 +40,7 @@ def parse_xperf_csv(spark, sf):
 
 @query(f"""WITH {ISLANDS} SELECT cluster_id, '{{"cluster":' || cluster_id || ',"items":[' || string_agg(event_id, ',' ORDER BY event_id) || ']}}' AS value FROM i GROUP BY cluster_id""")
 def result_json(spark, sf):
-    return items_source.result_json(clusters(spark, sf), "cluster_id", "event_id")
+    return items_source.result_json(clusters(spark, sf), "cluster_id", "event_id").drop("part")
 
 
 @query("""SELECT user_id, CASE WHEN len(l) < 2 THEN array_to_string(l, '') ELSE array_to_string(l[:-2], ', ') || ' or ' || l[-1] END AS types

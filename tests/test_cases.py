@@ -52,6 +52,14 @@ def test_nearest_holiday(spark):
 
 def test_strings(spark):
     assert one(spark, S.strip_name(F.lit("ns::f<a<b>>(int(*)(x)) const"))) == "ns::f"
+    assert one(spark, S.strip_name(F.lit("f" + "(" * 9 + ")" * 9 + "<" * 12 + ">" * 12))) == "f" and one(spark, S.strip_name(F.lit("a<b> x)y(")) ) == "a x)y("
+    assert one(spark, S.squeezed(F.lit("map<a, b<c<d> > >"))) == "map<a,b<c<d>>>"
+    assert one(spark, S.wrapped_words(F.lit("one two three four"), 9)) == "one two\nthree\nfour" and one(spark, S.wrapped_words(F.lit("toolongword a b"), 5)) == "toolongword\na b"
+    assert [one(spark, S.glob(F.lit(x), "f[!a]*.?")) for x in ("fb.c", "fa.c", "fbb.cc", "xfb.c")] == [True, False, False, False]
+    assert [tuple(one(spark, S.converted(F.lit(x)))) for x in ("12", "1.5", "x")] == [(12, None, None), (None, 1.5, None), (None, None, "x")]
+    assert one(spark, S.rounded_key(F.lit(30.256), F.lit(-120.5))) == "(30.26, -120.50)"
+    assert one(spark, S.address(F.lit("c"), F.lit(None).cast("string"), F.lit("d"), F.lit(None).cast("string"))) == "c,d,"
+    assert one(spark, S.hue_colour(F.lit(0.0), (0.0, 0.0, 0.85), (0.0, 0.0, 0.0), 2.2)) == f"#{round(0.85 ** (1 / 2.2) * 255):02x}" * 1 + f"{round(0.85 ** (1 / 2.2) * 255):02x}" * 2
     assert one(spark, S.dot_escape(F.lit('a"b\\c\n'))) == '"a\\"b\\\\c\\n"'
     assert [one(spark, S.sniffed(F.lit(x))) for x in ("12", "-3", "1.5", "1e3", "x", "")] == ["int", "int", "float", "float", "str", "str"]
     assert one(spark, S.truncated(F.lit("x" * 5000))) == "x" * 4095 + "…"
@@ -91,6 +99,10 @@ def test_greedy_match(spark):
 
     assert match([{"a", "b"}, {"c"}], [{"a", "b", "c"}, {"c"}]) == {0: 0, 1: 1}
     assert match([{"a", "b", "c"}, {"d"}], [{"a"}, {"b"}, {"x", "d"}])[0] == 1
+    # two cells above 0 for three clusters: the third turn falls to the first cell of what is all zeros by then
+    assert match([{"a"}, {"b", "c"}, {"d"}], [{"a"}, {"b", "c", "d"}]) == {0: 0, 1: 1, 2: 1}
+    few = spark.createDataFrame([(0, 5, 0.0), (1, 5, 0.7), (1, 6, 0.0), (2, 5, 0.0)], "a int, g int, sim double")
+    assert {r.a: r.g for r in V.greedy_match(few, "a", "g").collect()} == {0: 5, 1: 5, 2: None}
 
 
 def test_components(spark):
@@ -125,6 +137,84 @@ def test_call_graph(spark):
     assert {r.name: r.samples for r in C.presence(stacks).collect()} == {"b": 2, "a": 2, "main": 4}
 
 
+def dealt_out(nodes, edges):
+    """Totals by walking calls one after another: cycles as a whole, then from each entry outwards."""
+    reach = {n: {n} for n in nodes}
+    while True:
+        more = {a: reach[a].union(*[reach[b] for x, b in edges if x == a]) for a in nodes}
+        if more == reach:
+            break
+        reach = more
+    part = {a: frozenset(b for b in reach[a] if a in reach[b]) for a in nodes}
+    whole = sum(nodes.values())
+    own = {n: v / whole for n, v in nodes.items()}
+    into = lambda dst: sum(w for (a, b), w in edges.items() if b == dst and a != b)
+    outside = lambda p: sum(w for (a, b), w in edges.items() if b in p and a not in p)
+    ratio = {(a, b): w / (outside(part[b]) if len(part[b]) > 1 and a not in part[b] else into(b)) for (a, b), w in edges.items() if a != b}
+    memo = {}
+
+    def total(p):
+        if p not in memo:
+            memo[p] = sum(own[m] for m in p) + sum(r * total(part[b]) for (a, b), r in ratio.items() if a in p and b not in p)
+        return memo[p]
+
+    out = {n: total(part[n]) if len(part[n]) == 1 else 0.0 for n in nodes}
+    checks = []
+    for p in {q for q in part.values() if len(q) > 1}:
+        for entry in p:
+            r_in = sum(r for (a, b), r in ratio.items() if b == entry and a not in p)
+            if not r_in:
+                continue
+            rank, todo = {entry: 0}, [entry]
+            for a in todo:
+                for (x, b) in ratio:
+                    if x == a and b in p and b not in rank:
+                        rank[b] = rank[a] + 1
+                        todo.append(b)
+            away = {e: r for e, r in ratio.items() if e[0] in p and e[1] in p and rank[e[1]] > rank[e[0]]}
+            partial = {}
+            for m in sorted(p, key=lambda m: -rank[m]):
+                partial[m] = r_in * (own[m] + sum(r * total(part[b]) for (a, b), r in ratio.items() if a == m and b not in p))
+                partial[m] += sum(r / sum(q for (_, c), q in away.items() if c == b) * partial[b] for (a, b), r in away.items() if a == m)
+                out[m] += partial[m]
+            checks.append((partial[entry], max(partial.values()), r_in * total(p)))
+    return out, checks
+
+
+def test_totals_within_cycles_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    nodes, edges = {}, {}
+    for g in range(8):  # graphs side by side, of random calls among six nodes
+        names = [f"{g}{c}" for c in "abcdef"]
+        nodes |= {n: float(rng.integers(0, 9)) for n in names}
+        for a, b in itertools.product(names, names):
+            if rng.random() < 0.3:
+                edges[a, b] = float(rng.integers(1, 9))
+    want, checks = dealt_out(nodes, edges)
+    got = C.propagate(spark.createDataFrame(list(nodes.items()), "name string, self double"), spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, weight double"))
+    assert {r.name: round(r.total, 9) for r in got.collect()} == {n: round(v, 9) for n, v in want.items()}
+    assert checks and all(abs(a - m) < 1e-9 and abs(a - t) < 1e-9 for a, m, t in checks)  # an entry has the cycle's total by its ratio
+
+
+def test_graph_document(spark):
+    nodes = spark.createDataFrame([("main", 1.0, 0.4), ('f<a, b>("x")', 0.6, 0.6)], "name string, total double, self double")
+    edges = spark.createDataFrame([("main", 'f<a, b>("x")', 1.0)], "src string, dst string, ratio double")
+    lines = [r.line for r in C.dot_document(nodes, edges).orderBy("at").collect()]
+    assert lines[0] == "digraph {" and lines[-1] == "}" and len(lines) == 8 and "Arial" in lines[1]
+    assert lines[4].startswith('\t"f<a, b>(\\"x\\")" [color="#') and lines[5].startswith('\t"main" [color="#ff0000"')
+    assert 'label="main\\n100.00%\\n(40.00%)"' in lines[5] and '"main" -> "f<a' in lines[6] and 'penwidth="2.40"' in lines[6] and 'label="60.00%"' in lines[6]
+    for theme in C.THEMES:
+        some = [r.line for r in C.dot_document(nodes, edges, theme, strip=True, wrap=True).orderBy("at").collect()]
+        assert len(some) == 8 and 'label="f\\n60.00%' in some[4]
+    assert 'style="solid"' in [r.line for r in C.dot_document(nodes, edges, "print").orderBy("at").collect()][2]
+
+
+def test_parents_have_the_mean_of_their_scenes(spark):
+    df = spark.createDataFrame([("p", 1.0), ("p", 4.0), ("q", 2.0)], "event string, total_rank double")
+    assert {r.event: r.total_rank for r in I.parent_rank(df, "event").collect()} == {"p": 2.5, "q": 2.0}
+    assert all(sum(w) == pytest.approx(1.0) for w in I.PRESETS.values())
+
+
 def test_density_on_a_line(spark):
     seconds = [0, 1, 2, 3, 50, 100, 101, 102, 103, 107, 300]
     df = spark.createDataFrame([("u", k, s * 1_000_000) for k, s in enumerate(seconds)], "u string, k long, us long")

@@ -43,12 +43,12 @@ def test_scenes_partition_their_items(spark, sf):
     assert all(min(v) == k for (k, s), v in sizes.items() if s == "chosen")
 
 
-def test_cycles_carry_one_total(spark, sf):
+def test_cycles_deal_out_their_total(spark, sf):
     totals = {r.name: r.total for r in registry.QUERIES["cycle_propagate"](spark, sf).collect()}
     scc = {r.node: r.scc for r in registry.QUERIES["scc_cycles"](spark, sf).collect()}
-    assert totals.keys() == scc.keys()
-    for node, c in scc.items():
-        assert totals[node] == pytest.approx(totals[c])
+    assert totals.keys() == scc.keys() and len(set(scc.values())) < len(scc)
+    starts = sum(t for n, t in totals.items() if n.endswith(":start"))
+    assert starts == pytest.approx(1.0, abs=1e-4)  # all cost is reached from the starts
 
 
 def test_classifier_scores_every_pair(spark, sf):
