@@ -250,7 +250,6 @@ def identified(docs: DataFrame, taught: DataFrame, name: str, keep: list[str]) -
     asked = materialize(tails.select("word").distinct().join(known, "word", "left"), "lang-asked")
     grams = counts.select("lang", "n", F.explode(F.concat(F.array(F.lit("^"), F.lit("$")), *[F.coalesce(_pieces("word", n), F.array().cast("array<string>")) for n in range(1, LONGEST + 1)])).alias("gram"))
     grams, _ = _logs(materialize(_wide(grams, "gram", langs), "lang-grams"), "gram", langs)
-    grams = materialize(grams, "lang-gram-logs")
     every = asked.where("v is not null").unionByName(_backed_off(asked.where("v is null").select("word"), grams, langs))
     sums = tails.join(every, "word").groupBy(row).agg(F.array(*[F.sum(F.col("n") * F.col("v")[k]) for k in range(len(langs))]).alias("more"))
     total = F.when(F.col("more").isNull(), F.col(part)["head"]).otherwise(F.zip_with(F.col(part)["head"], "more", lambda a, b: a + b))
