@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import MICROS
 from quillon.operators.items import ordinal
+from quillon.session import materialize
 
 
 def islands(items: DataFrame, group: str, time_us: str, item: str, gap: float, name: str = "cluster_id") -> DataFrame:
@@ -39,6 +42,35 @@ def density_1d(items: DataFrame, group: str, time_us: str, item: str, eps: float
     return named.withColumn(name, label).drop("_core", "_start", "_name", "_mine")
 
 
+def split_1d(
+    items: DataFrame, group: str, time_us: str, item: str, eps: float, least: int, min_size: int, max_size: int, max_levels: int = 24
+) -> DataFrame:
+    """``items`` with scene_id and status: each group of over ``max_size`` items is cut by density on a line (``density_1d``), its
+    clusters that are still too large are cut again with half the distance, and so on.
+
+    A scene is chosen from ``min_size`` items on, else unchosen; what a cut leaves out is noise (scene_id null). Items at one
+    time cannot be parted: after ``max_levels`` halvings such a scene is chosen as it is. Only groups that are too large
+    are read again at a level; each level is a table.
+    """
+    key, size = "_scene", F.count("*").over(Window.partitionBy("_scene", group))
+    status = F.when(F.col("_size") >= min_size, "chosen").otherwise("unchosen")
+    now = items.withColumn(key, F.min(item).over(Window.partitionBy(group))).withColumn("_size", size)
+    now, done = materialize(now, "split"), []
+    for level in range(max_levels):
+        done.append(now.where(F.col("_size") <= max_size).select(*items.columns, F.col(key).alias("scene_id"), status.alias("status")))
+        large = now.where(F.col("_size") > max_size)
+        if large.isEmpty():
+            break
+        both = F.concat_ws(":", F.col(group).cast("string"), F.col(key).cast("string"))
+        cut_ = density_1d(large.withColumn("_both", both), "_both", time_us, item, eps / 2**level, least, "_cut")
+        cut_ = materialize(cut_.select(*items.columns, "_cut"), "split")
+        done.append(cut_.where("_cut is null").select(*items.columns, F.col("_cut").alias("scene_id"), F.lit("noise").alias("status")))
+        now = materialize(cut_.where("_cut is not null").withColumnRenamed("_cut", key).withColumn("_size", size), "split")
+    else:
+        done.append(now.select(*items.columns, F.col(key).alias("scene_id"), status.alias("status")))
+    return reduce(DataFrame.unionByName, done)
+
+
 def sized(clusters: DataFrame, key: str, least: int, most: int) -> DataFrame:
     """(key, size) of the clusters with ``least`` to ``most`` items."""
     return clusters.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size").between(least, most))

@@ -224,6 +224,18 @@ def test_density_on_a_line(spark):
     assert isl == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 10: 10}
 
 
+def test_recursive_split_on_a_line(spark):
+    """Three bursts, one of them two close ones, fall apart level by level; twins in time cannot; sizes hold elsewhere."""
+    seconds = [*range(0, 12), *range(100, 112), *range(1000, 1006), *[2000] * 15, 5000]
+    df = spark.createDataFrame([("u", k, s * 1_000_000, 0) for k, s in enumerate(seconds)] + [("v", 900 + k, k, 0) for k in range(3)], "u string, k long, us long, size int")
+    got = {r.k: (r.scene_id, r.status) for r in K.split_1d(df, "u", "us", "k", 128, 3, 5, 13).collect()}
+    assert len(got) == len(seconds) + 3 and [got[900 + k] for k in range(3)] == [(900, "unchosen")] * 3
+    assert {got[k] for k in range(12)} == {(0, "chosen")} and {got[k] for k in range(12, 24)} == {(12, "chosen")}
+    assert {got[k] for k in range(24, 30)} == {(24, "chosen")} and {got[k] for k in range(30, 45)} == {(30, "chosen")}
+    assert got[45] == (None, "noise")
+    assert K.split_1d(df.limit(0), "u", "us", "k", 128, 3, 5, 13).count() == 0
+
+
 def test_recursive_split():
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.normal(c, 0.05, (25, 2)) for c in (0, 3, 6)])
