@@ -21,7 +21,7 @@ WORD_BUCKETS = 256
 SOURCE_BUCKETS, LANG_BUCKETS, LENGTH_STEPS = 64, 32, 24
 META_SIZE = SOURCE_BUCKETS + LANG_BUCKETS + LENGTH_STEPS
 #: Partial sums that one task adds up, or the driver at the end.
-SUMS_AT_ONCE = 32
+SUMS_AT_ONCE = 8
 PUNCTUATION = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
 
 
