@@ -74,9 +74,6 @@ def test_forest_of_a_group():
             edges = simhash._forest(np.arange(len(f)), zero, zero, simhash.Table([f], far), 4, nearest)
             src, dst, bits = (c.to_numpy() for c in edges.columns)
             assert (src < dst).all() and bits.tolist() == [(int(f[a]) ^ int(f[b])).bit_count() for a, b in zip(src, dst, strict=True)]
-            near = bits <= 4
-            if nearest is None:  # roots may be farther away, by links through others
-                near = np.ones(len(bits), bool)
             label = np.arange(len(f))
             simhash.merge(label, src, dst)
             assert label.tolist() == classes(f)
