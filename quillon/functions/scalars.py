@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import fnmatch
-import re
 from functools import reduce
 
 from pyspark.sql import Column
