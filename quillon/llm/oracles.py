@@ -45,4 +45,62 @@ out AS (
 SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':7'), 1, 8))::BIGINT / 4294967296.0 < rate AS sampled FROM out
 """
 
-ORACLES = {"op2_mixing": MIXING}
+#: All 120 orders as paths that add an unused letter; each filter is one bit of a document.
+AUDIT = r"""
+WITH RECURSIVE f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+orders AS (
+  SELECT letter AS o FROM f
+  UNION ALL SELECT o || letter FROM orders, f WHERE NOT contains(o, letter)),
+step AS (SELECT o, k AS step, substr(o, k, 1) AS letter, substr(o, 1, k - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS k) WHERE length(o) = 5),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS words FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+b AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+    concat(CASE WHEN len(words) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+      CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' END,
+      CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' END) AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM b GROUP BY ALL),
+m AS (SELECT part, o, step, letter, n, good, toxic, fails = letter AS alone, contains(fails, letter) AS own, translate(fails, before, '') <> fails AS earlier FROM c, step),
+g AS (SELECT part, o, step, letter,
+    coalesce(sum(n) FILTER (WHERE NOT own AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE own AND NOT earlier), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE own AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE own AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE own AND NOT earlier), 0)::BIGINT AS toxic_lost
+  FROM m GROUP BY ALL)
+SELECT part, o AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM g
+"""
+
+#: Phrases as lists of words at each place of a piece.
+COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS words FROM p),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (SELECT lang, array_to_string(words[i : i + k - 1], ' ') AS phrase, k FROM places, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(words)),
+f AS (SELECT lang, phrase, k, count(*) AS a FROM g GROUP BY ALL HAVING k = 1 OR count(*) >= 10),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+parts AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS s, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.k, c.a, c.cut, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM parts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.s[1 : c.cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.s[c.cut + 1 : c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+covered AS (SELECT lang, unnest([array_to_string(s[1 : 2], ' '), array_to_string(s[2 : 3], ' ')]) AS phrase, a FROM (SELECT lang, a, string_split(phrase, ' ') AS s FROM f WHERE k = 3)),
+most AS (SELECT lang, phrase, max(a) AS m FROM covered GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN most ON b.lang = most.lang AND b.phrase = most.phrase WHERE m IS NULL OR 100 * m < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+#: The length of the formatted text is the sum of its marks and escaped texts: a block opens where the role changes.
+CHAT = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM (SELECT unnest([0, 1]) AS k)),
+m AS (SELECT *, role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS again FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + CASE WHEN again THEN length('<|im_sep|>') ELSE length('<|im_start|>') + length('<|im_end|>') + 2
+    + length(replace(replace(replace(role, '\', '\b'), chr(10), '\n'), '<', '\l')) END)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+ORACLES = {"op2_mixing": MIXING, "op11_filter_audit": AUDIT, "op12_collocations": COLLOCATIONS, "op13_chat_format": CHAT}

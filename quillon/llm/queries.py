@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import cotrain, langid, mixing, oracles, packing, pii, search, simhash, sketch, urls, wrappers
+from quillon.llm import audit, chat, collocations, cotrain, langid, mixing, oracles, packing, pii, search, simhash, sketch, urls, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_all(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_search, op2_mixing, op3_quality, op4_main_text, op5_fingerprints, op6_language, op7_personal_data,
-        op8_url_filter, op9_near_copies, op10_packing, pipeline,
+        op8_url_filter, op9_near_copies, op10_packing, op11_filter_audit, op12_collocations, op13_chat_format, pipeline,
     )
     return {f.__name__: f for f in every}
 
