@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -81,7 +82,8 @@ def test_bounds_change_nothing(monkeypatch, at_once, words, size):
     docs = [("the cat sat. the cat ran on the mat, a cat", "en"), ("le chat\tnoir", "fr"), (None, "en"), ("averyveryverylongword b c " * 9 + ".", "en"), ("b c", "fr")]
     batches = [pa.RecordBatch.from_pydict({"lang": [l for _, l in docs[k : k + 2]], "text": [t for t, _ in docs[k : k + 2]]}, pa.schema([("lang", pa.string()), ("text", pa.string())])) for k in (0, 2, 4)]
     got, roots, chunks = Counter(), Counter(), {}
-    for b in collocations._stripes(iter(batches)):
+    everything = np.full(4, 2**64 - 1, np.uint64)
+    for b in (b for frequent in (None, everything) for b in collocations._stripes(iter(batches), frequent)):
         for r in b.to_pylist():
             for w, n in zip(r["nexts"], r["counts"], strict=True):
                 if r["prefix"]:
@@ -94,6 +96,30 @@ def test_bounds_change_nothing(monkeypatch, at_once, words, size):
     assert roots == Counter({lang: sum(n for (o, p), n in want.items() if o == lang and " " not in p) for lang in ("en", "fr")})
 
 
+def test_filter_holds_its_pairs_and_little_else(spark):
+    made = [("en" if k % 2 else "fr", f"a{k}", f"b{k}") for k in range(5000)]
+    table = collocations.pair_filter(spark.createDataFrame(made, "lang string, prefix string, next string"))
+    assert len(table) == 8192
+
+    def passes(rows):
+        hit = 0
+        for lang, x, y in rows:
+            block, mask = collocations.pair_bits(lang, collocations.hashes([x.encode()]), collocations.hashes([y.encode()]), len(table))
+            hit += int(table[block[0]] & mask[0] == mask[0])
+        return hit
+
+    assert passes(made) == len(made)
+    assert passes([("en", y, x) for _, x, y in made]) < 50
+    assert len(collocations.pair_filter(spark.createDataFrame([], "lang string, prefix string, next string"))) == 2
+
+
+@pytest.mark.parametrize("blocks", [2, 4])
+def test_a_full_filter_changes_nothing(spark, monkeypatch, blocks):
+    monkeypatch.setattr(collocations, "MOST_BLOCKS", blocks)
+    docs = [(f"aa bb cc dd{k % 7} ee ff{k % 3}", "en") for k in range(60)]
+    assert run(spark, docs) == brute(docs)
+
+
 def test_large_counts_are_exact(spark):
     big = 3_037_000_499_123
     row = spark.createDataFrame([(big, big + 7, big + 11)], "a long, l long, r long").select(collocations.score("a", "l", "r")).first()
