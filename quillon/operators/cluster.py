@@ -1,11 +1,9 @@
-"""Clustering of items: time islands, one-dimensional density clusters by windows, recursive density splitting."""
+"""Clustering of items: time islands, one-dimensional density clusters by windows."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,90 +83,6 @@ def numbered(items: DataFrame, cluster: str, item: str, name: str = "label") ->
     return items.join(places, cluster).select(*items.columns, name).unionByName(own.select(*items.columns, name))
 
 
-def optics_order(points: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, reachability, core distance): from the first point on, always the unplaced point of the least reachability,
-    ties by index. The core distance is that to the ``least``-th nearest point, the point itself counted."""
-    n = len(points)
-    core = np.array([np.partition(np.linalg.norm(points - p, axis=1), least - 1)[least - 1] if n >= least else np.inf for p in points])
-    reach, left, order = np.full(n, np.inf), np.ones(n, bool), np.empty(n, np.int64)
-    for k in range(n):
-        at = np.flatnonzero(left)
-        p = at[np.argmin(reach[at])]
-        order[k], left[p] = p, False
-        if np.isfinite(core[p]):
-            far = np.maximum(core[p], np.linalg.norm(points - points[p], axis=1))
-            reach[left] = np.minimum(reach[left], far[left])
-    return order, reach, core
-
-
-def cut(order: np.ndarray, reach: np.ndarray, core: np.ndarray, eps: float) -> np.ndarray:
-    """Labels by a cut of the reachability at ``eps``; -1 is noise."""
-    label, now = np.full(len(order), -1), -1
-    for p in order:
-        if reach[p] > eps:
-            if core[p] <= eps:
-                now += 1
-                label[p] = now
-        elif now >= 0:
-            label[p] = now
-    return label
-
-
-def best_cut(order: np.ndarray, reach: np.ndarray, core: np.ndarray, steps: int = 100) -> np.ndarray:
-    """The cut at eps in [0, 1) with the fewest noise points among those with more than one label and some point placed; the
-    least eps wins ties; all noise if none qualifies."""
-    best = None
-    for k in range(steps):
-        label = cut(order, reach, core, k / steps)
-        noise = int((label < 0).sum())
-        if len(np.unique(label)) > 1 and noise < len(label) and (best is None or noise < best[0]):
-            best = noise, label
-    return np.full(len(order), -1) if best is None else best[1]
-
-
-def split_recursively(points: np.ndarray, least: int, most: int) -> list[tuple[np.ndarray, str]]:
-    """(indices, status) that partition the points: a set of at most ``most`` is chosen, or unchosen below ``least``; a larger
-    one is standardised and cut, its noise set aside, and its clusters are split in turn."""
-    out, todo = [], [np.arange(len(points))]
-    while todo:
-        own = todo.pop()
-        if len(own) <= most:
-            out.append((own, "chosen" if len(own) >= least else "unchosen"))
-            continue
-        p = points[own]
-        label = best_cut(*optics_order((p - p.mean(axis=0)) / (p.std(axis=0) + 1e-15), least))
-        if (label < 0).any():
-            out.append((own[label < 0], "noise"))
-        todo += [own[label == k] for k in range(label.max() + 1)]
-    return out
-
-
-def scenes(items: DataFrame, event: str, item: str, columns: list[str], least: int = 10, most: int = 30, at_once: int = 1500) -> DataFrame:
-    """(event, scene_id, status, item) of every item with an event: recursive density splitting of each event.
-
-    An event of over ``at_once`` items is first cut into runs of that many in the order of the first column, so a task's
-    group has a bound; clusters do not span runs. scene_id is the smallest item of the scene. Items with a null
-    coordinate are noise of their own.
-    """
-    order = Window.partitionBy(event, "_slab").orderBy(columns[0], item)
-    spread = items.select(event, item, *[F.col(c).cast("double").alias(c) for c in columns]).where(F.col(event).isNotNull())
-    low, high, n = (f.over(Window.partitionBy(event)) for f in (F.min(columns[0]), F.max(columns[0]), F.count("*")))
-    slab = F.floor((F.col(columns[0]) - low) / F.greatest(high - low, F.lit(1e-12)) * F.ceil(n / at_once))
-    runs = spread.withColumn("_slab", F.coalesce(slab, F.lit(-1))).withColumn("_run", F.floor((F.row_number().over(order) - 1) / at_once))
-    kind = items.schema[item].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item, ignore_index=True)
-        whole = pdf[columns].notna().all(axis=1).to_numpy()
-        known = np.flatnonzero(whole)
-        parts = [(known[i], s) for i, s in split_recursively(pdf[columns].to_numpy()[known], least, most) if len(i)]
-        parts += [(np.array([k]), "noise") for k in np.flatnonzero(~whole)]
-        return pd.concat([pd.DataFrame({event: pdf[event].iloc[i], "scene_id": pdf[item].iloc[i].min(), "status": s, item: pdf[item].iloc[i]}) for i, s in parts])
-
-    schema = f"{event} {items.schema[event].dataType.simpleString()}, scene_id {kind}, status string, {item} {kind}"
-    return runs.groupBy(event, "_slab", "_run").applyInPandas(run, schema)
-
-
 def weighted_holiday_share(flag: Column) -> Column:
     """Three quarters of the share of weekend items plus one quarter of the share of holiday items."""
     return 0.75 * F.avg((flag == 1).cast("double")) + 0.25 * F.avg((flag == 2).cast("double"))

@@ -37,6 +37,33 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
+def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(a, b, w): a minimum spanning forest of the undirected edges (a, b, w), ties by (w, a, b); a is the smaller end.
+
+    Rounds after Borůvka: every component takes its lightest edge to another one, components that take each other's edges grow
+    together, and edges within one go; of parallel edges the lightest stays. Components at least halve in number, so
+    there are few rounds, each a handful of joins on tables that shrink. Edges with a null and self edges are ignored.
+    """
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a < b and w is not null")
+    e = e.groupBy("a", "b").agg(F.min("w").alias("w"))
+    left = materialize(e.select(F.col("a").alias("u"), F.col("b").alias("v"), F.struct("w", "a", "b").alias("e")), "forest-edges")
+    kept = []
+    for _ in range(max_rounds):
+        ways = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v"), "e"))
+        best = materialize(ways.groupBy("u").agg(F.min_by(F.struct("e", "v"), "e").alias("best")).select("u", "best.e", "best.v"), "forest-best")
+        if best.isEmpty():
+            break
+        kept.append(best.select("e.a", "e.b", "e.w").distinct())
+        grown = connected_components(best, "u", "v")
+        of = lambda c: grown.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}"))
+        moved = left.join(of("u"), "u").join(of("v"), "v").where("new_u <> new_v")
+        ends = (F.least("new_u", "new_v").alias("u"), F.greatest("new_u", "new_v").alias("v"))
+        left = materialize(moved.select(*ends, "e").groupBy("u", "v").agg(F.min("e").alias("e")), "forest-edges")
+    else:
+        raise RuntimeError(f"components still grow after {max_rounds} rounds")
+    return reduce(DataFrame.unionByName, kept) if kept else e
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int = -1, max_rounds: int = 100_000) -> DataFrame:
     """(node, depth): every node reached from ``starts`` (column node) along src -> dst, with its least number of steps, up
     to ``depth`` (-1: any). Breadth first: each round joins the frontier only, minus what is already seen."""

@@ -131,12 +131,6 @@ def best_threshold(spark, sf):
     return every.where("labels > 1 and noise < n").withColumn("place", place).where("place = 1").select("user_id", "eps", "noise")
 
 
-@query()
-def scene_split_4d(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", "vec_id", *[F.col("embedding")[k].alias(f"x{k}") for k in range(4)])
-    return K.scenes(e, "label", "vec_id", ["x0", "x1", "x2", "x3"])
-
-
 @query("""SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
     SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 4 HOUR THEN 0 ELSE 1 END AS c FROM events)) GROUP BY user_id, s""")
 def session_windows(spark, sf):

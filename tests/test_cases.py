@@ -236,17 +236,6 @@ def test_recursive_split_on_a_line(spark):
     assert K.split_1d(df.limit(0), "u", "us", "k", 128, 3, 5, 13).count() == 0
 
 
-def test_recursive_split():
-    rng = np.random.default_rng(2)
-    points = np.concatenate([rng.normal(c, 0.05, (25, 2)) for c in (0, 3, 6)])
-    parts = K.split_recursively(points, 10, 30)
-    assert sorted(np.concatenate([i for i, _ in parts]).tolist()) == list(range(75))
-    assert sum(s == "chosen" for _, s in parts) == 3
-    assert [s for _, s in K.split_recursively(points[:5], 10, 30)] == ["unchosen"]
-    same = K.split_recursively(np.zeros((40, 2)), 10, 30)
-    assert len(np.concatenate([i for i, _ in same])) == 40
-
-
 def test_band_join_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(int(u), k, int(t)) for k, (u, t) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(-10**9, 10**9, 200), strict=True))] + [(None, 900, 5), (1, 901, None)]
