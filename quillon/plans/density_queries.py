@@ -52,18 +52,14 @@ def cut_sql(given: str, x: int, columns: list[str], least: int) -> str:
     LEFT JOIN g{x} g ON g.node = i.node AND g.t = b.t AND g.item = CASE WHEN core <= b.t THEN p.item WHEN reach <= b.t THEN via END)"""
 
 
-def scenes_sql(items: str, columns: list[str], depth: int = 6) -> str:
-    """Recursive splitting of ``items`` (event, item, columns), ``depth`` times."""
+def scenes_sql(items: str, columns: list[str]) -> str:
+    """Recursive splitting of ``items`` (event, item, columns), all sets of a level at once."""
     names = ", ".join(columns)
-    out = [f"i AS ({items})", "s0 AS (SELECT event, min(item) OVER w AS node, item, count(*) OVER w AS size, " + names + " FROM i WINDOW w AS (PARTITION BY event))"]
-    done = []
-    for x in range(depth):
-        done.append(f"SELECT event, node AS scene_id, CASE WHEN size >= {LEAST} THEN 'chosen' ELSE 'unchosen' END AS status, item FROM s{x} WHERE size <= {MOST}")
-        done.append(f"SELECT event, min(item) OVER (PARTITION BY node) AS scene_id, 'noise' AS status, item FROM cut{x} WHERE cluster IS NULL")
-        out.append(f"l{x} AS MATERIALIZED (SELECT event, node, item, {names} FROM s{x} WHERE size > {MOST})")
-        out.append(cut_sql(f"l{x}", x, columns, LEAST))
-        out.append(f"s{x + 1} AS MATERIALIZED (SELECT event, min(item) OVER w AS node, item, count(*) OVER w AS size, {names} FROM cut{x} WHERE cluster IS NOT NULL WINDOW w AS (PARTITION BY node, cluster))")
-    return "WITH RECURSIVE " + ", ".join(out) + " " + " UNION ALL ".join(done)
+    whole = f"SELECT event, min(item) OVER w AS node, item, count(*) OVER w AS size, FALSE AS noise, {names} FROM ({items}) WINDOW w AS (PARTITION BY event)"
+    again = f"""WITH RECURSIVE l AS MATERIALIZED (SELECT event, node, item, {names} FROM s WHERE size > {MOST} AND NOT noise), {cut_sql("l", 0, columns, LEAST)}
+      SELECT event, min(item) OVER w AS node, item, count(*) OVER w AS size, cluster IS NULL AS noise, {names} FROM cut0 WINDOW w AS (PARTITION BY node, cluster)"""
+    status = f"CASE WHEN noise THEN 'noise' WHEN size >= {LEAST} THEN 'chosen' ELSE 'unchosen' END AS status"
+    return f"WITH RECURSIVE s AS ({whole} UNION ALL SELECT * FROM ({again})) SELECT event, node AS scene_id, {status}, item FROM s WHERE noise OR size <= {MOST}"
 
 
 VECTORS = "SELECT label AS event, vec_id AS item, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(4)) + " FROM embeddings"
@@ -75,12 +71,12 @@ def vectors(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select("label", "vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(SPACE)])
 
 
-@query(f"SELECT event AS label, scene_id, status, item AS vec_id FROM ({scenes_sql(VECTORS, SPACE, 3)})")
+@query(f"SELECT event AS label, scene_id, status, item AS vec_id FROM ({scenes_sql(VECTORS, SPACE)})")
 def scene_split_4d(spark, sf):
     return D.scenes(vectors(spark, sf), "label", "vec_id", SPACE, LEAST, MOST)
 
 
-@query(f"SELECT event AS user_id, scene_id, status, item AS event_id FROM ({scenes_sql(TIMES, ['x0'], 14)})")
+@query(f"SELECT event AS user_id, scene_id, status, item AS event_id FROM ({scenes_sql(TIMES, ['x0'])})")
 def scene_split_time(spark, sf):
     return D.scenes(events(spark, sf).select("user_id", "event_id", "us"), "user_id", "event_id", ["us"], LEAST, MOST)
 
