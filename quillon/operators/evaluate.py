@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.items import ordinal
+from quillon.session import materialize
 
 TINY = 1e-6
 
@@ -65,6 +68,28 @@ def greedy_match(cells: DataFrame, a: str, b: str) -> DataFrame:
     return ids.join(kept, a, "left")
 
 
+def one_to_one_match(cells: DataFrame, a: str, b: str, max_rounds: int = 1000) -> DataFrame:
+    """(a, b) for each cluster a: its partner when cells are taken by (sim descending, a, b), each taking its row and its column
+    away; null for an a that is left over. Cells of 0 are none.
+
+    A cell that comes first both in its row and in its column is taken by the walk through all cells, whatever lies before it;
+    so each round takes all such cells at once and drops their rows and columns.
+    """
+    left = materialize(cells.where("sim > 0").select(F.col(a).alias("a"), F.col(b).alias("b"), F.struct((-F.col("sim")).alias("s"), F.col(a).alias("a"), F.col(b).alias("b")).alias("o")), "match")
+    taken = []
+    for _ in range(max_rounds):
+        of = lambda c: left.groupBy(c).agg(F.min("o").alias("o")).select("o.a", "o.b")
+        both = materialize(of("a").join(of("b"), ["a", "b"]), "matched")
+        if both.isEmpty():
+            break
+        taken.append(both)
+        left = materialize(left.join(both.select("a"), "a", "left_anti").join(both.select("b"), "b", "left_anti"), "match")
+    else:
+        raise RuntimeError(f"cells are left after {max_rounds} rounds")
+    found = reduce(DataFrame.unionByName, taken) if taken else left.select("a", "b")
+    return cells.select(a).distinct().join(found.select(F.col("a").alias(a), F.col("b").alias(b)), a, "left")
+
+
 def match_metrics(cells: DataFrame, matched: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, precision, recall, f1) of each matched pair, denominators plus 1e-6; 0 without a match."""
     m = matched.join(cells, [a, b], "left")

@@ -33,6 +33,20 @@ def greedy_match(spark, sf):
     return V.greedy_match(V.containment(assigned(spark, sf), "alg", "gt"), "alg", "gt")
 
 
+#: A walk through the cells in their order: a cell is taken if neither its row nor its column is.
+ONE_SQL = f"""{C_SQL}, walk AS (
+    SELECT 0::BIGINT AS at, []::BIGINT[] AS rows_gone, []::BIGINT[] AS columns_gone, NULL::BIGINT AS alg, NULL::BIGINT AS gt
+    UNION ALL SELECT rn, CASE WHEN free THEN list_append(rows_gone, a) ELSE rows_gone END, CASE WHEN free THEN list_append(columns_gone, g) ELSE columns_gone END,
+      CASE WHEN free THEN a END, CASE WHEN free THEN g END
+    FROM (SELECT best.rn, best.alg AS a, best.gt::BIGINT AS g, rows_gone, columns_gone, NOT list_contains(rows_gone, best.alg) AND NOT list_contains(columns_gone, best.gt::BIGINT) AS free
+      FROM walk JOIN best ON best.rn = walk.at + 1))"""
+
+
+@query(f"WITH RECURSIVE {ONE_SQL} SELECT a.alg, walk.gt::INT AS gt FROM (SELECT DISTINCT alg FROM cells) a LEFT JOIN walk ON walk.alg = a.alg")
+def one_to_one_match(spark, sf):
+    return V.one_to_one_match(V.containment(assigned(spark, sf), "alg", "gt"), "alg", "gt")
+
+
 @query(f"WITH {C_SQL} SELECT alg, gt, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r + 1e-6), 9) AS f1 FROM prf")
 def match_prf(spark, sf):
     cells = V.containment(assigned(spark, sf), "alg", "gt")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
 from quillon.operators import model as M
+from quillon.operators import wide_deep as W
 from quillon.plans.item_queries import pair_band_join
 from quillon.plans.registered import query
 
@@ -36,3 +37,17 @@ def train_predict_mlp(spark, sf):
 @query()
 def train_predict_blend(spark, sf):
     return _scored(spark, sf, "wide_deep")
+
+
+#: A joint run of few epochs with rates that move the weights in them.
+JOINT = W.Settings(hidden=(32, 16), wide_rate=20.0, deep_rate=20.0, dropout=0.1, epochs=4, steps=3, crosses=(("delta_day", "same_day"),))
+
+
+@query()
+def train_predict_joint(spark, sf):
+    """The wide and the deep part trained together on a bounded sample of labelled pairs; every pair is scored."""
+    pairs = pair_band_join(spark, sf).where("first_id < second_id").withColumn("label", F.col("same_type").cast("double"))
+    pairs = pairs.withColumns({"pair": F.concat_ws(":", F.col("first_id").cast("string"), F.col("second_id").cast("string")), "same_day": (F.col("delta_day") == 0).cast("int")})
+    fit_on = pairs.where(S.hash_split(F.col("pair"), min(1.0, FIT_PAIRS / max(1, pairs.count()))))
+    model = W.fit(fit_on, "pair", NUMERIC, ["delta_day"], "label", JOINT)
+    return W.predict(model, pairs).select("first_id", "second_id", "predicted_label", F.round("probability", 6).alias("probability"))

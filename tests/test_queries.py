@@ -52,7 +52,7 @@ def test_cycles_deal_out_their_total(spark, sf):
 
 
 def test_classifier_scores_every_pair(spark, sf):
-    for name in ("train_predict_linear", "train_predict_mlp", "train_predict_blend"):
+    for name in ("train_predict_linear", "train_predict_mlp", "train_predict_blend", "train_predict_joint"):
         rows = registry.QUERIES[name](spark, sf)
         assert rows.count() == 8_291 and rows.where("probability < 0.5 or predicted_label not in (0, 1)").count() == 0
 
