@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Rows an Arrow batch holds at most, so that a batch of long texts stays in the tens of MB.
 BATCH_ROWS = 500
@@ -22,6 +22,11 @@ def columns(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[df[c].alias(k) for k, c in names.items()])
 
 
+def named(df: DataFrame, c: str) -> Column:
+    """The column of ``df`` called ``c``, whatever stands in its name."""
+    return df["`" + c.replace("`", "``") + "`"]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` with underscores ahead until no column of ``df`` has it, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillon.llm._batches import batch, columns, rows, small_batches
+from quillon.llm._batches import batch, columns, named, rows, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -273,6 +273,6 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is found with at least ``least_score``, all columns kept, ``lang`` set to it."""
     d = columns(docs, doc_id="doc_id", text="text", lang="lang").withColumn("held_out", held_out())
     inner = [f"c{k}" for k in range(len(docs.columns))]  # so that no column of the table clashes
-    found = identified(docs.select(*[docs[c].alias(i) for c, i in zip(docs.columns, inner, strict=True)], docs["text"]), d.where("not held_out"), "found", inner)
+    found = identified(docs.select(*[named(docs, c).alias(i) for c, i in zip(docs.columns, inner, strict=True)], docs["text"]), d.where("not held_out"), "found", inner)
     found = found.where(F.col("found.lang") != UNDETERMINED).where(F.col("found.score") >= least_score)
     return found.select(*[(F.col("found.lang") if c == "lang" else F.col(i)).alias(c) for c, i in zip(docs.columns, inner, strict=True)])

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._batches import fresh
+from quillon.llm._batches import fresh, named
 from quillon.session import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -139,14 +139,14 @@ def mix(
     """Per row: doc_id, source, lang, topic, n_tokens, rate and sampled, whether the document is in the mix.
 
     The topic is that of ``topic_col`` where one is named, else it is told by marks in the text. Documents without words have
-    rate 0 and are not sampled. Rows repeated under one doc_id fall alike. An empty table gives no rows.
+    rate 0 and are not sampled; the rate is shown to six digits, the draw takes it whole. Rows repeated under one doc_id fall alike. An empty table gives no rows.
     """
     d = materialize(described(docs, topics, topic_col), "mix-docs")
     cells = materialize(d.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     rated = materialize(rates(rake(cells, targets, max_rounds), part).select(*DIMENSIONS, F.col("rate").alias("cell_rate")), "mix-rates")
     rate = F.when(F.col("n_tokens") > 0, F.coalesce("cell_rate", F.lit(0.0))).otherwise(0.0)
     return d.join(rated, list(DIMENSIONS), "left").select(
-        "doc_id", *DIMENSIONS, "n_tokens", F.round(rate, 6).alias("rate"), (draw(F.col("doc_id"), seed) < F.round(rate, 6)).alias("sampled")
+        "doc_id", *DIMENSIONS, "n_tokens", F.round(rate, 6).alias("rate"), (draw(F.col("doc_id"), seed) < rate).alias("sampled")
     )
 
 
@@ -159,7 +159,7 @@ def sampled(
     inner = {c: fresh(docs, f"mix_{c}") for c in (*DIMENSIONS, "rate")}
     own, cell = described(docs, topics, topic_col), _cell(docs, topics, topic_col)
     cells = materialize(own.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    rated = rates(rake(cells, targets, max_rounds), part).select(*[F.col(c).alias(inner[c]) for c in DIMENSIONS], F.round("rate", 6).alias(inner["rate"]))
+    rated = rates(rake(cells, targets, max_rounds), part).select(*[F.col(c).alias(inner[c]) for c in DIMENSIONS], F.col("rate").alias(inner["rate"]))
     on = reduce(lambda a, b: a & b, [cell[c] == F.col(inner[c]) for c in DIMENSIONS])
     kept = docs.join(materialize(rated, "mix-rates"), on).where(draw(docs["doc_id"], seed) < F.col(inner["rate"]))
-    return kept.where(F.coalesce(docs["text"].rlike(r"\S"), F.lit(False))).select(*[docs[c] for c in docs.columns])
+    return kept.where(F.coalesce(docs["text"].rlike(r"\S"), F.lit(False))).select(*[named(docs, c) for c in docs.columns])

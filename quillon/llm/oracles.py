@@ -40,9 +40,9 @@ scale AS (
   SELECT arg_min((budget - capped) / (shares - closed), k) AS scale FROM sums WHERE per * (budget - capped) / (shares - closed) < 1),
 rates AS (SELECT source, lang, topic, least(1, per * (SELECT scale FROM scale)) AS rate FROM raked),
 out AS (
-  SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(CASE WHEN d.n_tokens > 0 THEN coalesce(r.rate, 0) ELSE 0 END, 6) AS rate
+  SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, CASE WHEN d.n_tokens > 0 THEN coalesce(r.rate, 0) ELSE 0 END AS rate
   FROM d LEFT JOIN rates r ON d.source = r.source AND d.lang = r.lang AND d.topic = r.topic)
-SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':7'), 1, 8))::BIGINT / 4294967296.0 < rate AS sampled FROM out
+SELECT * REPLACE (round(rate, 6) AS rate), ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':7'), 1, 8))::BIGINT / 4294967296.0 < out.rate AS sampled FROM out
 """
 
 #: All 120 orders as paths that add an unused letter; each filter is one bit of a document.

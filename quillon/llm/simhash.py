@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._batches import batch, columns, fresh, rows, small_batches
+from quillon.llm._batches import batch, columns, fresh, named, rows, small_batches
 from quillon.operators.graph import connected_components
 from quillon.session import materialize
 
@@ -404,6 +404,6 @@ def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8, most: int =
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
     both = keyed.join(kept, (keyed["doc_id"] == kept[kept_id]) & (keyed[key] == kept[kept_key]))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = Window.partitionBy(kept_id, kept_key).orderBy(F.to_json(F.struct(*[docs[c] for c in others])) if others else F.lit(0))
+    order = Window.partitionBy(kept_id, kept_key).orderBy(F.to_json(F.struct(*[named(docs, c) for c in others])) if others else F.lit(0))
     first = both.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return first.select(*[named(first, c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

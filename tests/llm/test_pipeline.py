@@ -33,3 +33,15 @@ def test_empty_and_odd_documents(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             table = spark.createDataFrame((df := stage(spark, table, sf)).collect(), df.schema)
         assert table.count() >= least
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    from pyspark.sql import functions as F
+
+    from quillon.llm import langid, mixing, simhash
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("a.b", F.lit(1)).withColumn("x`y", F.col("doc_id"))
+    for stage in (langid.keep_identified, simhash.keep_first, mixing.sampled):
+        kept = stage(docs)
+        assert kept.columns == docs.columns
+        assert kept.where("`a.b` = 1 and `x``y` = doc_id").count() == kept.count() > 0
