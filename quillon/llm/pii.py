@@ -154,11 +154,17 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, least: float = 0.9, leas
 
 
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, terms): by text, all places (start, end, disclosure) of terms that disclose an entity the text holds."""
+    """(key, terms): by text, all places (start, end, disclosure) of terms that disclose an entity the text holds.
+
+    A text's words meet the terms by the term, never by the entity alone: with disclosure of at least ``least``, a share of
+    at least (n(e) / N) ** (1 - least) of the texts that hold a term holds its entity, so what meets is in proportion to
+    what is found, also where one entity stands in very many texts.
+    """
     texts = found.where("size(entities) > 0").groupBy("key").agg(F.first("entities").alias("entities"), F.first("terms").alias("words"))
-    wanted = texts.select("key", F.explode("entities").alias("entity")).join(terms, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    held = texts.select("key", F.explode("entities").alias("entity"))
     places = texts.select("key", F.explode("words").alias("w")).select("key", "w.term", "w.places")
-    hits = places.join(wanted, ["key", "term"]).select("key", "disclosure", F.explode("places").alias("p"))
+    wanted = places.join(terms, "term").join(held, ["key", "entity"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"), F.first("places").alias("places"))
+    hits = wanted.select("key", "disclosure", F.explode("places").alias("p"))
     return hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("p.start", "p.end", "disclosure"))).alias("terms"))
 
 

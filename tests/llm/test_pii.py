@@ -93,3 +93,14 @@ def test_edges(spark):
     assert out.columns == docs.columns and sorted((r.text or "")[:9] for r in out.where("doc_id in (1, 6)").collect()) == ["", "[email]", "é [email]"]
     assert out.where("text = 'é [email]'").first().n_chars == 9
     assert pii.find(docs.limit(0)).count() == 0 and pii.sanitize(docs.limit(0)).count() == 0
+
+
+def test_an_entity_in_many_texts_meets_only_terms_of_the_text(spark):
+    """One address in every other text, a term of its own in each three: as many spans as hold a term, and rows of the join in proportion."""
+    rows = [f"write to all@one.org about name{chr(97 + k // 78)}{chr(97 + k // 3 % 26)}" if k < 300 else "nothing to say here" for k in range(900)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = docs.select(pii.find_base(docs).alias("f")).select("f.*").cache()
+    terms = pii.disclosing_terms(found, docs)
+    assert terms.count() == len({w for t in rows for w in t.split() if "name" in w}) + 2  # write, about
+    spans = pii.find(docs).collect()
+    assert sum(r.spans.count("term:") for r in spans) == 300 * 3
