@@ -199,13 +199,25 @@ def joined(labelled: list[np.ndarray], pseudo: list[np.ndarray]) -> list[np.ndar
     return [x + y * (x[-1, -1] / y[-1, -1]) if y[-1, -1] else x for x, y in zip(labelled, pseudo, strict=True)]
 
 
+def dealt(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows teach and which calibrate: of each label every fifth row (of fewer than five the last) calibrates, the others
+    teach; the only row of a label does both."""
+    held = np.zeros(len(y), bool)
+    lone = np.zeros(len(y), bool)
+    for c in (0, 1):
+        at = np.flatnonzero(y == c)
+        held[at[min(4, len(at) - 1) :: 5]] = True
+        lone[at] = len(at) == 1
+    return ~held | lone, held
+
+
 def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: DataFrame, rounds: int = 3, confident: float = 0.9) -> Model:
-    """Every fifth labelled row calibrates, the others teach. In each round each view labels all rows of ``pool`` of which it
+    """Every fifth row of a label calibrates, the others teach (see ``dealt``). In each round each view labels all rows of ``pool`` of which it
     is sure (a calibrated probability of at least ``confident`` either way) for the other view, which is fitted to these
     and the labelled rows; labels are given anew each round. A regression on both calibrated logits combines the views.
     """
-    hold = np.arange(len(y)) % 5 == 4
-    taught = [[moments(x[~hold & (y == c)]) for c in (1, 0)] for x in (text, meta)]
+    teach, hold = dealt(y)
+    taught = [[moments(x[teach & (y == c)]) for c in (1, 0)] for x in (text, meta)]
     held = text[hold], meta[hold], y[hold]
     model = fitted(*taught, held)
     for _ in range(rounds):
@@ -226,7 +238,7 @@ def train(made: DataFrame, labels: DataFrame, max_labelled: int = 12_000, label_
     got = one.toArrow().sort_by("doc_id")
     x = got.column("x").to_pylist()
     y = np.array([r["label"] for r in x], float)
-    if any(len(np.unique(some)) < 2 for some in (y[4::5], y[np.arange(len(y)) % 5 != 4])):
+    if len(np.unique(y)) < 2:
         return None
     text, meta = unpacked([r["t"] for r in x], [r["m"] for r in x])
     return cotrain(text, meta, y, made.join(F.broadcast(part.select("doc_id")), "doc_id", "left_anti"), rounds, confident)

@@ -42,8 +42,9 @@ def test_equals_brute_force(spark):
         meta[k, cotrain.metadata(r.source, r.lang, r.n_chars)] = 1
     known = np.array([k for k, r in enumerate(rows) if r.doc_id in label])
     y = np.array([label[rows[k].doc_id] for k in known], float)
-    hold, pool = known[4::5], np.array([k for k, r in enumerate(rows) if r.doc_id not in label])
-    taught, taught_y = np.delete(known, np.s_[4::5]), np.delete(y, np.s_[4::5])
+    last = np.sort(np.concatenate([np.flatnonzero(y == c)[4::5] for c in (0, 1)]))
+    hold, hold_y, pool = known[last], y[last], np.array([k for k, r in enumerate(rows) if r.doc_id not in label])
+    taught, taught_y = np.delete(known, last), np.delete(y, last)
     pseudo = {"text": (pool[:0], np.zeros(0)), "meta": (pool[:0], np.zeros(0))}
     for _ in range(4):
         logit = {}
@@ -55,14 +56,14 @@ def test_equals_brute_force(spark):
                 if (ys == c).any():
                     extra[ys == c] = (taught_y == c).sum() / (ys == c).sum()
             f = least_squares(x[np.r_[taught, at]], np.r_[taught_y, ys], np.r_[weight, extra])
-            scale = cotrain.calibrated(f(x[hold])[:, None], y[4::5])
+            scale = cotrain.calibrated(f(x[hold])[:, None], hold_y)
             logit[name] = scale(f(x)[:, None])
         p = {k: 1 / (1 + np.exp(-v)) for k, v in logit.items()}
         for name, other in (("text", "meta"), ("meta", "text")):
             up, down = pool[p[other][pool] >= 0.9], pool[1 - p[other][pool] >= 0.9]
             pseudo[name] = np.r_[up, down], np.r_[np.ones(len(up)), np.zeros(len(down))]
     two = np.stack([logit["text"], logit["meta"]], axis=1)
-    want = 1 / (1 + np.exp(-cotrain.calibrated(two[hold], y[4::5])(two)))
+    want = 1 / (1 + np.exp(-cotrain.calibrated(two[hold], hold_y)(two)))
     got = {r.doc_id: r.quality_score for r in cotrain.score(docs, labels).collect()}
     assert np.abs(np.array([got[r.doc_id] for r in rows]) - want).max() < 1e-3
     assert len(pseudo["text"][0]) + len(pseudo["meta"][0]) > 50
@@ -104,3 +105,14 @@ def test_edges(spark):
     assert all(r.keep and r.quality_score is None for r in cotrain.score(docs, labels.limit(0)).collect())
     assert cotrain.score(docs.limit(0), labels).count() == 0
     assert "op3_quality" in queries.queries()
+
+
+def test_few_labels_of_both_kinds_give_scores(spark):
+    assert [x.tolist() for x in cotrain.dealt(np.array([1.0] * 7 + [0.0]))] == [[True] * 4 + [False] + [True] * 3, [False] * 4 + [True] + [False] * 2 + [True]]
+    docs = spark.createDataFrame([(k, ("fine calm prose " if k % 2 else "win cash now ") * 9, "s", "en", 99) for k in range(40)], "doc_id long, text string, source string, lang string, n_chars long")
+    for good, bad in ((4, 4), (1, 7), (7, 1), (1, 1), (2, 1)):
+        marked = [(2 * k + 1, 1, 0) for k in range(good)] + [(2 * k, 0, 0) for k in range(bad)]
+        got = cotrain.score(docs, spark.createDataFrame(marked, "doc_id long, quality int, toxic int")).collect()
+        assert len(got) == 40 and all(0 <= r.quality_score <= 1 for r in got), (good, bad)
+    one = spark.createDataFrame([(k, 1, 0) for k in range(9)], "doc_id long, quality int, toxic int")
+    assert all(r.quality_score is None and r.keep for r in cotrain.score(docs, one).collect())
