@@ -284,7 +284,8 @@ def _spread(item: object, value: object, count: int, unknown: object) -> list:
 def _labels(wrapper_json: str | None, labels: tuple[str, ...]) -> tuple[bool, tuple[str, ...], tuple]:
     """(is there an article, region of each token of the stream, template text in its place) by aligning the stream with the
     wrapper. Template text is known where enough distinct pages have the same, and only if the wrapper's article has a slot:
-    else all its pages say the same, and nothing tells what is theirs."""
+    else all its pages say the same, and nothing tells what is theirs. What the page's own tags place in the article is
+    the article's, whatever other pages say."""
     own = regions(list(labels))
     wrapper = json.loads(wrapper_json) if wrapper_json else []
     if not wrapper:
@@ -311,15 +312,16 @@ def _labels(wrapper_json: str | None, labels: tuple[str, ...]) -> tuple[bool, tu
         count = sum(n for _, n, _ in cover[a:b])
         flat += _spread(whole[j], known[at[j]], count, "") if j in at else [""] * count
         texts += _spread(whole[j], template[at[j]], count, None) if j in at else [None] * count
-    return has, tuple(map(_settled, own, flat)), tuple(texts)
+    return has, tuple(map(_settled, own, flat)), tuple(None if r == "article" else t for r, t in zip(own, texts, strict=True))
 
 
 def main_text(page: str | None, wrapper_json: str | None) -> str:
     """The article's blocks, joined by a newline, as the host's wrapper places them on this page.
 
-    Slots in the wrapper's article region count, text of the template does not, wherever it stands. Where the host has no
-    article element, all outside of chrome is the region, less the blocks that are mostly links. Block tags and line breaks end a block; inline tags, scripts and the like do not. A block of
-    nothing but an inline advert or the like is left out. References are decoded, white space becomes one space.
+    All text in an element that the page itself marks as the article counts, also what other pages have alike. Where a page
+    lacks such tags, slots in the wrapper's article region count, text of the template does not. Where the host has no
+    article element, all outside of chrome is the region, less the blocks that are mostly links. Block tags and line breaks
+    end a block; inline tags, scripts and the like do not. A block of nothing but an inline advert or the like is left out. References are decoded, white space becomes one space.
     """
     if not page:
         return ""

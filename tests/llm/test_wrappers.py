@@ -59,8 +59,23 @@ def test_template_text_is_told_from_slots():
         assert wrappers.main_text(page, None) == f"Menu: start, search\n{want}\nFollow us!"
     inside = [f"<article><h1>{w}</h1><p>Read by thousands every day.</p><div>{w} live.</div></article>" for w in ("Ants", "Bees", "Cows")]
     w = json.dumps(wrapper_of(inside))
-    assert [wrappers.main_text(p, w) for p in inside] == ["Ants\nAnts live.", "Bees\nBees live.", "Cows\nCows live."]
-    assert wrappers.main_text(inside[0].replace("thousands", "two"), w) == "Ants\nRead by two every day.\nAnts live."
+    assert [wrappers.main_text(p, w) for p in inside] == [f"{x}\nRead by thousands every day.\n{x} live." for x in ("Ants", "Bees", "Cows")]
+    untagged = [p.replace("article>", "div>") for p in inside]
+    w = json.dumps(wrapper_of(untagged))
+    assert [wrappers.main_text(p, w) for p in untagged] == [f"{x}\n{x} live." for x in ("Ants", "Bees", "Cows")]
+
+
+def test_article_text_stays_however_many_pages_share_it(spark):
+    def page(k):
+        return f"<nav>menu</nav><article><h1>Title {k}</h1><h2>Ingredients</h2><p>Take {k} eggs.</p><blockquote>Eat well</blockquote></article><footer>end</footer>"
+
+    for n in (1, 2, 3, 7):
+        rows = [(k, f"http://h{n}.org/{k}", page(k)) for k in range(n)]
+        got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r.page_id: r.text for r in got} == {k: f"Title {k}\nIngredients\nTake {k} eggs.\nEat well" for k in range(n)}
+    weather = [f"<article><h1>Weather</h1><p>{x} today</p><blockquote>As ever</blockquote></article>" for x in ("Rain", "Sun", "Snow")]
+    w = json.dumps(wrapper_of(weather))
+    assert [wrappers.main_text(p, w) for p in weather] == [f"Weather\n{x} today\nAs ever" for x in ("Rain", "Sun", "Snow")]
 
 
 def test_copies_of_one_page_are_no_template():
