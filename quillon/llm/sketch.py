@@ -53,9 +53,13 @@ class Sketcher:
         self.seen: dict[str, int] = {}
 
     def __call__(self, text: str) -> Sketch:
+        return self.sketch(self.shingles(text))
+
+    def shingles(self, text: str) -> np.ndarray:
+        """The hash, cut to its high bits, of every shingle in turn."""
         found = text.lower().split()
         if not found:
-            return Sketch(0, np.zeros(0, np.uint64))
+            return np.zeros(0, np.uint64)
         seen = self.seen
         if len(seen) > 500_000:
             seen.clear()
@@ -72,9 +76,12 @@ class Sketcher:
             mixed ^= mixed >> np.uint64(29)
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-        mixed >>= np.uint64(64 - 4 * DIGITS)
-        level = int(n > WHOLE)
-        return Sketch(level, np.unique(mixed[mixed < np.uint64(threshold(level, self.fraction))] if level else mixed))
+        return mixed >> np.uint64(64 - 4 * DIGITS)
+
+    def sketch(self, every: np.ndarray) -> Sketch:
+        """The sketch of a text's shingles."""
+        level = int(len(every) > WHOLE)
+        return Sketch(level, np.unique(every[every < np.uint64(threshold(level, self.fraction))] if level else every))
 
     def at(self, sketch: Sketch, level: int) -> np.ndarray:
         """The hashes of a sketch below the threshold of ``level``, at least its own."""
@@ -93,6 +100,13 @@ class Sketcher:
         least = min(len(x), len(y))
         return len(np.intersect1d(x, y, assume_unique=True)) / least if least else float(len(x) == len(y))
 
+    def likeness(self, a: Sketch, b: Sketch, every_a: np.ndarray, every_b: np.ndarray) -> float:
+        """Containment where all shingles of both texts are at hand: a short text's hashes, all retained, are looked for among
+        all of a longer one, of which a sketch holds too few of them to tell; other pairs are compared by their sketches."""
+        if a.level == b.level:
+            return self.containment(a, b)
+        return self.containment(*(s if s.level == 0 else Sketch(0, np.unique(every)) for s, every in ((a, every_a), (b, every_b))))
+
 
 def written(sketch: Sketch) -> str:
     """A sketch as text: its level, then its hashes ascending, ``DIGITS`` hex digits each."""
@@ -115,7 +129,8 @@ def fingerprint_edits(
     most ``MOST_RANGES``, whose bounds the driver holds), sorted there and read in order; each range
     also gets the first row of the next one (found by a broadcast of one id a range), so texts are shuffled once and no task
     holds more than a row at a time.
-    A fingerprint is the level of the sketch and its hashes (see ``Sketcher``); likeness is the estimated containment.
+    A fingerprint is the level of the sketch and its hashes (see ``Sketcher``); likeness is the estimated containment (see
+    ``Sketcher.likeness``; it is exact where one text is short).
     A null text is empty; a table of one row follows itself; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -145,15 +160,17 @@ def fingerprint_edits(
         for b in batches:
             out = []
             for doc_id, text, _, place, is_after in rows([b]):
-                own = sketch(text)
+                every = sketch.shingles(text)
+                own = sketch.sketch(every)
                 if last and last[2] == place and not last[4]:
                     changed = edited(last[1], text)
-                    s = sketch(changed)
+                    every_changed = sketch.shingles(changed)
+                    s = sketch.sketch(every_changed)
                     out.append((
                         last[0], len(last[1]), hashlib.sha256(changed.encode()).hexdigest(), written(last[3]), written(s),
-                        sketch.containment(last[3], s), sketch.containment(last[3], own),
+                        sketch.likeness(last[3], s, last[5], every_changed), sketch.likeness(last[3], own, last[5], every),
                     ))
-                last = (doc_id, text, place, own, is_after)
+                last = (doc_id, text, place, own, is_after, every)
             yield batch(SCHEMA, out)
 
     return dealt.mapInArrow(run, DDL)

@@ -29,7 +29,7 @@ def print_of(text, fraction=1 / 4):
 
 def likeness(a, b):
     x, y = [print_of(t) for t in (a, b)]
-    p, q = (x[2], y[2]) if max(x[3], y[3]) <= 64 else (x[1], y[1])
+    p, q = (x[2], y[2]) if min(x[3], y[3]) <= 64 else (x[1], y[1])
     least = min(len(p), len(q))
     return len(p & q) / least if least else float(len(p) == len(q))
 
@@ -81,6 +81,18 @@ def test_short_texts_against_long_ones():
     assert all(int(h) < sketch.threshold(1, 1 / 4) for h in long.hashes)
 
 
+def test_contained_texts_are_found_from_five_words_on(spark):
+    text = " ".join(f"w{k}" for k in range(400))
+    rows, want = [], {}
+    for n in (5, 8, 12, 20, 64, 68):
+        for k in range(0, 320, 40):
+            part = " ".join(text.split()[k : k + n - 1] + (["other"] if k % 80 else [text.split()[k + n - 1]]))
+            want[len(rows)] = 1.0 if k % 80 == 0 else (n - 5) / (n - 4)
+            rows += [(len(rows), part), (len(rows) + 1, text)]
+    got = {r.doc_id: r for r in sketch.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(abs(got[i].near_next - w) < 1e-9 for i, w in want.items())
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "x y", 1, 2), (5, None, 1, 2), (5, "", 1, 2), (7, "é" * 9, 1, 2), (9, "a b c " * 30000, 1, 2)], "doc_id long, text string, range int, at int")
     got = sketch.fingerprint_edits(docs).orderBy("doc_id", "n_chars").collect()
