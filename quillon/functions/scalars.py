@@ -157,6 +157,11 @@ def glob(name: Column, pattern: str) -> Column:
     return name.rlike(f"\\A{fnmatch.translate(pattern)[:-2]}\\z")
 
 
+def named(name: Column, names: list[str]) -> Column:
+    """Is the whole name one of ``names``, letter by letter? False for none and for a null name."""
+    return F.coalesce(name.isin(*names), F.lit(False)) if names else F.lit(False)
+
+
 def under_any(path: Column, prefixes: list[str]) -> Column:
     """Does the path start with one of the prefixes? False for none and for a null path."""
     return reduce(lambda a, b: a | b, [F.coalesce(path.startswith(p), F.lit(False)) for p in prefixes], F.lit(False))

@@ -151,3 +151,24 @@ def nearest_ancestor(tree: DataFrame, max_rounds: int = 200) -> DataFrame:
             return now.select("node", F.col("at").alias("ancestor"))
         now = now.select("node", "at")
     raise RuntimeError(f"ancestors still change after {max_rounds} rounds")
+
+
+def connected(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``connected``: are both ends in one component of ``components`` (node, component)? False where an
+    end is in none."""
+    out = pairs
+    for c in ("a", "b"):
+        out = out.join(components.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    return out.select(*pairs.columns, F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)).alias("connected"))
+
+
+def component_of(asked: DataFrame, components: DataFrame) -> DataFrame:
+    """(node, member): all members of the component of each node of ``asked``, itself included; none for an unknown node."""
+    own = asked.select("node").distinct().join(components, "node")
+    return own.join(components.withColumnRenamed("node", "member"), "component").select("node", "member")
+
+
+def counters(components: DataFrame) -> DataFrame:
+    """(n_elts, n_comps): how many elements and how many components there are."""
+    sizes = components.groupBy("component").agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_elts"), F.count("*").alias("n_comps"))

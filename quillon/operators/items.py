@@ -118,6 +118,13 @@ def parent_rank(scenes: DataFrame, parent: str, rank: str = "total_rank") -> Dat
     return scenes.groupBy(parent).agg(F.avg(rank).alias(rank))
 
 
+def ranked_by_parent(scenes: DataFrame, parent: str, rank: str = "total_rank", digits: int = 6) -> DataFrame:
+    """Each scene with the mean rank of its parent's scenes (``parent_mean``, rounded) and its parent's place among all parents
+    by that mean, then by key (``parent_rank``); written back to every scene of the parent."""
+    means = scenes.groupBy(parent).agg(F.round(F.avg(rank), digits).alias("parent_mean"))
+    return scenes.join(ordinal(means, [F.asc("parent_mean"), F.asc(parent)], "parent_rank"), parent)
+
+
 def lookup(items: DataFrame, known: DataFrame, on: list[str], value: str, missing: Column) -> DataFrame:
     """A left lookup: ``value`` of the row of ``known`` with equal keys, else ``missing``."""
     return items.join(known.dropDuplicates(on), on, "left").withColumn(value, F.coalesce(value, missing))
