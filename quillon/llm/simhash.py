@@ -17,6 +17,8 @@ from quillon.session import materialize
 
 #: Blocks of 9 bits in each word of a wide fingerprint, and the steps around the circle of all blocks that pair them up.
 WIDE_WORDS, WIDE_BITS, WIDE_STEPS = 4, 9, (1, 3, 9)
+WIDE_BLOCKS = WIDE_WORDS * (64 // WIDE_BITS)
+WIDE_PAIRS = [(a, (a + s) % WIDE_BLOCKS) for s in WIDE_STEPS for a in range(WIDE_BLOCKS)]
 PIVOTS = 24
 #: Members of a group that one task compares at once.
 CELL = 8192
@@ -134,9 +136,8 @@ def _wide_keys(words: list[str]) -> Column:
     """Keys of two 9-bit blocks each, for blocks some steps apart on the circle of all blocks."""
     mask = F.lit((1 << WIDE_BITS) - 1).cast("long")
     blocks = [F.shiftrightunsigned(F.col(w), WIDE_BITS * k).bitwiseAND(mask) for w in words for k in range(64 // WIDE_BITS)]
-    pairs = [(a, (a + s) % len(blocks)) for s in WIDE_STEPS for a in range(len(blocks))]
     return F.array(*[
-        F.shiftleft(F.lit(n).cast("long"), 48).bitwiseOR(F.shiftleft(blocks[a], WIDE_BITS)).bitwiseOR(blocks[b]) for n, (a, b) in enumerate(pairs)
+        F.shiftleft(F.lit(n).cast("long"), 48).bitwiseOR(F.shiftleft(blocks[a], WIDE_BITS)).bitwiseOR(blocks[b]) for n, (a, b) in enumerate(WIDE_PAIRS)
     ])
 
 
@@ -150,6 +151,15 @@ class Table:
         """In how many bits the pairs differ."""
         return sum(np.bitwise_count(f[i] ^ f[j]).astype(np.int16) for f in self.fps)
 
+    def met_before(self, i: np.ndarray, j: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether the pairs (of wide fingerprints) share a key of a smaller number than ``number``, too."""
+        apart = [f[i] ^ f[j] for f in self.fps]
+        same = [(x >> np.uint64(WIDE_BITS * k)) & np.uint64((1 << WIDE_BITS) - 1) == 0 for x in apart for k in range(64 // WIDE_BITS)]
+        out = np.zeros(len(i), bool)
+        for n, (a, b) in enumerate(WIDE_PAIRS[: int(number.max(initial=0))]):
+            out |= same[a] & same[b] & (n < number)
+        return out
+
     def linked(self, i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the index pairs, those at most ``most`` bits apart, with that number. A pair whose distances to any pivot differ
         by more is discarded on the table alone; only survivors are verified."""
@@ -199,30 +209,50 @@ def _pairs(group: np.ndarray, side: np.ndarray, table: Table, most: int) -> Iter
             yield table.linked(i[other], j[other], most)
 
 
-def _forest(nodes: np.ndarray, group: np.ndarray, side: np.ndarray, table: Table, most: int, nearest: int | None) -> pa.RecordBatch:
-    """Edges (smaller node, larger node, bits) over the groups' links: each node to the smallest of its class; with
-    ``nearest``, where that one is over so many bits away, and each smallest one, also to the one that fewest bits tell it
-    from (ties: the smallest)."""
+def _forest(nodes: np.ndarray, group: np.ndarray, side: np.ndarray, table: Table, most: int) -> pa.RecordBatch:
+    """Edges (smaller node, larger node, bits) over the groups' links: each node to the smallest of its class."""
     names, node = np.unique(nodes, return_inverse=True)
     row_of = np.zeros(len(names), np.int64)
     row_of[node] = np.arange(len(node))
-    label, best = np.arange(len(names)), np.full(len(names), np.iinfo(np.int64).max)
+    label = np.arange(len(names))
+    for i, j, _ in _pairs(group, side, table, most):
+        merge(label, node[i], node[j])
+    dst = np.flatnonzero(label != np.arange(len(names)))
+    src = label[dst]
+    return _edges(names[src], names[dst], table.bits(row_of[src], row_of[dst]) if len(src) else dst)
+
+
+def _near_forest(nodes: np.ndarray, group: np.ndarray, side: np.ndarray, table: Table, most: int, sure: int, number: np.ndarray) -> pa.RecordBatch:
+    """Edges (smaller node, larger node, bits) over the links of each group (rows by group and node; ``number``: that of its
+    key): each node to the smallest of its class, and where that one is over ``sure`` bits away, and of each smallest one, also
+    to the one that fewest bits tell it from (ties: the smallest).
+
+    A linked pair that shares a key of a smaller number is left to that key's group, which compares it as well. Step by step
+    down to the first key two nodes share, the edges of all groups together connect what each group alone would, and give each
+    node an edge to its nearest, or to one within ``sure``. So edges follow the nodes, not the keys that two nodes share.
+    """
+    own = np.arange(len(nodes))
+    label, best = own.copy(), np.full(len(nodes), np.iinfo(np.int64).max)
     for i, j, bits in _pairs(group, side, table, most):
-        i, j = node[i], node[j]
         merge(label, i, j)
-        if nearest is not None:
-            np.minimum.at(best, i, (bits.astype(np.int64) << 40) + j)
-            np.minimum.at(best, j, (bits.astype(np.int64) << 40) + i)
-    at = np.flatnonzero(label != np.arange(len(names)))
-    src, dst = label[at], at
-    if nearest is not None:
-        rooted = (label != np.arange(len(names))) & (table.bits(row_of[label], row_of) <= nearest)
-        at = np.flatnonzero((best < np.iinfo(np.int64).max) & ~rooted)
-        other = best[at] & ((1 << 40) - 1)
-        pairs = np.unique(np.stack([np.r_[src, np.minimum(at, other)], np.r_[dst, np.maximum(at, other)]]), axis=1)
-        src, dst = pairs
-    bits = table.bits(row_of[src], row_of[dst]).astype(np.int32) if len(src) else np.zeros(0, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(names[src]), pa.array(names[dst]), pa.array(bits)], schema=EDGES)
+        np.minimum.at(best, i, (bits.astype(np.int64) << 40) + j)
+        np.minimum.at(best, j, (bits.astype(np.int64) << 40) + i)
+    dst = np.flatnonzero(label != own)
+    rooted = (label != own) & (table.bits(label, own) <= sure) if len(own) else label != own
+    at = np.flatnonzero((best < np.iinfo(np.int64).max) & ~rooted)
+    other = best[at] & ((1 << 40) - 1)
+    src, dst = np.r_[label[dst], np.minimum(at, other)], np.r_[dst, np.maximum(at, other)]
+    if not len(src):
+        return _edges(src, dst, dst)
+    bits = table.bits(src, dst)
+    kept = np.flatnonzero((bits > most) | ~table.met_before(src, dst, number[dst]))
+    src, dst, bits = nodes[src[kept]], nodes[dst[kept]], bits[kept]
+    once = np.unique(np.stack([src, dst]), axis=1, return_index=True)[1]
+    return _edges(src[once], dst[once], bits[once])
+
+
+def _edges(src: np.ndarray, dst: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(bits.astype(np.int32))], schema=EDGES)
 
 
 def links(nodes: DataFrame, most: int = 4) -> DataFrame:
@@ -242,15 +272,16 @@ def wide_links(nodes: DataFrame, most: int = 56) -> DataFrame:
     average with a deviation of 6; by the binomial 99 in 100 such pairs share a key and more lie within 56 bits.
     """
     words = [f"f{k}" for k in range(WIDE_WORDS)]
-    return compared(nodes, words, _wide_keys(words), most, nearest=SURE)
+    return compared(nodes, words, _wide_keys(words), most, sure=SURE)
 
 
-def compared(nodes: DataFrame, words: list[str], keys: Column, most: int, nearest: int | None = None) -> DataFrame:
+def compared(nodes: DataFrame, words: list[str], keys: Column, most: int, sure: int | None = None) -> DataFrame:
     """Edges that connect the nodes under a common key whose fingerprints, over ``words``, differ in at most ``most`` bits.
 
     Within a group, pairs are discarded by their distances to the pivots and survivors verified, where the rows have been
     dealt by key. A group over ``CELL`` members is dealt again, over square cells of a salt, so no task compares more than
-    two cells' worth of a group; each task returns a forest of the links of some groups at a time (see ``_forest``), not the pairs.
+    two cells' worth of a group; each task returns a forest of the links of some groups at a time, not the pairs: ``_forest``, or
+    with ``sure``, for wide fingerprints and their keys, ``_near_forest``.
     """
     small_batches(nodes.sparkSession)
     keyed = nodes.select("node", "far", *words, F.explode(keys).alias("key"))
@@ -278,7 +309,8 @@ def compared(nodes: DataFrame, words: list[str], keys: Column, most: int, neares
             group[change[change < cut]] = 1
             far = np.frombuffer(b"".join(t.column("far").slice(0, cut).to_pylist()), np.uint8).reshape(cut, -1).T
             table = Table([t.column(w).to_numpy()[:cut].view(np.uint64) for w in words], far)
-            edges = _forest(t.column("node").to_numpy()[:cut], np.cumsum(group), t.column("side").to_numpy()[:cut], table, most, nearest)
+            what = t.column("node").to_numpy()[:cut], np.cumsum(group), t.column("side").to_numpy()[:cut], table, most
+            edges = _forest(*what) if sure is None else _near_forest(*what, sure, key[:cut] >> 48)
             return edges, t.slice(cut).combine_chunks().to_batches()
 
         count = 0

@@ -70,17 +70,63 @@ def test_forest_of_a_group():
         zero, refs = np.zeros(len(f), np.int64), simhash.pivots()
         far = np.array([list(simhash.distances([int(x)], refs)) for x in f], np.uint8).T
         assert all(far[0][k] == (int(x) ^ int(refs[0][0])).bit_count() for k, x in enumerate(f))
-        for nearest in (None, -1):
-            edges = simhash._forest(np.arange(len(f)), zero, zero, simhash.Table([f], far), 4, nearest)
-            src, dst, bits = (c.to_numpy() for c in edges.columns)
-            assert (src < dst).all() and bits.tolist() == [(int(f[a]) ^ int(f[b])).bit_count() for a, b in zip(src, dst, strict=True)]
-            label = np.arange(len(f))
-            simhash.merge(label, src, dst)
-            assert label.tolist() == classes(f)
-        for k in range(len(f)):  # each node has an edge to one that fewest bits tell it from
-            others = [(int(f[k]) ^ int(x)).bit_count() for j, x in enumerate(f) if j != k]
-            if min(others) <= 4:
-                assert min(bits[(src == k) | (dst == k)]) == min(others)
+        edges = simhash._forest(np.arange(len(f)), zero, zero, simhash.Table([f], far), 4)
+        src, dst, bits = (c.to_numpy() for c in edges.columns)
+        assert (src < dst).all() and bits.tolist() == [(int(f[a]) ^ int(f[b])).bit_count() for a, b in zip(src, dst, strict=True)]
+        label = np.arange(len(f))
+        simhash.merge(label, src, dst)
+        assert label.tolist() == classes(f)
+
+
+def wide(n, centres, flips, seed):
+    """``n`` different values of 256 bits around some centres, with up to ``flips`` of their bits changed."""
+    random.seed(seed)
+    base, out = [random.getrandbits(256) for _ in range(centres)], set()
+    while len(out) < n:
+        x = random.choice(base)
+        for b in random.sample(range(256), random.randint(0, flips)):
+            x ^= 1 << b
+        out.add(x)
+    return sorted(out)
+
+
+def wide_nodes(spark, values):
+    signed = lambda x, k: (w := x >> 64 * k & 2**64 - 1) - (w >> 63 << 64)
+    refs = simhash.pivots()
+    rows = [(i, bytearray(simhash.distances([x >> 64 * k & 2**64 - 1 for k in range(4)], refs)), *[signed(x, k) for k in range(4)]) for i, x in enumerate(values)]
+    return spark.createDataFrame(rows, "node long, far binary, f0 long, f1 long, f2 long, f3 long")
+
+
+def meets(x, y):
+    """The numbers of the keys that two wide fingerprints share."""
+    blocks = [[v >> 64 * w + 9 * k & 511 for w in range(4) for k in range(7)] for v in (x, y)]
+    same = [a == b for a, b in zip(*blocks, strict=True)]
+    return [28 * n + a for n, s in enumerate((1, 3, 9)) for a in range(28) if same[a] and same[(a + s) % 28]]
+
+
+def test_wide_links_connect_what_shares_a_key(spark, monkeypatch):
+    """Classes are those of all linked pairs with a common key, whole groups or cells of hot ones; each node has an edge to its
+    nearest or to one within SURE bits; edges are few."""
+    for cell, flips in ((8192, 40), (60, 40), (60, 12)):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        values = wide(400, 3, flips, flips + cell)
+        edges = [(e.src, e.dst, e.bits) for e in simhash.wide_links(wide_nodes(spark, values)).collect()]
+        label, nearest = np.arange(len(values)), {}
+        pairs = [(i, j) for j in range(len(values)) for i in range(j) if (values[i] ^ values[j]).bit_count() <= 56 and meets(values[i], values[j])]
+        simhash.merge(label, *np.array(pairs).T)
+        for i, j in pairs:
+            for k in (i, j):
+                nearest[k] = min(nearest.get(k, 256), (values[i] ^ values[j]).bit_count())
+        got, found = np.arange(len(values)), {}
+        simhash.merge(got, *np.array([(a, b) for a, b, _ in edges]).T)
+        assert got.tolist() == label.tolist()
+        for a, b, bits in edges:
+            assert a < b and bits == (values[a] ^ values[b]).bit_count() and meets(values[a], values[b])
+            for k in (a, b):
+                found[k] = min(found.get(k, 256), bits)
+        assert all(found[k] <= max(simhash.SURE, bits) for k, bits in nearest.items())
+        shared = sum(len(meets(values[a], values[b])) for a, b, _ in edges)
+        assert cell < 8192 or len(edges) < 12 * len(values) < shared
 
 
 def test_longer_keys_for_larger_tables(spark):
