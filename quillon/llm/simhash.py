@@ -275,21 +275,34 @@ def wide_links(nodes: DataFrame, most: int = 56) -> DataFrame:
     return compared(nodes, words, _wide_keys(words), most, sure=SURE)
 
 
+def crowded(keyed: DataFrame, nodes: int) -> DataFrame:
+    """(key, n) of the keys with over ``CELL`` rows in ``keyed`` (key; some 15 to 84 rows for each of ``nodes``).
+
+    Buckets of keys are counted first, so many that few hold over ``CELL`` rows without such a key, then the keys of those one
+    by one; both are summed where rows are read, so no key gathers its rows in a task and little is shuffled.
+    """
+    bucketed = keyed.select("key", F.pmod(F.xxhash64("key"), F.lit(max(1 << 16, nodes // 16))).alias("bucket"))
+    full = materialize(bucketed.groupBy("bucket").count().where(F.col("count") > CELL).select("bucket"), "simhash-full")
+    counts = bucketed.join(full, "bucket", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    return materialize(counts.where(F.col("n") > CELL), "simhash-hot")
+
+
 def compared(nodes: DataFrame, words: list[str], keys: Column, most: int, sure: int | None = None) -> DataFrame:
     """Edges that connect the nodes under a common key whose fingerprints, over ``words``, differ in at most ``most`` bits.
 
     Within a group, pairs are discarded by their distances to the pivots and survivors verified, where the rows have been
-    dealt by key. A group over ``CELL`` members is dealt again, over square cells of a salt, so no task compares more than
-    two cells' worth of a group; each task returns a forest of the links of some groups at a time, not the pairs: ``_forest``, or
+    dealt by key. A group over ``CELL`` members is dealt over square cells of a salt, never by its key, so no task gets more
+    than two cells' worth of a group; each task returns a forest of the links of some groups at a time, not the pairs: ``_forest``, or
     with ``sure``, for wide fingerprints and their keys, ``_near_forest``.
     """
     small_batches(nodes.sparkSession)
     keyed = nodes.select("node", "far", *words, F.explode(keys).alias("key"))
-    met = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    hot = crowded(nodes.select(F.explode(keys).alias("key")), nodes.count())
+    met = keyed.join(hot, "key", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     zero = [F.lit(0).alias(c) for c in ("row", "col", "side")]
-    few = met.where(F.col("n") <= CELL).select("node", "far", *words, "key", *zero).sortWithinPartitions("key", "node")
+    few = met.select("node", "far", *words, "key", *zero).sortWithinPartitions("key", "node")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    many = met.where(F.col("n") > CELL).withColumn("parts", F.ceil(F.col("n") / CELL).cast("int")).withColumn("own", own)
+    many = keyed.join(hot, "key").withColumn("parts", F.ceil(F.col("n") / CELL).cast("int")).withColumn("own", own)
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = many.select(
         "node", "far", *words, "key", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"), (F.col("own") > F.col("other")).cast("int").alias("side")
@@ -334,9 +347,9 @@ def compared(nodes: DataFrame, words: list[str], keys: Column, most: int, sure:
 def thinned(edges: DataFrame) -> DataFrame:
     """(src, dst) with the same components as ``edges`` (src < dst): each node keeps its smallest neighbour below it, to which
     its other ones are linked instead; since those are few, far fewer distinct edges are left."""
-    least = F.min("src").over(Window.partitionBy("dst"))
-    others = edges.select(F.col("src").alias("dst"), least.alias("src")).where("src < dst").distinct()
-    return edges.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst").unionByName(others.select("src", "dst")).distinct()
+    least = edges.groupBy("dst").agg(F.min("src").alias("least"))
+    others = edges.join(least, "dst").select(F.col("least").alias("src"), F.col("src").alias("dst")).where("src < dst")
+    return least.select(F.col("least").alias("src"), "dst").unionByName(others).distinct()
 
 
 def components(docs: DataFrame, words: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
