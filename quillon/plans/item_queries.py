@@ -114,6 +114,32 @@ def nearest_holiday(spark, sf):
     return e.join(F.broadcast(I.nearest_holiday(I.calendar(e))), "day").select("event_id", "flag", "closest")
 
 
+@query(f"""WITH c AS ({CAL_SQL}), h AS (SELECT day, last_value(CASE WHEN flag = 2 THEN day END IGNORE NULLS) OVER (ORDER BY day) AS p,
+    first_value(CASE WHEN flag = 2 THEN day END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM c),
+  o AS (SELECT *, epoch_us(ts) AS us, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id) AS size,
+    count(*) OVER (PARTITION BY user_id, event_type) / count(*) OVER (PARTITION BY user_id) AS prop FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  m AS (SELECT *, CASE WHEN n < size THEN us END AS kept FROM o),
+  f AS (SELECT *, count(kept) OVER w AS held, (max(kept) OVER w - min(kept) OVER w) / 1e6 AS span FROM m
+    WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+  e AS (SELECT f.*, CASE WHEN held <= 1 THEN 1.0 ELSE held / greatest(span, 1.0) END AS freq,
+    CASE WHEN p IS NULL THEN a - h.day WHEN a IS NULL THEN h.day - p ELSE least(h.day - p, a - h.day) END AS closest FROM f JOIN h ON f.ts::DATE = h.day)
+  SELECT l.event_id AS first_id, r.event_id AS second_id, abs(l.closest - r.closest)::INT AS delta_closest, (l.closest + r.closest) / 2.0::DOUBLE AS avg_closest,
+    round(abs(l.freq - r.freq), 6) AS delta_freq, round((l.prop + r.prop) / 2, 6) AS avg_prop
+  FROM e l JOIN e r ON l.user_id = r.user_id AND l.event_id < r.event_id AND abs(l.us - r.us) <= 86400000000""")
+def pair_context_differences(spark, sf):
+    """Of each pair: the differences in days to a holiday and in time frequency, the averages of those days and of the types' shares."""
+    e = events(spark, sf).withColumn("day", F.to_date("ts"))
+    near = I.nearest_holiday(I.calendar(e)).select("day", "closest")
+    shares = I.proportion(e, "user_id", "event_type").select("user_id", "event_type", "prop")
+    known = I.with_time_frequency(e.join(F.broadcast(near), "day"), "user_id", "us", "event_id").join(shares, ["user_id", "event_type"])
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    return I.band_join(known.select("user_id", "event_id", "us", "closest", "time_freq", "prop"), "user_id", "event_id", "us", 86400, strict=True).select(
+        l("event_id").alias("first_id"), r("event_id").alias("second_id"), F.abs(l("closest") - r("closest")).alias("delta_closest"),
+        ((l("closest") + r("closest")) / 2).alias("avg_closest"), F.round(F.abs(l("time_freq") - r("time_freq")), 6).alias("delta_freq"),
+        F.round((l("prop") + r("prop")) / 2, 6).alias("avg_prop"),
+    )
+
+
 @query("""SELECT user_id, event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 9) AS prop
   FROM events GROUP BY user_id, event_type""")
 def category_proportion(spark, sf):
