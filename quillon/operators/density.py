@@ -221,7 +221,7 @@ def _space_labels(items: DataFrame, key: str, item: str, columns: list[str], lea
     best = materialize(_best_levels(counts, key), "best-levels").where("best is not null")
     known = points.join(best, key, "left")
     cores = known.where("core <= best").select(F.col(item).alias("a"), F.col(item).alias("b"))
-    label = connected_components(joined.join(best, key).where("w <= best").select("a", "b").unionByName(cores), "a", "b")
+    label = connected_components(joined.join(best, key).where("w <= best").select("a", "b").unionByName(cores), "a", "b", at_once=500_000)
     at = F.when(F.col("core") <= F.col("best"), F.col(item)).when(F.col("reach") <= F.col("best"), F.col("via"))
     return known.select(key, item, at.alias("node")).join(label.withColumnRenamed("component", "cluster"), "node", "left").select(key, item, "cluster")
 
