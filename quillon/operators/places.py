@@ -12,13 +12,13 @@ from quillon.session import materialize
 
 
 def _globe(rows: DataFrame, name: str, lat: str, lon: str) -> DataFrame:
-    """(name, x, y, z) of rows with both coordinates, in km from the centre of the earth."""
-    at = xyz(F.lit(0.0), F.col(lat).cast("double"), F.col(lon).cast("double"), degrees=True, radius=EARTH_KM)
+    """(name, x, y, z) of rows with both coordinates, on a globe of radius 1."""
+    at = xyz(F.lit(0.0), F.col(lat).cast("double"), F.col(lon).cast("double"), degrees=True, radius=1.0)
     return rows.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(name).alias(name), *[v.alias(c) for c, v in zip("xyz", at, strict=True)])
 
 
 def _cells(side: float, shift: tuple[int, int, int] = (0, 0, 0)) -> list[Column]:
-    return [(F.floor(F.col(c) / side) + d).cast("long").alias(f"cell_{c}") for c, d in zip("xyz", shift, strict=True)]
+    return [(F.floor(F.col(c) * EARTH_KM / side) + d).cast("long").alias(f"cell_{c}") for c, d in zip("xyz", shift, strict=True)]
 
 
 def nearest_place(items: DataFrame, places: DataFrame, place: str, lat: str, lon: str, within_km: float, first_km: float = 25.0, digits: int = 2) -> DataFrame:
@@ -41,7 +41,7 @@ def nearest_place(items: DataFrame, places: DataFrame, place: str, lat: str, lon
         cells = F.explode(F.array(*[F.struct(*_cells(side, s)) for s in around])).alias("cell")
         spread = known.select("place", F.struct("x", "y", "z").alias("p"), cells).select("place", "p", "cell.*")
         met = left.select("*", *_cells(side)).join(spread, ["cell_x", "cell_y", "cell_z"])
-        km = F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"p.{c}")) * (F.col(c) - F.col(f"p.{c}")) for c in "xyz"]))
+        km = EARTH_KM * F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"p.{c}")) * (F.col(c) - F.col(f"p.{c}")) for c in "xyz"]))
         near = met.select("_spot", F.struct(km.alias("km"), "place").alias("best")).where(F.col("best.km") <= side).groupBy("_spot").agg(F.min("best").alias("best"))
         found = materialize(near, "near-places")
         done.append(found)

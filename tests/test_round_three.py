@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quillon.functions import scalars as S
 from quillon.operators import graph as G
+from quillon.operators.places import nearest_place
 
 
 @pytest.mark.parametrize("at_once", [0, 10**6])
@@ -34,3 +38,14 @@ def test_roots_come_from_pointers_alone(spark, monkeypatch):
     monkeypatch.setattr(G, "connected_components", None)  # a round of the forest follows pointers and hears no labels over edges
     df = spark.createDataFrame([(k, k + 1, k) for k in range(40)], "a long, b long, w int")
     assert G.spanning_forest(df, at_once=0).count() == 40
+
+
+def test_spots_beside_zero_and_halfway(spark):
+    df = spark.createDataFrame([(1, -0.001, -2.03), (2, -0.84, -1.5)], "id long, lat double, lon double")
+    keys = [r.k for r in df.orderBy("id").select(S.rounded_key(F.col("lat"), F.col("lon")).alias("k")).collect()]
+    assert keys == ["(-0.00, -2.03)", "(-0.84, -1.50)"]
+    places = spark.createDataFrame([(f"{n} {lat}", float(lat), float(lon)) for n, lon in (("b", -1), ("a", -2)) for lat in range(-5, 4)], "name string, lat double, lon double")
+    got = nearest_place(df, places, "name", "lat", "lon", 900.0).where("id = 2").first()
+    rad = np.radians
+    far = lambda lat, lon: 6371 * np.sqrt((np.cos(rad(-0.84)) * np.sin(rad(-1.5)) - np.cos(rad(lat)) * np.sin(rad(lon))) ** 2 + (np.sin(rad(-0.84)) - np.sin(rad(lat))) ** 2 + (np.cos(rad(-0.84)) * np.cos(rad(-1.5)) - np.cos(rad(lat)) * np.cos(rad(lon))) ** 2)
+    assert got.name == min((far(float(lat), float(lon)), f"{n} {lat}") for n, lon in (("b", -1), ("a", -2)) for lat in range(-5, 4))[1]
