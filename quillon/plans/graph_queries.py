@@ -9,6 +9,7 @@ from quillon.functions import scalars as S
 from quillon.operators import callgraph as C
 from quillon.operators import graph as G
 from quillon.plans.registered import query, table
+from quillon.session import materialize
 
 
 def stacks(spark, sf):
@@ -21,8 +22,8 @@ def stacks(spark, sf):
 
 
 def graph(spark, sf):
-    """(nodes, edges) of one summed table of paths, of which there are few."""
-    paths = stacks(spark, sf).groupBy("stack").agg(F.sum("cost").alias("cost"))
+    """(nodes, edges) of one summed table of paths, of which there are few; written once, so line items are joined once."""
+    paths = materialize(stacks(spark, sf).groupBy("stack").agg(F.sum("cost").alias("cost")), "paths")
     return C.stack_nodes(paths), C.stack_edges(paths)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scalars as S
 from quillon.operators import graph as G
 from quillon.operators.places import nearest_place
+from quillon.plans import graph_queries
 
 
 @pytest.mark.parametrize("at_once", [0, 10**6])
@@ -40,6 +41,11 @@ def test_roots_come_from_pointers_alone(spark, monkeypatch):
     assert G.spanning_forest(df, at_once=0).count() == 40
 
 
+def test_call_graph_is_read_from_summed_paths(spark, sf):
+    for df in graph_queries.graph(spark, sf):
+        assert not any("lineitem" in f for f in df.inputFiles())
+
+
 def test_spots_beside_zero_and_halfway(spark):
     df = spark.createDataFrame([(1, -0.001, -2.03), (2, -0.84, -1.5)], "id long, lat double, lon double")
     keys = [r.k for r in df.orderBy("id").select(S.rounded_key(F.col("lat"), F.col("lon")).alias("k")).collect()]
