@@ -41,6 +41,13 @@ def test_roots_come_from_pointers_alone(spark, monkeypatch):
     assert G.spanning_forest(df, at_once=0).count() == 40
 
 
+def test_nearest_ancestor_over_long_dead_chains(spark):
+    tree = [(k, k - 1 if k else None, k in (0, 5)) for k in range(400)] + [(1000, 999, False), (1001, 1000, True), (1002, 1001, None), (1003, 1002, False)]
+    got = dict(map(tuple, G.nearest_ancestor(spark.createDataFrame(tree, "node long, parent long, live boolean")).collect()))
+    want = {k: None if k == 0 else 0 if k <= 5 else 5 for k in range(400)} | {1000: None, 1001: None, 1002: 1001, 1003: 1001}
+    assert got == want
+
+
 def test_call_graph_is_read_from_summed_paths(spark, sf):
     for df in graph_queries.graph(spark, sf):
         assert not any("lineitem" in f for f in df.inputFiles())
