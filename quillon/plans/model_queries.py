@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
@@ -9,17 +10,22 @@ from quillon.operators import model as M
 from quillon.operators import wide_deep as W
 from quillon.plans.item_queries import pair_band_join
 from quillon.plans.registered import query
+from quillon.session import materialize
 
 NUMERIC = ["delta_seconds", "delta_sec_in_day", "delta_value", "avg_value", "delta_k"]
 #: Pairs the classifier is fitted on, at most about; every pair is scored.
 FIT_PAIRS = 50_000
 
 
+def _sample(pairs: DataFrame, key: Column) -> DataFrame:
+    """The pairs to fit on, as a table: however often a fit reads them, the band join runs once for them."""
+    return materialize(pairs.where(S.hash_split(key, min(1.0, FIT_PAIRS / max(1, pairs.count())))), "fit-pairs")
+
+
 def _scored(spark, sf, kind):
     pairs = pair_band_join(spark, sf).where("first_id < second_id").withColumn("label", F.col("same_type").cast("double"))
-    n = pairs.count()
-    key = F.concat_ws(":", F.col("first_id").cast("string"), F.col("second_id").cast("string"))
-    fit_on = pairs.where(S.hash_split(key, min(1.0, FIT_PAIRS / max(1, n))))
+    pairs = pairs.select("first_id", "second_id", *NUMERIC, "delta_day", "label")
+    fit_on = _sample(pairs, F.concat_ws(":", F.col("first_id").cast("string"), F.col("second_id").cast("string")))
     model = M.Blend(fit_on, NUMERIC, ["delta_day"], "label") if kind == "wide_deep" else M.fit(fit_on, NUMERIC, ["delta_day"], "label", kind)
     return M.predict(model, pairs).select("first_id", "second_id", "predicted_label", F.round("probability", 6).alias("probability"))
 
@@ -48,6 +54,6 @@ def train_predict_joint(spark, sf):
     """The wide and the deep part trained together on a bounded sample of labelled pairs; every pair is scored."""
     pairs = pair_band_join(spark, sf).where("first_id < second_id").withColumn("label", F.col("same_type").cast("double"))
     pairs = pairs.withColumns({"pair": F.concat_ws(":", F.col("first_id").cast("string"), F.col("second_id").cast("string")), "same_day": (F.col("delta_day") == 0).cast("int")})
-    fit_on = pairs.where(S.hash_split(F.col("pair"), min(1.0, FIT_PAIRS / max(1, pairs.count()))))
-    model = W.fit(fit_on, "pair", NUMERIC, ["delta_day"], "label", JOINT)
-    return W.predict(model, pairs).select("first_id", "second_id", "predicted_label", F.round("probability", 6).alias("probability"))
+    pairs = pairs.select("first_id", "second_id", "pair", *NUMERIC, "delta_day", "same_day", "label")
+    model = W.fit(_sample(pairs, F.col("pair")), "pair", NUMERIC, ["delta_day"], "label", JOINT)
+    return W.predict(model, pairs.drop("pair", "label")).select("first_id", "second_id", "predicted_label", F.round("probability", 6).alias("probability"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scalars as S
 from quillon.operators import graph as G
 from quillon.operators.places import nearest_place
-from quillon.plans import graph_queries
+from quillon.plans import graph_queries, item_queries, model_queries
 
 
 @pytest.mark.parametrize("at_once", [0, 10**6])
@@ -53,6 +53,12 @@ def test_call_graph_is_read_from_summed_paths(spark, sf):
         assert not any("lineitem" in f for f in df.inputFiles())
 
 
+def test_fit_reads_a_table_of_its_sample(spark, sf):
+    pairs = item_queries.pair_band_join(spark, sf).where("first_id < second_id")
+    sample = model_queries._sample(pairs, F.concat_ws(":", "first_id", "second_id"))
+    assert sample.count() == 8_291 and not any("events" in f for f in sample.inputFiles())
+
+
 def test_spots_beside_zero_and_halfway(spark):
     df = spark.createDataFrame([(1, -0.001, -2.03), (2, -0.84, -1.5)], "id long, lat double, lon double")
     keys = [r.k for r in df.orderBy("id").select(S.rounded_key(F.col("lat"), F.col("lon")).alias("k")).collect()]
