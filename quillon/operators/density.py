@@ -49,14 +49,16 @@ def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def forest(m: np.ndarray) -> np.ndarray:
     """(a, b, level) of a minimum spanning forest of the symmetric matrix of levels; levels of STEPS and more are no edges."""
     n = len(m)
-    best, parent, left, out = np.full(n, STEPS), np.full(n, -1), np.ones(n, bool), []
+    m, best, parent, out = m.copy(), np.full(n, STEPS), np.full(n, -1), []
     for _ in range(n):
-        at = int(np.argmin(np.where(left, best, STEPS + 1)))
+        at = int(best.argmin())
         if best[at] < STEPS:
             out.append((parent[at], at, best[at]))
-        left[at] = False
-        closer = left & (m[at] < best)
-        best[closer], parent[closer] = m[at][closer], at
+        m[:, at] = best[at] = STEPS + 1  # taken: never the least, never closer
+        row = m[at]
+        closer = (row < best).nonzero()[0]
+        if len(closer):
+            best[closer], parent[closer] = row[closer], at
     return np.array(out, np.int64).reshape(-1, 3)
 
 
@@ -226,10 +228,27 @@ def _space_labels(items: DataFrame, key: str, item: str, columns: list[str], lea
     return known.select(key, item, at.alias("node")).join(label.withColumnRenamed("component", "cluster"), "node", "left").select(key, item, "cluster")
 
 
-def line_labels(items: DataFrame, key: str, item: str, column: str, least: int, block: int = 4096) -> DataFrame:
+def line_labels(items: DataFrame, key: str, item: str, column: str, least: int, block: int = 4096, in_one_task: int = 0) -> DataFrame:
     """``space_labels`` of one coordinate, in work proportional to the points: sorted points are cut into blocks of ``block``, each with
-    the ``least - 1`` points on either side; what a block must know of the others is their outermost core of each level."""
-    return _own_names(items, key, item, [column], lambda own, k, i, x: _line_labels(own, k, i, x[0], least, block))
+    the ``least - 1`` points on either side; what a block must know of the others is their outermost core of each level.
+    Keys of up to ``in_one_task`` points are cut in a task each, with the same result."""
+    if not in_one_task:
+        return _own_names(items, key, item, [column], lambda own, k, i, x: _line_labels(own, k, i, x[0], least, block))
+    sized = materialize(items.join(items.groupBy(key).agg(F.count("*").alias("_size")), key), "sized")
+    small, large = (sized.where(c).drop("_size") for c in (F.col("_size") <= in_one_task, F.col("_size") > in_one_task))
+    found = _own_names(small, key, item, [column], lambda own, k, i, x: _small_labels(own, k, i, x, least))
+    return found if large.isEmpty() else found.unionByName(line_labels(large, key, item, column, least, block))
+
+
+def _small_labels(items: DataFrame, key: str, item: str, columns: list[str], least: int) -> DataFrame:
+    kind = items.schema[item].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(item, ignore_index=True)
+        label = best_labels(pdf[columns].to_numpy(), least)
+        return pdf[[key, item]].assign(cluster=pd.Series(np.where(label < 0, None, pdf[item].to_numpy(object)[label]), dtype=object))
+
+    return items.groupBy(key).applyInPandas(run, f"{key} {items.schema[key].dataType.simpleString()}, {item} {kind}, cluster {kind}")
 
 
 def _line_labels(items: DataFrame, key: str, item: str, column: str, least: int, block: int) -> DataFrame:
@@ -350,8 +369,11 @@ def _scenes(spread: DataFrame, event: str, item: str, columns: list[str], least:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item, ignore_index=True)
-        parts = split(pdf[columns].to_numpy(), least, most)
-        return pd.concat([pd.DataFrame({event: pdf[event].iloc[i], "scene_id": pdf[item].iloc[i].min(), "status": s, item: pdf[item].iloc[i]}) for i, s in parts if len(i)])
+        name, status = pdf[item].to_numpy(copy=True), np.empty(len(pdf), object)
+        for i, s in split(pdf[columns].to_numpy(), least, most):
+            if len(i):
+                name[i], status[i] = name[i[0]], s  # indices ascend, so the first is the smallest item
+        return pd.DataFrame({event: pdf[event], "scene_id": name, "status": status, item: pdf[item]})
 
     schema = f"{event} {spread.schema[event].dataType.simpleString()}, scene_id {kind}, status string, {item} {kind}"
     for _ in range(max_levels):

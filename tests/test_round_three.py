@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
+from quillon.operators import density as D
 from quillon.operators import graph as G
 from quillon.operators.places import nearest_place
-from quillon.plans import graph_queries, item_queries, model_queries
+from quillon.plans import density_queries, graph_queries, item_queries, model_queries
 
 
 @pytest.mark.parametrize("at_once", [0, 10**6])
@@ -59,6 +60,21 @@ def test_fit_reads_a_table_of_its_sample(spark, sf):
     assert sample.count() == 8_291 and not any("events" in f for f in sample.inputFiles())
 
 
+def test_small_keys_on_a_line_equal_blocks(spark, sf):
+    e = item_queries.events(spark, sf).select("user_id", "event_id", F.col("us").cast("double").alias("us"))
+    z = density_queries._standard(e, "user_id", "event_id", ["us"])
+    sets = lambda **kw: {frozenset(r.m) for r in D.line_labels(z, "user_id", "event_id", "us", 10, **kw).groupBy("user_id", "cluster").agg(F.collect_list("event_id").alias("m")).collect()}
+    want = sets()
+    assert sets(in_one_task=1500) == want and sets(in_one_task=66) == want
+
+
+def test_small_keys_keep_large_ids(spark):
+    rows = [(1, 2**60 + k, float(x)) for k, x in enumerate(np.r_[np.linspace(0, 0.1, 12), np.linspace(3, 3.1, 12), 9.0])]
+    df = spark.createDataFrame(rows, "a long, i long, x double")
+    got = {r.i: r.cluster for r in D.line_labels(df, "a", "i", "x", 10, in_one_task=100).collect()}
+    assert got[2**60 + 24] is None and len(set(got.values())) == 3 and all(c is None or c in got for c in got.values())
+
+
 def test_spots_beside_zero_and_halfway(spark):
     df = spark.createDataFrame([(1, -0.001, -2.03), (2, -0.84, -1.5)], "id long, lat double, lon double")
     keys = [r.k for r in df.orderBy("id").select(S.rounded_key(F.col("lat"), F.col("lon")).alias("k")).collect()]
