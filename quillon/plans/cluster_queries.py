@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import cluster as K
@@ -119,7 +119,7 @@ HOURS = (2, 4, 8, 16, 32)
        + """), g AS (SELECT user_id, eps, count(*) - count(cluster_id) AS noise, count(*) AS n, count(DISTINCT cluster_id) + (count(*) > count(cluster_id))::INT AS labels FROM a GROUP BY ALL)
   SELECT user_id, eps, noise FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY noise, eps) AS k FROM g WHERE labels > 1 AND noise < n) WHERE k = 1""")
 def best_threshold(spark, sf):
-    e = events(spark, sf).select("user_id", "event_id", "us")
+    e = I.dealt(events(spark, sf).select("user_id", "event_id", "us"), "user_id")
     every = None
     for h in HOURS:
         one = K.density_1d(e, "user_id", "us", "event_id", h * 3600, 6).groupBy("user_id").agg(
@@ -127,8 +127,8 @@ def best_threshold(spark, sf):
             (F.countDistinct("cluster_id") + F.when(F.count("*") > F.count("cluster_id"), 1).otherwise(0)).alias("labels"),
         )
         every = one if every is None else every.unionByName(one)
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("noise", "eps"))
-    return every.where("labels > 1 and noise < n").withColumn("place", place).where("place = 1").select("user_id", "eps", "noise")
+    best = every.where("labels > 1 and noise < n").groupBy("user_id").agg(F.min(F.struct("noise", "eps")).alias("b"))
+    return best.select("user_id", "b.eps", "b.noise")
 
 
 @query("""SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (

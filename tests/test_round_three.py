@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scalars as S
 from quillon.operators import density as D
 from quillon.operators import graph as G
+from quillon.operators import items as I
 from quillon.operators.places import nearest_place
 from quillon.plans import density_queries, graph_queries, item_queries, model_queries
 
@@ -60,6 +61,12 @@ def test_fit_reads_a_table_of_its_sample(spark, sf):
     assert sample.count() == 8_291 and not any("events" in f for f in sample.inputFiles())
 
 
+def test_tasks_follow_the_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 90).alias("u"), "id")
+    assert I.dealt(df, "u", 100).rdd.getNumPartitions() == 10 and I.dealt(df.limit(0), "u").count() == 0
+    assert I.dealt(df, "u", 100).select("u", F.spark_partition_id()).distinct().count() == 90
+
+
 def test_small_keys_on_a_line_equal_blocks(spark, sf):
     e = item_queries.events(spark, sf).select("user_id", "event_id", F.col("us").cast("double").alias("us"))
     z = density_queries._standard(e, "user_id", "event_id", ["us"])
