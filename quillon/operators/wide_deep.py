@@ -127,7 +127,8 @@ def gradients(model: Model, x: np.ndarray, w: np.ndarray, y: np.ndarray, rng: np
 
 
 def _arrays(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
-    return [np.array(b.column(n).to_pylist()) for n in names]
+    """List columns, all of a column's lists of one length and without nulls, as a row of numbers each."""
+    return [b.column(n).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for n in names]
 
 
 def _added(parts: DataFrame, tasks: int) -> DataFrame:
@@ -147,28 +148,6 @@ def _added(parts: DataFrame, tasks: int) -> DataFrame:
     return parts
 
 
-def _step(model: Model, rows: DataFrame, epoch: int, step: int, tasks: int) -> float:
-    """One update of the model; the mean loss of its rows."""
-    s = model.settings
-    shapes = {k: v.shape for k, v in model.weights.items()}
-    stats = {k: v.shape for k, v in model.moving.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(sum(int(np.prod(v)) for v in [*shapes.values(), *stats.values()]) + 3)
-
-        for b in batches:
-            for g, rows in zip(*(b.column(c).to_pylist() for c in ("_group", "_rows")), strict=True):
-                x, w, y = (np.array([r[c] for r in rows]) for c in ("x", "w", "y"))
-                made, loss, seen = gradients(model, x, w.astype(np.int64).reshape(len(x), -1), y, np.random.default_rng([s.seed, epoch, step, g]))
-                total += np.concatenate([*(made[k].ravel() for k in shapes), *(seen[k].ravel() for k in stats), [loss, len(x), 1]])
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
-
-    while tasks > 8:
-        tasks = -(-tasks // 8)
-        parts = parts.repartition(tasks).mapInArrow(add, "v array<double>")
-    return parts
-
-
 def _step(model: Model, rows: DataFrame, epoch: int, step: int, tasks: int) -> float:
     """One update of the model; the mean loss of its rows."""
     s = model.settings
@@ -243,7 +222,7 @@ def predict(model: Model, rows: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x, w = _arrays(b, "_x", "_w")
-                p = 1 / (1 + np.exp(-forward(m, x.reshape(b.num_rows, -1), w.astype(np.int64).reshape(b.num_rows, -1))[0]))
+                p = 1 / (1 + np.exp(-forward(m, x, w.astype(np.int64))[0]))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array((p > 0.5).astype(np.int32)), pa.array(np.maximum(p, 1 - p))], names=[*names, "predicted_label", "probability"])
 
     return ready.mapInArrow(run, f"{schema}, predicted_label int, probability double")
