@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import dot_escape, hue_colour, percentage, ratio, squeezed, strip_name, truncated, wrapped_words
-from quillon.operators.graph import strong_components
+from quillon.operators.graph import shuffled, strong_components
 from quillon.session import materialize
 
 
@@ -48,9 +48,9 @@ def call_ratios(edges: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
         into = edges.where("src <> dst").groupBy("dst").agg(F.sum("weight").alias("into"))
         return edges.join(into, "dst", "left").select("src", "dst", "weight", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(ratio(F.col("weight"), F.col("into"))).alias("ratio"))
     a, b = cycles.select(F.col("node").alias("src"), F.col("scc").alias("a")), cycles.select(F.col("node").alias("dst"), F.col("scc").alias("b"))
-    both = edges.join(a, "src").join(b, "dst")
+    both = edges.join(shuffled(a), "src").join(shuffled(b), "dst")
     into = both.where("a <> b").groupBy("b").agg(F.sum("weight").alias("into"))
-    return both.join(into, "b", "left").select("src", "dst", "weight", "a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(ratio(F.col("weight"), F.col("into"))).alias("ratio"))
+    return both.join(shuffled(into), "b", "left").select("src", "dst", "weight", "a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(ratio(F.col("weight"), F.col("into"))).alias("ratio"))
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -61,7 +61,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> D
     and what they call outside) is dealt out among its members (see ``cycle_totals``).
     """
     parts = strong_components(edges)
-    of = nodes.join(parts.withColumnRenamed("node", "name"), "name", "left").select("name", "self", F.coalesce("scc", "name").alias("part"))
+    of = nodes.join(shuffled(parts.withColumnRenamed("node", "name")), "name", "left").select("name", "self", F.coalesce("scc", "name").alias("part"))
     of = materialize(of, "parts")
     every = call_ratios(edges, of.select(F.col("name").alias("node"), F.col("part").alias("scc")))
     every = materialize(every.where("a <> b").select("src", "dst", "a", "b", "ratio"), "calls-outside")
@@ -70,25 +70,26 @@ def propagate(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> D
     of = of.crossJoin(F.broadcast(whole)).select("name", "part", ratio(F.col("self"), F.col("whole")).alias("own"))
     open_, levels = materialize(of.groupBy("part").agg(F.sum("own").alias("own")), "open"), []
     for _ in range(max_rounds):
-        waits = calls.join(open_.select(F.col("part").alias("b")), "b", "left_semi").select(F.col("a").alias("part")).distinct()
-        ready = open_.join(waits, "part", "left_anti")
+        waits = calls.join(shuffled(open_.select(F.col("part").alias("b"))), "b", "left_semi").select(F.col("a").alias("part")).distinct()
+        ready = open_.join(shuffled(waits), "part", "left_anti")
         settled = ready.select("part", F.col("own").alias("total"))
         if levels:
             done = reduce(DataFrame.unionByName, levels)
-            got = calls.join(done, calls["b"] == done["part"]).groupBy("a").agg(F.sum(F.col("ratio") * F.col("total")).alias("called"))
-            settled = ready.join(got, ready["part"] == got["a"], "left").select(ready["part"], (F.col("own") + F.coalesce("called", F.lit(0.0))).alias("total"))
+            got = calls.join(shuffled(done), calls["b"] == done["part"]).groupBy("a").agg(F.sum(F.col("ratio") * F.col("total")).alias("called"))
+            settled = ready.join(shuffled(got), ready["part"] == got["a"], "left").select(ready["part"], (F.col("own") + F.coalesce("called", F.lit(0.0))).alias("total"))
         levels.append(materialize(settled, "settled"))
-        open_ = materialize(open_.join(levels[-1], "part", "left_anti"), "open")
+        open_ = materialize(open_.join(shuffled(levels[-1]), "part", "left_anti"), "open")
         if open_.isEmpty():
             break
         if len(levels) > 20:
             levels = [materialize(reduce(DataFrame.unionByName, levels), "settled")]
     done = reduce(DataFrame.unionByName, levels) if levels else open_.select("part", F.col("own").alias("total"))
     cycles = materialize(of.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part"), "cycles")
+    ring = shuffled(cycles)
     if cycles.isEmpty():
-        return of.join(done, "part").select("name", "total")
-    alone = of.join(cycles, "part", "left_anti").join(done, "part").select("name", "total")
-    return alone.unionByName(cycle_totals(of.join(cycles, "part", "left_semi"), edges, every, done, max_rounds))
+        return of.join(shuffled(done), "part").select("name", "total")
+    alone = of.join(ring, "part", "left_anti").join(shuffled(done), "part").select("name", "total")
+    return alone.unionByName(cycle_totals(of.join(ring, "part", "left_semi"), edges, every, done, max_rounds))
 
 
 def cycle_totals(members: DataFrame, edges: DataFrame, outside: DataFrame, done: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -100,33 +101,33 @@ def cycle_totals(members: DataFrame, edges: DataFrame, outside: DataFrame, done:
     those. The partial total of the entry is the cycle's total times the ratio of the calls into it; a member's total is
     the sum over entries, and 0 in a cycle that nothing calls.
     """
-    members = materialize(members, "cycle-members")
+    members = shuffled(materialize(members, "cycle-members"))
     inside = members.select(F.col("name").alias("src"), "part").join(edges.where("src <> dst"), "src").join(members.select(F.col("name").alias("dst"), F.col("part").alias("to")), "dst")
     into = edges.where("src <> dst").groupBy("dst").agg(F.sum("weight").alias("into"))
-    inside = materialize(inside.where("part = to").join(into, "dst").select("src", "dst", ratio(F.col("weight"), F.col("into")).alias("ratio")), "cycle-calls")
-    called = outside.join(done.select(F.col("part").alias("b"), "total"), "b").groupBy(F.col("src").alias("name")).agg(F.sum(F.col("ratio") * F.col("total")).alias("called"))
+    inside = materialize(inside.where("part = to").join(shuffled(into), "dst").select("src", "dst", ratio(F.col("weight"), F.col("into")).alias("ratio")), "cycle-calls")
+    called = outside.join(shuffled(done).select(F.col("part").alias("b"), "total"), "b").groupBy(F.col("src").alias("name")).agg(F.sum(F.col("ratio") * F.col("total")).alias("called"))
     value = materialize(members.join(called, "name", "left").select(F.col("name").alias("node"), (F.col("own") + F.coalesce("called", F.lit(0.0))).alias("value")), "cycle-values")
     entries = outside.join(members.select(F.col("name").alias("dst")), "dst").groupBy(F.col("dst").alias("entry")).agg(F.sum("ratio").alias("part_in"))
-    entries = materialize(entries, "cycle-entries")
+    entries, inside, value = shuffled(materialize(entries, "cycle-entries")), shuffled(inside), shuffled(value)
     levels = [materialize(entries.select("entry", F.col("entry").alias("node"), F.lit(0).alias("rank")), "cycle-ranks")]
     for k in range(1, max_rounds):
         step = levels[-1].select("entry", F.col("node").alias("src")).join(inside, "src").select("entry", F.col("dst").alias("node")).distinct()
-        step = materialize(step.join(reduce(DataFrame.unionByName, levels), ["entry", "node"], "left_anti").withColumn("rank", F.lit(k)), "cycle-ranks")
+        step = materialize(step.join(shuffled(reduce(DataFrame.unionByName, levels)), ["entry", "node"], "left_anti").withColumn("rank", F.lit(k)), "cycle-ranks")
         if step.isEmpty():
             break
         levels.append(step)
     partials: list[DataFrame] = []
     for k in range(len(levels) - 1, -1, -1):
-        own = levels[k].join(value, "node").join(entries, "entry").select("entry", "node", (F.col("part_in") * F.col("value")).alias("partial"))
+        own = shuffled(levels[k]).join(value, "node").join(entries, "entry").select("entry", "node", (F.col("part_in") * F.col("value")).alias("partial"))
         if partials:
-            away = levels[k].select("entry", F.col("node").alias("src")).join(inside, "src").join(levels[k + 1].select("entry", F.col("node").alias("dst")), ["entry", "dst"])
+            away = levels[k].select("entry", F.col("node").alias("src")).join(inside, "src").join(shuffled(levels[k + 1]).select("entry", F.col("node").alias("dst")), ["entry", "dst"])
             of_all = away.groupBy("entry", "dst").agg(F.sum("ratio").alias("all"))
-            shares = away.join(of_all, ["entry", "dst"]).join(partials[-1].select("entry", F.col("node").alias("dst"), "partial"), ["entry", "dst"])
+            shares = away.join(shuffled(of_all), ["entry", "dst"]).join(shuffled(partials[-1]).select("entry", F.col("node").alias("dst"), "partial"), ["entry", "dst"])
             got = shares.groupBy("entry", F.col("src").alias("node")).agg(F.sum(ratio(F.col("ratio"), F.col("all")) * F.col("partial")).alias("more"))
-            own = own.join(got, ["entry", "node"], "left").select("entry", "node", (F.col("partial") + F.coalesce("more", F.lit(0.0))).alias("partial"))
+            own = own.join(shuffled(got), ["entry", "node"], "left").select("entry", "node", (F.col("partial") + F.coalesce("more", F.lit(0.0))).alias("partial"))
         partials.append(materialize(own, "cycle-partials"))
     total = reduce(DataFrame.unionByName, partials).groupBy(F.col("node").alias("name")).agg(F.sum("partial").alias("total"))
-    return members.select("name").join(total, "name", "left").select("name", F.coalesce("total", F.lit(0.0)).alias("total"))
+    return members.select("name").join(shuffled(total), "name", "left").select("name", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 def prune(nodes: DataFrame, edges: DataFrame, least_node: float = 0.005, least_edge: float = 0.001) -> tuple[DataFrame, DataFrame]:

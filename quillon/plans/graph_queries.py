@@ -144,9 +144,9 @@ CYCLE_SQL = f"""WITH RECURSIVE {T_SQL},
 
 @query(CYCLE_SQL)
 def cycle_propagate(spark, sf):
-    edges = transitions(spark, sf)
+    edges = materialize(transitions(spark, sf), "transitions")
     nodes = edges.groupBy(F.col("dst").alias("name")).agg(F.sum("weight").alias("self"))
-    roots = edges.select(F.col("src").alias("name")).distinct().join(nodes, "name", "left_anti").withColumn("self", F.lit(0.0))
+    roots = edges.select(F.col("src").alias("name")).distinct().join(G.shuffled(nodes), "name", "left_anti").withColumn("self", F.lit(0.0))
     return C.propagate(nodes.unionByName(roots), edges).withColumn("total", F.round("total", 9))
 
 

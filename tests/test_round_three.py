@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
+from quillon.operators import callgraph as C
 from quillon.operators import density as D
 from quillon.operators import graph as G
 from quillon.operators import items as I
@@ -91,3 +92,19 @@ def test_spots_beside_zero_and_halfway(spark):
     rad = np.radians
     far = lambda lat, lon: 6371 * np.sqrt((np.cos(rad(-0.84)) * np.sin(rad(-1.5)) - np.cos(rad(lat)) * np.sin(rad(lon))) ** 2 + (np.sin(rad(-0.84)) - np.sin(rad(lat))) ** 2 + (np.cos(rad(-0.84)) * np.cos(rad(-1.5)) - np.cos(rad(lat)) * np.cos(rad(lon))) ** 2)
     assert got.name == min((far(float(lat), float(lon)), f"{n} {lat}") for n, lon in (("b", -1), ("a", -2)) for lat in range(-5, 4))[1]
+
+
+def test_graph_tables_are_not_broadcast(spark, sf, monkeypatch):
+    plans, write = [], G.materialize
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (G, C, graph_queries):
+        monkeypatch.setattr(module, "materialize", lambda df, name: plan(df) or write(df, name))
+    plan(graph_queries.cycle_propagate(spark, sf))
+    assert sum("SortMergeJoin" in p for p in plans) > 20 and not any("BroadcastHashJoin" in p for p in plans)  # what is broadcast goes through the driver
+    assert sum("events" in p for p in plans) == 1  # read once, for the table of edges
+
+
+def test_ends_of_one_way_are_components_of_their_own(spark):
+    edges = [("a", "b"), ("b", "a"), ("b", "c"), ("z", "a"), ("d", "d"), ("e", "f"), (None, "a"), ("g", None)]
+    got = {r.node: r.scc for r in G.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "z": "z", "d": "d", "e": "e", "f": "f"}
