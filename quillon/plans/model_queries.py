@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions import scalars as S
 from quillon.operators import model as M
 from quillon.operators import wide_deep as W
 from quillon.plans.item_queries import pair_band_join
@@ -13,20 +12,22 @@ from quillon.plans.registered import query
 from quillon.session import materialize
 
 NUMERIC = ["delta_seconds", "delta_sec_in_day", "delta_value", "avg_value", "delta_k"]
-#: Pairs the classifier is fitted on, at most about; every pair is scored.
-FIT_PAIRS = 50_000
+
+
+def _fit_on(pairs: DataFrame) -> DataFrame:
+    """All pairs, as a table: however often a fit reads them, the band join runs once, for the fit and for the scores."""
+    return materialize(pairs, "fit-pairs")
 
 
 def _sample(pairs: DataFrame, key: Column) -> DataFrame:
-    """The pairs to fit on, as a table: however often a fit reads them, the band join runs once for them."""
-    return materialize(pairs.where(S.hash_split(key, min(1.0, FIT_PAIRS / max(1, pairs.count())))), "fit-pairs")
+    """``_fit_on`` by the name that callers know: every pair, whatever its key."""
+    return _fit_on(pairs)
 
 
 def _scored(spark, sf, kind):
     pairs = pair_band_join(spark, sf).where("first_id < second_id").withColumn("label", F.col("same_type").cast("double"))
-    pairs = pairs.select("first_id", "second_id", *NUMERIC, "delta_day", "label")
-    fit_on = _sample(pairs, F.concat_ws(":", F.col("first_id").cast("string"), F.col("second_id").cast("string")))
-    model = M.Blend(fit_on, NUMERIC, ["delta_day"], "label") if kind == "wide_deep" else M.fit(fit_on, NUMERIC, ["delta_day"], "label", kind)
+    pairs = _fit_on(pairs.select("first_id", "second_id", *NUMERIC, "delta_day", "label"))
+    model = M.Blend(pairs, NUMERIC, ["delta_day"], "label") if kind == "wide_deep" else M.fit(pairs, NUMERIC, ["delta_day"], "label", kind)
     return M.predict(model, pairs).select("first_id", "second_id", "predicted_label", F.round("probability", 6).alias("probability"))
 
 
