@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +132,17 @@ def _arrays(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [b.column(n).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for n in names]
 
 
+def _groups(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, x, w, y) of each row of a batch, a group with its rows, without a Python object a number."""
+    held = b.column("_rows")
+    flat, ends = held.flatten(), np.cumsum(pc.list_value_length(held).to_numpy())
+    if len(flat):
+        x, w = (flat.field(c).flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) for c in ("x", "w"))
+        y = flat.field("y").to_numpy(zero_copy_only=False)
+        for g, start, end in zip(b.column("_group").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            yield g, x[start:end], w[start:end].astype(np.int64), y[start:end]
+
+
 def _added(parts: DataFrame, tasks: int) -> DataFrame:
     """Rows of one array, added up; eight tasks' rows meet in one, until eight are left."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +170,8 @@ def _step(model: Model, rows: DataFrame, epoch: int, step: int, tasks: int) -> f
         total = np.zeros(sum(int(np.prod(v)) for v in [*shapes.values(), *stats.values()]) + 3)
 
         for b in batches:
-            for g, held in zip(*(b.column(c).to_pylist() for c in ("_group", "_rows")), strict=True):
-                x, w, y = (np.array([r[c] for r in held]) for c in ("x", "w", "y"))
-                made, loss, seen = gradients(model, x, w.astype(np.int64).reshape(len(x), -1), y, np.random.default_rng([s.seed, epoch, step, g]))
+            for g, x, w, y in _groups(b):
+                made, loss, seen = gradients(model, x, w, y, np.random.default_rng([s.seed, epoch, step, g]))
                 total += np.concatenate([*(made[k].ravel() for k in shapes), *(seen[k].ravel() for k in stats), [loss, len(x), 1]])
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
 
@@ -200,7 +211,8 @@ def fit(rows: DataFrame, key: str, numeric: list[str], categorical: list[str], l
         F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(settings.seed)), F.lit(groups)).alias("_group"),
         F.struct(F.col(key).cast("string").alias("key"), F.col(label).cast("double").alias("y"), F.col("_x").alias("x"), F.col("_w").alias("w")).alias("_row"),
     )
-    dealt = materialize(dealt.groupBy("_group").agg(F.sort_array(F.collect_list("_row")).alias("_rows")), "training-groups")
+    ordered = F.sort_array(F.collect_list("_row"))  # the key only orders
+    dealt = materialize(dealt.groupBy("_group").agg(F.transform(ordered, lambda r: F.struct(r["y"].alias("y"), r["x"].alias("x"), r["w"].alias("w"))).alias("_rows")), "training-groups")
     tasks = dealt.select(F.spark_partition_id().alias("p")).distinct().count()
     for epoch in range(settings.epochs):
         losses = [x for k in range(settings.steps) if not np.isnan(x := _step(model, dealt, epoch, k, tasks))]

@@ -52,9 +52,9 @@ JOINT = W.Settings(hidden=(32, 16), wide_rate=20.0, deep_rate=20.0, dropout=0.1,
 
 @query()
 def train_predict_joint(spark, sf):
-    """The wide and the deep part trained together on a bounded sample of labelled pairs; every pair is scored."""
+    """The wide and the deep part trained together on all pairs; every pair is scored."""
     pairs = pair_band_join(spark, sf).where("first_id < second_id").withColumn("label", F.col("same_type").cast("double"))
-    pairs = pairs.withColumns({"pair": F.concat_ws(":", F.col("first_id").cast("string"), F.col("second_id").cast("string")), "same_day": (F.col("delta_day") == 0).cast("int")})
-    pairs = pairs.select("first_id", "second_id", "pair", *NUMERIC, "delta_day", "same_day", "label")
-    model = W.fit(_sample(pairs, F.col("pair")), "pair", NUMERIC, ["delta_day"], "label", JOINT)
-    return W.predict(model, pairs.drop("pair", "label")).select("first_id", "second_id", "predicted_label", F.round("probability", 6).alias("probability"))
+    pairs = _fit_on(pairs.withColumn("same_day", (F.col("delta_day") == 0).cast("int")).select("first_id", "second_id", *NUMERIC, "delta_day", "same_day", "label"))
+    keyed = pairs.withColumn("pair", F.concat_ws(":", F.col("first_id").cast("string"), F.col("second_id").cast("string")))
+    model = W.fit(keyed, "pair", NUMERIC, ["delta_day"], "label", JOINT)
+    return W.predict(model, pairs.drop("label")).select("first_id", "second_id", "predicted_label", F.round("probability", 6).alias("probability"))
