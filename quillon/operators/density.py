@@ -22,6 +22,8 @@ from quillon.session import materialize
 
 #: Thresholds are 0, 1 / STEPS, 2 / STEPS, ... below 1.
 STEPS = 100
+#: Sets of more points are dealt over tasks of their own.
+LONG = 2000
 
 
 def levels(x: np.ndarray) -> np.ndarray:
@@ -99,17 +101,169 @@ def best_labels(points: np.ndarray, least: int) -> np.ndarray:
     return np.where(core <= k, root, np.where(reach <= k, root[at], -1))
 
 
-def split(points: np.ndarray, least: int, most: int) -> list[tuple[np.ndarray, str]]:
-    """(indices, status) that partition a small set: a set of at most ``most`` is chosen, or unchosen below ``least``; a larger one is
-    standardised and cut at its best level, its noise set aside, and its clusters are split in turn."""
-    out, todo = [], [np.arange(len(points))]
+class _Cuts:
+    """``best_labels`` of sets that are cut again and again out of ``points``, in work that follows what changes between cuts.
+
+    A point keeps the list of its ``WIDTH`` nearest and the distance within which all others of its set are listed. Later cuts
+    have other deviations, which stretch distances by a bounded factor, and fewer points: a list tells the ``least``-th
+    nearest as long as that is nearer than what is not listed can be, else it is made anew. Points whose ``least``-th nearest
+    is too near to matter for the choice of a level are left as they are. What decides is the distance ``best_labels`` has.
+    """
+
+    WIDTH = 32
+    #: Nearest listed cores that are joined first; what is apart then is compared with all cores.
+    FIRST = 6
+    #: Distances made at once.
+    ROOM = 2_000_000
+
+    def __init__(self, points: np.ndarray, least: int) -> None:
+        n, d = points.shape
+        self.points, self.least, self.width = points, least, max(self.WIDTH, 3 * least)
+        self.near, self.within, self.near_scale = np.zeros((n, self.width), np.int32), np.full(n, -1.0), np.ones((n, d))
+        self.far, self.far_scale, self.alive = np.full(n, np.inf), np.ones((n, d)), np.full(n, -1)
+        self.z, self.core = np.zeros((n, d)), np.zeros(n, np.int16)
+        self.now, self.cut_of, self.known = 0, np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def _gaps(self, rows: np.ndarray, listed: np.ndarray) -> np.ndarray:
+        """Distances of ``rows`` to the points in their rows of ``listed``; infinite to those of other sets."""
+        total = np.zeros(listed.shape)
+        for c in range(self.z.shape[1]):
+            z = self.z[:, c]
+            total += np.square(z[rows][:, None] - z[listed])
+        return np.where(self.cut_of[listed] == self.now, np.sqrt(total), np.inf)
+
+    def _listed(self, rows: np.ndarray) -> np.ndarray:
+        """The distances of the ``least``-th nearest of ``rows``, which get new lists, by distance, each point first in its own."""
+        far = np.empty(len(rows))
+        each = max(1, self.ROOM // len(self.own))
+        for a in range(0, len(rows), each):
+            some = rows[a : a + each]
+            d = distances(self.z[some], self.z[self.own])
+            d[np.arange(len(some)), np.searchsorted(self.own, some)] = -1
+            at = np.argpartition(d, self.width - 1, axis=1)[:, : self.width]
+            gap = np.take_along_axis(d, at, axis=1)
+            order = np.argsort(gap, axis=1, kind="stable")
+            gap = np.maximum(np.take_along_axis(gap, order, axis=1), 0)
+            self.near[some] = self.own[np.take_along_axis(at, order, axis=1)]
+            self.within[some], self.near_scale[some], far[a : a + each] = gap[:, -1], self.scale, gap[:, self.least - 1]
+        return far
+
+    def _look(self, rows: np.ndarray) -> None:
+        """Makes the levels of ``rows`` as cores known for this cut."""
+        for a in range(0, len(rows), self.ROOM // self.width):
+            some = rows[a : a + self.ROOM // self.width]
+            far = np.partition(self._gaps(some, self.near[some]), self.least - 1, axis=1)[:, self.least - 1]
+            within = self.within[some] * (self.near_scale[some] / self.scale).min(axis=1) * (1 - 1e-9) - 1e-8
+            new = np.minimum(far, 1) > within
+            if new.any():
+                far[new] = self._listed(some[new])
+            self.far[some], self.far_scale[some], self.core[some], self.known[some] = far, self.scale, levels(far), self.now
+            self.alive[some] = (self.cut_of[self.near[some]] == self.now).sum(axis=1)
+
+    def _placed(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(level, core) by which ``rows`` are reached, if below their own levels: such cores are among their nearest."""
+        listed = self.near[rows]
+        other = np.unique(listed)
+        other = other[(self.cut_of[other] == self.now) & (self.known[other] != self.now)]
+        self._look(other)
+        d = self._gaps(rows, listed)
+        d[listed == rows[:, None]] = np.inf
+        at = np.where(np.isfinite(d), np.maximum(levels(d), self.core[listed]), STEPS)
+        level = at.min(axis=1)
+        d[at != level[:, None]] = np.inf
+        nearest = np.where(d == d.min(axis=1)[:, None], listed, len(self.points)).min(axis=1)
+        return level, nearest
+
+    def _joined(self, cores: np.ndarray, k: int) -> np.ndarray:
+        """The smallest core of the cluster of each of ``cores`` at level ``k``."""
+        n = len(cores)
+        place = np.full(len(self.points), -1)
+        place[cores] = np.arange(n)
+        root = np.arange(n)
+
+        def join(u: np.ndarray, v: np.ndarray) -> None:
+            while len(u):
+                a, b = root[u], root[v]
+                apart = a != b
+                u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                while (up := root[root])[root != up].size:
+                    root[:] = up
+
+        def near(rows: np.ndarray, first: int, last: int) -> None:
+            listed = self.near[cores[rows], first:last]
+            hit = (place[listed] >= 0) & (levels(self._gaps(cores[rows], listed)) <= k)
+            u, v = hit.nonzero()
+            join(rows[u], place[listed[u, v]])
+
+        near(np.arange(n), 1, 1 + self.FIRST)
+        rest = np.flatnonzero(root != np.bincount(root).argmax())
+        near(rest, 1 + self.FIRST, self.width)
+        rest = np.flatnonzero(root != np.bincount(root).argmax())
+        for a in range(0, len(rest), max(1, self.ROOM // n)):
+            some = rest[a : a + max(1, self.ROOM // n)]
+            u, v = (levels(distances(self.z[cores[some]], self.z[cores])) <= k).nonzero()
+            join(some[u], v)
+        return cores[root]
+
+    def labels(self, own: np.ndarray) -> np.ndarray:
+        """``best_labels`` of the points ``own``, ascending, more than ``width``; clusters are named by points of the whole."""
+        p = self.points[own]
+        self.own, self.now, self.scale = own, self.now + 1, p.std(axis=0) + 1e-15
+        self.z[own], self.cut_of[own] = standard(p), self.now
+        bound = levels(self.far[own] * (self.far_scale[own] / self.scale).max(axis=1) * (1 + 1e-9) + 1e-8)
+        stale = (self.cut_of[self.near[own]] == self.now).sum(axis=1) != self.alive[own]
+        self._look(own[stale])
+        bound[stale] = self.core[own[stale]]
+        for low in (*np.quantile(bound, [0.98, 0.9, 0.5], method="lower").astype(int).tolist(), -1):
+            self._look(own[(bound > low) & (self.known[own] != self.now)])
+            seen = own[self.known[own] == self.now]
+            seen = seen[self.core[seen] > low]
+            level, via = self._placed(seen)
+            placed = np.minimum(level, self.core[seen])  # that of all others is ``low`` or less
+            top = np.unique(placed)[::-1]
+            cut = None
+            if len(top) and top[0] < STEPS and top[0] > low and (low >= 0 or len(top)):
+                cut = self._cut(own, int(top[0]), seen, level, via)
+                if len(np.unique(cut[cut >= 0])) > 1:
+                    return cut
+            below = top[1:] if len(top) else top
+            if len(below) and below[0] > low:
+                return self._cut(own, int(below[0]), seen, level, via)
+        return np.full(len(own), -1)
+
+    def _cut(self, own: np.ndarray, k: int, seen: np.ndarray, level: np.ndarray, via: np.ndarray) -> np.ndarray:
+        held = np.ones(len(own), bool)
+        at = np.searchsorted(own, seen)
+        held[at] = self.core[seen] <= k
+        label = np.full(len(self.points), -1)
+        cores = own[held]
+        label[cores] = self._joined(cores, k)
+        rim = ~held[at] & (level <= k)
+        label[seen[rim]] = label[via[rim]]
+        return label[own]
+
+
+def standard(p: np.ndarray) -> np.ndarray:
+    """The standardised points, to nine digits."""
+    return np.round((p - p.mean(axis=0)) / (p.std(axis=0) + 1e-15), 9)
+
+
+def split(points: np.ndarray, least: int, most: int, plain: int = 400) -> list[tuple[np.ndarray, str]]:
+    """(indices, status) that partition a set: a set of at most ``most`` is chosen, or unchosen below ``least``; a larger one is
+    standardised and cut at its best level, its noise set aside, and its clusters are split in turn. Sets of up to ``plain``
+    points are cut from all their distances, larger ones from lists of the nearest, with the same result."""
+    out, todo, cuts = [], [np.arange(len(points))], None
     while todo:
         own = todo.pop()
         if len(own) <= most:
             out.append((own, "chosen" if len(own) >= least else "unchosen"))
             continue
-        p = points[own]
-        label = best_labels(np.round((p - p.mean(axis=0)) / (p.std(axis=0) + 1e-15), 9), least)
+        if len(own) > max(plain, 4 * _Cuts.WIDTH, 4 * least):
+            cuts = cuts or _Cuts(points, least)
+            label = cuts.labels(own)
+        else:
+            label = best_labels(standard(points[own]), least)
         if (label < 0).any():
             out.append((own[label < 0], "noise"))
         todo += [own[label == k] for k in np.unique(label[label >= 0])]
@@ -344,14 +498,15 @@ def _line_labels(items: DataFrame, key: str, item: str, column: str, least: int,
     return points.select(key, item).join(labelled.select(item, "cluster"), item, "left")
 
 
-def scenes(items: DataFrame, event: str, item: str, columns: list[str], least: int = 10, most: int = 30, in_one_task: int = 1500, block: int | None = None, max_levels: int = 60) -> DataFrame:
+def scenes(items: DataFrame, event: str, item: str, columns: list[str], least: int = 10, most: int = 30, in_one_task: int = 100_000, block: int | None = None, max_levels: int = 10_000) -> DataFrame:
     """(event, scene_id, status, item) of every item with an event: an event of over ``most`` items is standardised and cut at its best
     level; its noise is set aside and its clusters are split in turn. A set of at most ``most`` is chosen, or unchosen below
     ``least``. scene_id is the smallest item of the set; items with a coordinate that is null or no number are noise of
     their own.
 
-    Sets of up to ``in_one_task`` items are split to the end in a task each. Larger ones are cut by blocks, all of a level at once, as
-    often as they stay larger; the result does not depend on the bound. Coordinates are standardised to nine digits.
+    Sets of up to ``in_one_task`` items are split to the end in a task each, as a level often takes off a few points and the next
+    follows from what is left. Larger ones are cut by blocks, all of a level at once, as often as they stay larger; the result
+    does not depend on the bound. Coordinates are standardised to nine digits.
     """
     named = {"_event": event, "_item": item} | {f"_x{k}": c for k, c in enumerate(columns)}
     spread = items.select(*[F.col(c).cast("double").alias(k) if k.startswith("_x") else F.col(c).alias(k) for k, c in named.items()]).where("_event is not null")
@@ -377,7 +532,11 @@ def _scenes(spread: DataFrame, event: str, item: str, columns: list[str], least:
 
     schema = f"{event} {spread.schema[event].dataType.simpleString()}, scene_id {kind}, status string, {item} {kind}"
     for _ in range(max_levels):
-        done.append(now.where(F.col("_size") <= in_one_task).groupBy("_node").applyInPandas(run, schema))
+        small = now.where(F.col("_size") <= in_one_task)
+        done.append(small.where(F.col("_size") <= LONG).groupBy("_node").applyInPandas(run, schema))
+        long = small.where(F.col("_size") > LONG)
+        if sets := long.select("_node").distinct().count():  # few bytes, but seconds of work each: dealt by their number
+            done.append(long.repartition(min(4 * sets, 10_000), "_node").groupBy("_node").applyInPandas(run, schema))
         large = now.where(F.col("_size") > in_one_task)
         if large.isEmpty():
             return reduce(DataFrame.unionByName, done)
