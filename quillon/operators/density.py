@@ -291,16 +291,21 @@ def _counts(points: DataFrame, key: str) -> DataFrame:
     return points.select(key, F.explode(kinds).alias("k")).groupBy(key, "k.kind", "k.level").agg(F.count("*").alias("n"))
 
 
-def _in_pairs(points: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """The points of both blocks of each pair (key, i, j), as sides 0 and 1; the one block of a pair (i, i) is side 0."""
-    side = lambda b, n: pairs.where("i <> j" if n else "true").join(points.withColumnRenamed("block", b), [key, b]).select("i", "j", F.lit(n).alias("side"), *[c for c in points.columns if c != "block"])
-    return side("i", 0).unionByName(side("j", 1))
+def _asked(pdf: pd.DataFrame, boxes: pd.DataFrame, columns: list[str], radius: np.ndarray, may: np.ndarray | None = None) -> pd.DataFrame:
+    """A row of ``pdf`` for each of the boxes (``other``) that come within the point's radius, as ``block``; with ``may`` only those allowed."""
+    x, gap = pdf[columns].to_numpy(), np.zeros((len(pdf), len(boxes)))
+    for c, name in enumerate(columns):
+        lo, hi = boxes[f"lo_{name}"].to_numpy(), boxes[f"hi_{name}"].to_numpy()
+        gap += np.square(np.maximum(0, np.maximum(lo - x[:, c, None], x[:, c, None] - hi)))
+    near = np.sqrt(gap) <= radius[:, None] + 1e-9
+    p, b = (near if may is None else near & may).nonzero()
+    return pdf.iloc[p].assign(block=boxes["other"].to_numpy()[b])
 
 
-def _sides(pdf: pd.DataFrame, item: str) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
-    one = pdf[pdf["side"] == 0].sort_values(item, ignore_index=True)
-    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-    return one, one if same else pdf[pdf["side"] == 1].sort_values(item, ignore_index=True), same
+def _some(asked: pd.DataFrame, n: int) -> list[pd.DataFrame]:
+    """``asked`` in parts, each of at most some million distances to ``n`` points."""
+    each = max(1, _Cuts.ROOM // max(1, n))
+    return [asked.iloc[k : k + each] for k in range(0, len(asked), each)] if n else []
 
 
 def _own_names(items: DataFrame, key: str, item: str, columns: list[str], run) -> DataFrame:
@@ -313,10 +318,10 @@ def _own_names(items: DataFrame, key: str, item: str, columns: list[str], run) -
 def space_labels(items: DataFrame, key: str, item: str, columns: list[str], least: int, block: int = 512) -> DataFrame:
     """(key, item, cluster) at each key's best level; cluster is one of its cores, null for noise.
 
-    Points are put in the order of interleaved bits of their coordinates and cut into blocks of ``block``. Only pairs of blocks
-    whose boxes come nearer than the largest threshold are looked at, a task a pair: first for the nearest ``least`` of each
-    point, then for the forest of the pair's edges, of which no other edge can be in the spanning forest of all. Blocks
-    travel once for each near block; distances stay in the task. ``item`` is a key of the rows.
+    Points are put in the order of interleaved bits of their coordinates and cut into blocks of ``block``. What a point must know of
+    another block it asks there, and only of blocks whose box lies near enough: first for the nearest ``least``, which are within
+    the distance at which its own block has as many; then, for the spanning forest, for edges out of its cluster that would
+    be lighter than the lightest known (see ``_space_forest``). Distances stay in the task. ``item`` is a key of the rows.
     """
     return _own_names(items, key, item, columns, lambda *own: _space_labels(*own, least, block))
 
@@ -329,48 +334,44 @@ def _space_labels(items: DataFrame, key: str, item: str, columns: list[str], lea
     begin = placed.groupBy(key).agg(F.min("_at").alias("_begin"))
     points = materialize(placed.join(begin, key).withColumn("block", F.floor((F.col("_at") - F.col("_begin")) / block)).drop("_at", "_begin"), "blocks")
     boxes = points.groupBy(key, "block").agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
-    l, r = boxes.select(key, *[F.col(c).alias(f"l_{c}") for c in boxes.columns if c != key]), boxes.select(key, *[F.col(c).alias(f"r_{c}") for c in boxes.columns if c != key])
-    gaps = [F.greatest(F.lit(0.0), F.col(f"r_lo_{c}") - F.col(f"l_hi_{c}"), F.col(f"l_lo_{c}") - F.col(f"r_hi_{c}")) for c in columns]
-    near = (F.col("l_block") <= F.col("r_block")) & (reduce(lambda a, b: a + b, [g * g for g in gaps]) < 1)
-    pairs = materialize(l.join(r, key).where(near).select(key, F.col("l_block").alias("i"), F.col("r_block").alias("j")), "block-pairs")
-    kind = items.schema[item].dataType.simpleString()
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, same = _sides(pdf, item)
-        d = distances(a[columns].to_numpy(), b[columns].to_numpy())
-        parts = []
-        for side, own in ((a, d),) if same else ((a, d), (b, d.T)):
-            few = np.sort(np.partition(own, min(least, own.shape[1]) - 1, axis=1)[:, :least], axis=1)
-            parts.append(pd.DataFrame({item: side[item], "d": [list(x[x < 1]) for x in few]}))
-        return pd.concat(parts)
-
-    found = _in_pairs(points, pairs, key).groupBy(key, "i", "j").applyInPandas(nearest, f"{item} {kind}, d array<double>")
-    near_by = found.groupBy(item).agg(F.sort_array(F.flatten(F.collect_list("d"))).alias("d"))
-    cores = near_by.select(item, level_of(F.get("d", F.lit(least - 1))).alias("core"))
+    parts = max(1, min(400, boxes.count()))  # few bytes, but work each: dealt by their number
+    dealt = lambda df: df.repartition(parts, key, "block").groupBy(key, "block")
+    l, r = boxes.select(key, *[F.col(c).alias(f"l_{c}") for c in boxes.columns if c != key]), boxes.withColumnRenamed("block", "other")
+    gaps = [F.greatest(F.lit(0.0), F.col(f"lo_{c}") - F.col(f"l_hi_{c}"), F.col(f"l_lo_{c}") - F.col(f"hi_{c}")) for c in columns]
+    near = l.join(r, key).where(reduce(lambda a, b: a + b, [g * g for g in gaps]) < 1)
+    near = materialize(near.select(key, F.col("l_block").alias("block"), *[c for c in r.columns if c != key]), "near-boxes")
+    kind, key_kind = (items.schema[c].dataType.simpleString() for c in (item, key))
+    at = f"{key} {key_kind}, block long, {item} {kind}, " + ", ".join(f"{c} double" for c in columns)
+
+    def first(pdf: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[columns].to_numpy()
+        d = distances(x, x)
+        far = np.minimum(np.partition(d, least - 1, axis=1)[:, least - 1], 1) if len(x) >= least else np.ones(len(x))
+        return _asked(pdf.assign(far=far), boxes, columns, far)[[key, "block", item, *columns, "far"]]
+
+    def nearest(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids, k = pdf[columns].to_numpy(), pdf[item].to_numpy(), min(least, len(pdf))
+        out = [pd.DataFrame({"a": ids[:0], "b": ids[:0], "d": np.zeros(0)})]
+        for some in _some(asked, len(x)):
+            d = distances(some[columns].to_numpy(), x)
+            few = np.argpartition(d, k - 1, axis=1)[:, :k]
+            gap = np.take_along_axis(d, few, axis=1)
+            p, q = ((gap <= some["far"].to_numpy()[:, None] + 1e-9) & (gap < 1)).nonzero()
+            out.append(pd.DataFrame({"a": some[item].to_numpy()[p], "b": ids[few[p, q]], "d": gap[p, q]}))
+        return pd.concat(out)
+
+    asked = materialize(dealt(points).cogroup(dealt(near)).applyInPandas(first, f"{at}, far double"), "asked")
+    found = dealt(asked).cogroup(dealt(points)).applyInPandas(nearest, f"a {kind}, b {kind}, d double")
+    lists = materialize(found.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "b"))), 1, least).alias("near")), "nearest")
+    cores = lists.select(F.col("a").alias(item), level_of(F.get("near.d", F.lit(least - 1))).alias("core"))
     points = materialize(points.join(cores, item), "cores")
-
-    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, same = _sides(pdf, item)
-        d = distances(a[columns].to_numpy(), b[columns].to_numpy())
-        ca, cb = (x["core"].to_numpy(np.int16) for x in (a, b))
-        m = np.maximum(np.maximum(levels(d), ca[:, None]), cb[None, :])
-        ids = a[item].to_numpy() if same else np.concatenate([a[item], b[item]])
-        if not same:
-            whole = np.full((len(ids), len(ids)), STEPS, np.int16)
-            whole[: len(a), len(a) :], whole[len(a) :, : len(a)] = m, m.T
-            m = whole
-        tree = forest(m)
-        parts = [pd.DataFrame({"kind": "edge", "a": ids[tree[:, 0]], "b": ids[tree[:, 1]], "level": tree[:, 2], "d": 0.0})]
-        if same:
-            np.fill_diagonal(d, np.inf)
-        for one, other, own, core in ((a, b, d, cb),) if same else ((a, b, d, cb), (b, a, d.T, ca)):
-            level, far, at = nearest_cores(own, core)
-            parts.append(pd.DataFrame({"kind": "reach", "a": one[item], "b": other[item].to_numpy()[at], "level": level, "d": far})[level < STEPS])
-        return pd.concat(parts)
-
-    links = materialize(_in_pairs(points, pairs, key).groupBy(key, "i", "j").applyInPandas(linked, f"kind string, a {kind}, b {kind}, level int, d double"), "links")
-    edges = spanning_forest(links.where("kind = 'edge'").select("a", "b", F.col("level").alias("w")))
-    reach = links.where("kind = 'reach'").groupBy(F.col("a").alias(item)).agg(F.min(F.struct("level", "d", "b")).alias("r")).select(item, F.col("r.level").alias("reach"), F.col("r.b").alias("via"))
+    core_of = lambda c: points.select(F.col(item).alias(c), F.col("core").alias(f"core_{c}"))
+    links = lists.select("a", F.explode("near").alias("n")).select("a", "n.b", "n.d").where("a <> b").join(core_of("a"), "a").join(core_of("b"), "b")
+    links = materialize(links.withColumn("level", F.greatest(level_of(F.col("d")), "core_b")).where(F.col("level") < STEPS), "links")
+    listed = links.select("a", "b", F.greatest("level", "core_a").alias("w")).where(F.col("w") < STEPS)
+    edges = _space_forest(points.where(F.col("core") < STEPS), near, listed, key, item, columns, dealt, at)
+    # a core that reaches a point at a level below the point's own is among its nearest
+    reach = links.groupBy(F.col("a").alias(item)).agg(F.min(F.struct("level", "d", "b")).alias("r")).select(item, F.col("r.level").alias("reach"), F.col("r.b").alias("via"))
     points = materialize(points.select(key, item, "core").join(reach, item, "left").withColumn("reach", F.coalesce("reach", F.lit(STEPS))), "reach")
     joined = edges.join(points.select(key, F.col(item).alias("a")), "a")
     counts = _counts(points, key).unionByName(joined.groupBy(key, F.lit("edge").alias("kind"), F.col("w").alias("level")).agg(F.count("*").alias("n")))
@@ -382,6 +383,65 @@ def _space_labels(items: DataFrame, key: str, item: str, columns: list[str], lea
     return known.select(key, item, at.alias("node")).join(label.withColumnRenamed("component", "cluster"), "node", "left").select(key, item, "cluster")
 
 
+def _space_forest(points: DataFrame, near: DataFrame, listed: DataFrame, key: str, item: str, columns: list[str], dealt, at: str, max_rounds: int = 60) -> DataFrame:
+    """(a, b, w): a minimum spanning forest of the cores ``points`` (key, item, block, columns, core), an edge's weight being the level of
+    its length or of an end, the highest.
+
+    Rounds after Borůvka: each cluster takes a lightest edge out of it. ``listed`` has the edges to the nearest of each point; any
+    other is as heavy as the core levels of its ends, so a point whose level is below the weight of its cluster's lightest
+    listed edge asks the blocks within that for a lighter one, and no other point asks. The largest cluster of a key takes
+    none and need not ask. Blocks that lie whole in the cluster are not asked. Of equal edges that close a ring one goes.
+    """
+    kind = points.schema[item].dataType.simpleString()
+    now = points.select(key, "block", item, *columns, "core", F.col(item).alias("comp"), F.lit(False).alias("over"))
+    left = materialize(listed.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w")).select(F.col("a").alias("u"), F.col("b").alias("v"), F.struct("w", "a", "b").alias("e")), "listed")
+    kept = [left.select("e.a", "e.b", "e.w").limit(0)]
+
+    def ask(pdf: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        may = boxes["only"].to_numpy(object)[None, :] != pdf["comp"].to_numpy(object)[:, None]
+        return _asked(pdf, boxes, columns, (pdf["bound"].to_numpy() - 1) / STEPS, may)[[key, "block", item, *columns, "core", "comp", "bound"]]
+
+    def lighter(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids, core, comp = pdf[columns].to_numpy(), pdf[item].to_numpy(), pdf["core"].to_numpy(), pdf["comp"].to_numpy()
+        out = [pd.DataFrame({"u": ids[:0], "v": ids[:0], "w": np.zeros(0, int), "a": ids[:0], "b": ids[:0]})]
+        for some in _some(asked, len(x)):
+            d = distances(some[columns].to_numpy(), x)
+            bound, own = some["bound"].to_numpy(), some["comp"].to_numpy()
+            p, q = (d <= bound[:, None] / STEPS).nonzero()
+            w = np.maximum(np.maximum(levels(d[p, q]), core[q]), some["core"].to_numpy()[p])
+            good = (w < bound[p]) & (own[p] != comp[q])
+            p, q, w = p[good], q[good], w[good]
+            out.append(pd.DataFrame({"u": own[p], "v": comp[q], "w": w, "a": some[item].to_numpy()[p], "b": ids[q]}))
+        return pd.concat(out).sort_values("w", kind="stable").drop_duplicates("u")
+
+    for _ in range(max_rounds):
+        now = materialize(now, "space-comps")
+        ways = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v"), "e"))
+        first = ways.groupBy("u").agg(F.min(F.struct("e.w", "e.a", "e.b", "v")).alias("e"))
+        whole = materialize(now.groupBy(key, "comp").agg(F.count("*").alias("n")).groupBy(key).agg(F.max(F.struct("n", "comp")).alias("m")).select(key, F.col("m.comp").alias("whole")), "space-whole")
+        first = materialize(first.join(whole.select(F.col("whole").alias("u")), "u", "left_anti"), "space-first")
+        some = now.join(whole, key).where("comp <> whole and not over").join(first.select(F.col("u").alias("comp"), "e.w"), "comp", "left")
+        some = some.withColumn("bound", F.coalesce("w", F.lit(STEPS))).where("core < bound").select(key, "block", item, *columns, "core", "comp", "bound")
+        boxes = near.join(now.groupBy(key, F.col("block").alias("other")).agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("only")), [key, "other"])
+        asked = materialize(dealt(some).cogroup(dealt(boxes)).applyInPandas(ask, f"{at}, core int, comp {kind}, bound int"), "space-asked")
+        found = dealt(asked).cogroup(dealt(now)).applyInPandas(lighter, f"u {kind}, v {kind}, w int, a {kind}, b {kind}")
+        every = first.select("u", "e").unionByName(found.select("u", F.struct("w", "a", "b", "v").alias("e")))
+        chosen = materialize(every.groupBy("u").agg(F.min("e").alias("e")).select("u", "e.v", "e.w", "e.a", "e.b"), "space-chosen")
+        if chosen.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
+        tree = spanning_forest(chosen.select(F.col("u").alias("a"), F.col("v").alias("b"), "w")).select(F.col("a").alias("lo"), F.col("b").alias("hi"), "w")
+        named = chosen.groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), "w").agg(F.min(F.struct("a", "b")).alias("e"))
+        kept.append(materialize(tree.join(named, ["lo", "hi", "w"]).select("e.a", "e.b", "w"), "space-forest"))
+        grown = connected_components(chosen, "u", "v", at_once=500_000)
+        of = lambda c: grown.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}"))
+        last = now.join(whole, key).join(of("comp"), "comp", "left").join(chosen.select(F.col("u").alias("comp"), F.lit(True).alias("took")), "comp", "left")
+        over = F.col("over") | ((F.col("comp") != F.col("whole")) & F.col("took").isNull())
+        now = last.select(key, "block", item, *columns, "core", F.coalesce("new_comp", "comp").alias("comp"), over.alias("over"))
+        moved = left.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("new_u", "u").alias("u"), F.coalesce("new_v", "v").alias("v"), "e").where("u <> v")
+        left = materialize(moved.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("e").alias("e")), "listed")
+    raise RuntimeError(f"clusters still grow after {max_rounds} rounds")
+
+
 def line_labels(items: DataFrame, key: str, item: str, column: str, least: int, block: int = 4096, in_one_task: int = 0) -> DataFrame:
     """``space_labels`` of one coordinate, in work proportional to the points: sorted points are cut into blocks of ``block``, each with
     the ``least - 1`` points on either side; what a block must know of the others is their outermost core of each level.
