@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quillon.operators import density as D
+from quillon.operators import graph as G
 from tests.test_density import blobs, frame
 
 
@@ -41,3 +42,13 @@ def test_points_ask_few_blocks(spark, monkeypatch):
     D.space_labels(df, "a", "i", columns, 10, block=block).count()
     near = rows["near-boxes"] / (n / block)  # blocks within the largest threshold of one
     assert near > 15 and rows["asked"] < 6 * n and rows["space-asked"] < 6 * n
+
+
+def test_components_of_long_ways(spark):
+    rng = np.random.default_rng(3)
+    name = rng.permutation(3000)
+    way = [(int(name[k]), int(name[k + 1])) for k in range(2999) if k % 1000 != 999] + [(5000, 5000), (int(name[0]), int(name[0])), (6001, 6000), (None, 3), (4, None)]
+    got = {r.node: r.component for r in G.connected_components(spark.createDataFrame(way, "a long, b long"), "a", "b", max_rounds=20, at_once=50).collect()}
+    want = {int(v): int(name[k : k + 1000].min()) for k in range(0, 3000, 1000) for v in name[k : k + 1000]}
+    assert got == want | {5000: 5000, 6000: 6000, 6001: 6000}
+    assert G.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b", at_once=1).count() == 0
